@@ -24,8 +24,8 @@ MODELS = [
 ]
 #: Fixed logistic models of a binary outcome.
 BINARY_MODELS = [
-    {"model": "p", "intercept": -1.0, "coef": [0.02, -3.0, 1.0, 0.0]},
-    {"model": "q", "intercept": 0.3, "coef": [-0.01, 0.0, 0.0, -0.1]},
+    {"model": "p", "intercept": -1.0, "coef": [0.02137, -3.1731, 1.0193, 0.0]},
+    {"model": "q", "intercept": 0.3, "coef": [-0.01037, 0.0, 0.0, -0.1013]},
 ]
 
 

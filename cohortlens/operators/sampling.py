@@ -78,7 +78,7 @@ def nested_samples(
         ranks = ranks.join(n_keys, list(by))
         total = F.col("_n")
     else:
-        total = n_keys.scalar()
+        total = F.lit(n_keys.first()[0])
     sizes_col = F.filter(
         F.array(*[F.lit(s) for s in sizes]), lambda s: (s >= F.col("rank")) & (s <= total)
     )
