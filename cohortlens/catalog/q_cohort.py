@@ -110,10 +110,10 @@ def _(spark, sf):
 @query(
     "c12_summary_step",
     with_roles("obs")
-    + "SELECT dataset, stay_id, round(avg(value), 6) AS mean_value, max(value) AS max_value FROM obs GROUP BY dataset, stay_id",
+    + "SELECT dataset, stay_id, round(avg(value), 9) AS mean_value, max(value) AS max_value FROM obs GROUP BY dataset, stay_id",
 )
 def _(spark, sf):
-    return c.summary_step(obs(spark, sf), {"mean_value": r6(F.avg("value")), "max_value": F.max("value")})
+    return c.summary_step(obs(spark, sf), {"mean_value": r6(F.avg("value"), 9), "max_value": F.max("value")})
 
 
 @query("c13_summary_exists", with_roles("obs") + 'SELECT DISTINCT dataset, stay_id, true AS "exists" FROM obs')
@@ -351,7 +351,7 @@ def _(spark, sf):
     "AND x.stay_id = s.stay_id) >= 4), "
     "filled AS (SELECT g.dataset, g.time_h, last_value(purchase IGNORE NULLS) OVER "
     "(PARTITION BY g.dataset, g.stay_id ORDER BY g.time_h) AS v FROM grid g JOIN kept USING (dataset, stay_id)) "
-    "SELECT dataset, time_h // 24 AS day, count(*) AS stay_hours, count(v) AS covered, round(avg(v), 6) AS mean_last "
+    "SELECT dataset, time_h // 24 AS day, count(*) AS stay_hours, count(v) AS covered, round(avg(v), 9) AS mean_last "
     "FROM filled GROUP BY dataset, time_h // 24",
 )
 def flagship(spark, sf):
@@ -364,5 +364,5 @@ def flagship(spark, sf):
     return filled.groupBy("dataset", day).agg(
         F.count("*").alias("stay_hours"),
         F.count("purchase_ffilled").alias("covered"),
-        r6(F.avg("purchase_ffilled")).alias("mean_last"),
+        r6(F.avg("purchase_ffilled"), 9).alias("mean_last"),
     )

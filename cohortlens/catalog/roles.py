@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bounded import lookup
 from ..operators.cohort import concepts_wide, map_to_grid, stay_windows, stop_obs_at, to_interval
 from ..operators.metrics import score_grid
 from ..operators.sampling import assign_split, nested_samples
+from ..session import pin
 
 CONCEPTS = ["click", "error", "purchase", "signup", "view"]
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -165,6 +167,7 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
             F.avg(F.col("x_qty") * F.col("x_disc")).alias("qd"),
         )
     )
+    m = lookup(m)
     sets = F.array(*[F.struct(F.lit(k).alias("k"), subset_array(k).alias("sources")) for k in SUBSET_MASKS])
     runs = m.select("*", F.inline(sets))
     runs = runs.withColumn("gamma", F.explode(F.array(*[F.lit(g) for g in GAMMAS])))
@@ -210,19 +213,21 @@ def subset_array(k: int) -> Column:
 def learning_curves(spark: SparkSession, sf: str) -> DataFrame:
     """Intercept refits on nested samples of patients, from scratch and shrunk to a prior.
 
-    Residuals of one fixed slope are summed per patient first; samples fan out over patients.
+    Residuals of one fixed slope are summed per patient first, and that table is kept; samples
+    fan out over patients.
     """
     r = F.col("y") - F.lit(9.0) - F.lit(0.04) * F.col("x_qty")
     rows = reg(spark, sf).select("dataset", "patient_id", "split", r.alias("r"))
-    train = rows.where("split = 'train_val'")
-    per_patient = train.groupBy("dataset", "patient_id").agg(
+    sums = rows.groupBy("dataset", "patient_id", "split").agg(
         F.count("*").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("ss")
     )
+    sums = pin(sums)
+    per_patient = sums.where("split = 'train_val'").drop("split")
     prior = per_patient.agg((F.sum("s") / F.sum("n"))).first()[0]
     test = (
-        rows.where("split = 'test'")
+        sums.where("split = 'test'")
         .groupBy("dataset")
-        .agg(F.avg("r").alias("t1"), F.avg(F.col("r") * F.col("r")).alias("t2"))
+        .agg((F.sum("s") / F.sum("n")).alias("t1"), (F.sum("ss") / F.sum("n")).alias("t2"))
     )
     samples = nested_samples(per_patient, "patient_id", CURVE_SEEDS, CURVE_SIZES, ["dataset"])
     points = (

@@ -235,11 +235,22 @@ def regimes(
             }
         )
     )
-    ends = rows.groupBy(*keys).agg(
-        F.min("n_target").cast("double").alias("_min"), F.max("n_target").cast("double").alias("_max")
+    # A curve has one row per size, so its ends may be taken over a window.
+    w = Window.partitionBy(*keys)
+    rows = rows.withColumns(
+        {
+            "_min": F.min("n_target").over(w).cast("double"),
+            "_max": F.max("n_target").over(w).cast("double"),
+        }
+    )
+    kinds = {"cv_vs_n_samples": "_a", "cv_vs_refit": "_b", "n_samples_vs_refit": "_c"}
+    pairs = F.array(*[F.struct(F.lit(k).alias("_kind"), F.col(c).alias("_x")) for k, c in kinds.items()])
+    group = [*keys, "_min", "_max"]
+    long = rows.select(*group, "_t", F.inline(pairs))
+    crossings = find_intersection(long, [*group, "_kind"], "_t", "_x", up)
+    ends = crossings.groupBy(*group).agg(
+        *[F.max(F.when(F.col("_kind") == k, F.col("crossing"))).alias(k) for k in kinds]
     )
-    for col, name in (("_a", "cv_vs_n_samples"), ("_b", "cv_vs_refit"), ("_c", "n_samples_vs_refit")):
-        ends = ends.join(find_intersection(rows, keys, "_t", col, up, name), list(keys))
     a, b, c = (F.exp(x) for x in ("cv_vs_n_samples", "cv_vs_refit", "n_samples_vs_refit"))
     cap = 4 * F.col("_max")
     return ends.select(

@@ -18,7 +18,7 @@ from ..functions.columns import mean_horizontal
 from .metrics import GREATER_IS_BETTER
 from .order_stats import HOT_ROWS, quantiles
 
-MAX_SUBSETS = 10_000
+MAX_SUBSETS = 50_000
 
 
 def union_results(dfs: Sequence[DataFrame]) -> DataFrame:
@@ -97,17 +97,12 @@ def _roles(results: DataFrame) -> tuple[list[str], DataFrame]:
     size m - 1 give cross-validation values on their one left-out source and sets of size
     m are the models. Sets and targets are metadata and handled on the driver.
     """
-    subsets = [
-        frozenset(r["sources"])
-        for r in bounded_rows(results.select("sources").distinct(), MAX_SUBSETS, "source sets")
-    ]
-    targets = [r["target"] for r in bounded_rows(results.select("target").distinct(), MAX_SUBSETS, "targets")]
-    scored = {
-        r["target"]
-        for r in bounded_rows(
-            results.where("split = 'train_val'").select("target").distinct(), MAX_SUBSETS, "targets"
-        )
-    }
+    seen = bounded_rows(
+        results.select("sources", "target", "split").distinct(), MAX_SUBSETS, "source sets and targets"
+    )
+    subsets = {frozenset(r["sources"]) for r in seen}
+    targets = sorted({r["target"] for r in seen})
+    scored = {r["target"] for r in seen if r["split"] == "train_val"}
     rows = []
     for t in targets:
         out = {s for s in subsets if t not in s}

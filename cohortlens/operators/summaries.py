@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bounded import bounded_rows, lookup
@@ -175,24 +175,28 @@ def variable_report(
     meta = bounded_rows(dictionary.select("VariableTag", "DataType"), what="dictionary")
     smooth = [r[0] for r in meta if r[1] in ("continuous", "treatment_cont") and r[0] in types]
     discrete = [(r[0], r[1]) for r in meta if r[1] in ("categorical", "treatment_ind") and r[0] in types]
-    pairs = [
-        F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value")) for v in smooth
-    ]
-    long = transform_by_dictionary(df.select(by, F.inline(F.array(*pairs))), dictionary)
+    long = transform_by_dictionary(
+        _long(df, by, {v: F.col(v).cast("double") for v in smooth}, "double"), dictionary
+    )
     missing = long.groupBy("variable", by).agg(
         F.avg(F.col("value").isNull().cast("double")).alias("missing")
     )
     density = kde(long, "value", points, by, ["variable"]).join(lookup(missing), ["variable", by])
-    cats = []
-    for v, t in discrete:
-        c = F.col(v)
-        if t == "treatment_ind":
-            c = F.coalesce(c, F.lit(False))
-        cats.append(F.struct(F.lit(v).alias("variable"), c.cast("string").alias("value")))
-    shares = category_shares(df.select(by, F.inline(F.array(*cats))), ["variable", by], "value")
+    cats = {
+        v: (F.coalesce(F.col(v), F.lit(False)) if t == "treatment_ind" else F.col(v)).cast("string")
+        for v, t in discrete
+    }
+    shares = category_shares(_long(df, by, cats, "string"), ["variable", by], "value")
     return density, shares
 
 
+def _long(df: DataFrame, by: str, cols: Mapping[str, Column], dtype: str) -> DataFrame:
+    """(by, variable, value) of the given columns; no rows when there are none."""
+    pairs = [F.struct(F.lit(v).alias("variable"), c.alias("value")) for v, c in cols.items()]
+    typed = F.array(*pairs).cast(f"array<struct<variable:string,value:{dtype}>>")
+    return df.select(by, F.inline(typed))
+
+
 def residual_band(
     results: DataFrame, params: Sequence[str], cv_metric: str, by: str = "gamma"
 ) -> DataFrame:
