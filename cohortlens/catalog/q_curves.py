@@ -135,8 +135,8 @@ def _equivalents(spark, sf):
         F.avg("test_value").alias("from_value"), F.min("test_value").alias("to_value")
     )
     seeds = n.select("target", "seed").distinct().join(values, "target")
-    out = cu.equivalent_n(n, seeds, ["target", "seed"], "from_value", "mse", out="from_equiv")
-    return cu.equivalent_n(n, out, ["target", "seed"], "to_value", "mse", out="to_equiv")
+    wanted = {"from_value": "from_equiv", "to_value": "to_equiv"}
+    return cu.equivalent_n(n, seeds, ["target", "seed"], wanted, "mse")
 
 
 @query(

@@ -104,24 +104,20 @@ def design_matrix(
 ) -> tuple[DataFrame, list[str]]:
     """Block-diagonal design: every term is built per dataset, other datasets get zeros.
 
-    Returns the table with an array column and the names of its entries. Levels and knots
-    come from one aggregate per term.
+    Returns the table with an array column and the names of its entries. All levels come
+    from one job, knots from one quantile job per spline.
     """
-    blocks: dict[str, list[tuple[str, Column]]] = {}
-    datasets = sorted(r[by] for r in bounded_rows(df.select(by).distinct(), MAX_TERMS, by))
-    for d in datasets:
-        blocks[d] = [(f"{d}:Intercept", F.lit(1.0))]
+    factors = [t.col for t in terms if isinstance(t, C)]
+    pairs = [F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in factors]
+    pairs.append(F.struct(F.lit("").alias("c"), F.lit("").alias("v")))
+    seen = df.select(by, F.inline(F.array(*pairs))).where("v is not null").distinct()
+    rows = bounded_rows(seen, MAX_TERMS, "levels of the design")
+    datasets = sorted({r[by] for r in rows})
+    blocks: dict[str, list[tuple[str, Column]]] = {d: [(f"{d}:Intercept", F.lit(1.0))] for d in datasets}
     for term in terms:
         if isinstance(term, C):
-            rows = bounded_rows(
-                df.select(by, F.col(term.col).cast("string").alias("v"))
-                .where("v is not null")
-                .distinct(),
-                MAX_TERMS,
-                f"levels of {term.col}",
-            )
             for d in datasets:
-                levels = sorted(r["v"] for r in rows if r[by] == d)
+                levels = sorted(r["v"] for r in rows if r[by] == d and r["c"] == term.col)
                 for v in levels[1:]:
                     hit = F.col(term.col).cast("string").eqNullSafe(F.lit(v)).cast("double")
                     blocks[d].append((f"{d}:C({term.col})[{v}]", hit))

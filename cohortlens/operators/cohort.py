@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,6 +189,55 @@ class Rules:
     max_gap_hours: int = MAX_GAP_HOURS
 
 
+def longest_gap(
+    stays: DataFrame, seen: DataFrame, keys: Sequence[str] = STAY, out: str = "gap_h"
+) -> DataFrame:
+    """Stays with their longest run of hours without a row in ``seen``.
+
+    Equals ``longest_run`` of empty hours on the grid, but works on the observed hours only:
+    the grid is never built. Hours outside the stay do not count.
+    """
+    t, start, end = F.col("_t"), F.col("start_h"), F.col("end_h")
+    hours = seen.select(*keys, F.col(TIME).alias("_t"))
+    rows = stays.select(*keys, "start_h", "end_h").join(hours, list(keys), "left")
+    rows = rows.withColumn("_t", F.when(t.between(start, end), t))
+    before = F.lag("_t").over(Window.partitionBy(*keys).orderBy("_t"))
+    rows = rows.withColumn("_gap", t - F.coalesce(before, start - 1) - 1)
+    last = F.coalesce(F.max("_t"), F.max("start_h") - 1)
+    gaps = rows.groupBy(*keys).agg(F.greatest(F.max("_gap"), F.max("end_h") - last).alias(out))
+    return stays.join(gaps, list(keys), "left")
+
+
+def flag_exclusions(
+    stays: DataFrame,
+    wide: DataFrame,
+    concepts: Sequence[str],
+    rules: Rules = Rules(),
+    keys: Sequence[str] = STAY,
+) -> DataFrame:
+    """Stays with ``n_rows``, ``gap_h`` and one boolean per rule: ``rule_1`` ... ``rule_4``.
+
+    Rules: negative length, short stay, few rows, long gap. ``stays`` needs ``start_h`` and
+    ``end_h`` and may bring ``los_h`` (length before truncation); ``wide`` is one row per
+    stay and hour, as ``concepts_wide`` gives it.
+    """
+    los = F.col("los_h") if "los_h" in stays.columns else F.col("end_h")
+    any_value = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in concepts])
+    marked = longest_gap(stays, wide.where(any_value), keys)
+    marked = marked.join(summary_count(wide, keys).withColumnRenamed("n", "n_rows"), list(keys), "left")
+    n = F.col("n_rows")
+    return marked.withColumns(
+        {
+            "n_rows": F.coalesce(n, F.lit(0)),
+            "rule_1": F.col("end_h") < 0,
+            "rule_2": los < rules.min_stay_hours,
+            # A stay without any row is not listed here; it has no dynamic data at all.
+            "rule_3": F.coalesce(n < rules.min_rows, F.lit(False)),
+            "rule_4": F.coalesce(F.col("gap_h") > rules.max_gap_hours, F.lit(False)),
+        }
+    )
+
+
 def exclusions(
     stays: DataFrame,
     wide: DataFrame,
@@ -195,61 +245,60 @@ def exclusions(
     rules: Rules = Rules(),
     keys: Sequence[str] = STAY,
 ) -> list[DataFrame]:
-    """Ids hit by each rule: negative length, short stay, few rows, long gap.
+    """Ids hit by each of the four rules, one table per rule.
 
-    ``stays`` needs ``end_h`` and may bring ``los_h`` (length of stay before truncation);
-    ``wide`` is one row per stay and hour, as ``concepts_wide`` gives it.
+    The tables share one set of flags per stay, which is kept for them.
     """
-    los = F.col("los_h") if "los_h" in stays.columns else F.col("end_h")
-    negative = stays.where("end_h < 0").select(*keys).distinct()
-    short = stays.where(los < rules.min_stay_hours).select(*keys).distinct()
-    few = summary_count(wide, keys).where(F.col("n") < rules.min_rows).select(*keys)
-    seen = n_obs_per_row(map_to_grid(stays, wide, keys), concepts)
-    seen = seen.withColumn("_any", F.col("n") > 0)
-    gaps = longest_run(seen, "_any", False, keys)
-    long_gap = gaps.where(F.col("lengths") > rules.max_gap_hours).select(*keys)
-    return [negative, short, few, long_gap]
+    marked = flag_exclusions(stays, wide, concepts, rules, keys).persist(StorageLevel.MEMORY_AND_DISK)
+    return [marked.where(f"rule_{i}").select(*keys).distinct() for i in range(1, 5)]
+
+
+def attrition(marked: DataFrame, n_rules: int = 4) -> DataFrame:
+    """Per step: stays left, stays hit by the rule, stays it removed. One aggregate."""
+    steps = range(1, n_rules + 1)
+    first = F.coalesce(*[F.when(F.col(f"rule_{i}"), F.lit(i)) for i in steps], F.lit(n_rules + 1))
+    counts = marked.withColumn("_first", first).agg(
+        *[F.count(F.when(F.col("_first") > i, 1)).alias(f"in_{i}") for i in steps],
+        *[F.count(F.when(F.col("_first") == i, 1)).alias(f"out_{i}") for i in steps],
+        *[F.count(F.when(F.col(f"rule_{i}"), 1)).alias(f"hit_{i}") for i in steps],
+    )
+    rows = [
+        F.struct(
+            F.lit(i).alias("step"),
+            F.col(f"in_{i}").alias("incl_n"),
+            F.col(f"hit_{i}").alias("excl_n_total"),
+            F.col(f"out_{i}").alias("excl_n"),
+        )
+        for i in steps
+    ]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def exclude(
     stays: DataFrame, lists: Sequence[DataFrame], keys: Sequence[str] = STAY
 ) -> tuple[DataFrame, DataFrame]:
-    """Anti-join the exclusion lists in order; return (kept stays, attrition table).
+    """Remove the listed ids in order; return (kept stays, attrition table).
 
-    All lists are tagged with their position and reduced to the first one that hits a
-    stay, so a single join replaces the chain of anti-joins.
+    The lists are tagged with their position and reduced to one set of flags per id, so a
+    single join replaces the chain of anti-joins. Listed ids that are no stays count in
+    ``excl_n_total`` only.
     """
-    tagged = [d.select(*keys).withColumn("_step", F.lit(i)) for i, d in enumerate(lists, 1)]
-    hits = reduce(lambda a, b: a.unionByName(b), tagged)
-    first = hits.groupBy(*keys).agg(F.min("_step").alias("_first"))
-    marked = stays.join(first, list(keys), "left")
-    kept = marked.where(F.col("_first").isNull()).drop("_first")
-
     steps = range(1, len(lists) + 1)
-    still_in = F.coalesce(F.col("_first"), F.lit(len(lists) + 1))
-    counts = marked.agg(
-        *[F.count(F.when(still_in > i, 1)).alias(f"in_{i}") for i in steps],
-        *[F.count(F.when(still_in == i, 1)).alias(f"out_{i}") for i in steps],
-    )
-    rows = F.inline(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("step"),
-                    F.col(f"in_{i}").alias("incl_n"),
-                    F.col(f"out_{i}").alias("excl_n"),
-                )
-                for i in steps
-            ]
-        )
-    )
-    totals = hits.groupBy(F.col("_step").alias("step")).agg(F.count("*").alias("excl_n_total"))
-    attrition = (
-        counts.select(rows)
-        .join(totals, "step", "left")
-        .select("step", "incl_n", F.coalesce("excl_n_total", F.lit(0)).alias("excl_n_total"), "excl_n")
+    tagged = [d.select(*keys).distinct().withColumn("_step", F.lit(i)) for i, d in enumerate(lists, 1)]
+    hits = reduce(lambda a, b: a.unionByName(b), tagged)
+    flags = hits.groupBy(*keys).agg(
+        *[F.bool_or(F.col("_step") == i).alias(f"rule_{i}") for i in steps], F.lit(True).alias("_listed")
     )
-    return kept, attrition
+    marked = stays.withColumn("_stay", F.lit(True)).join(flags, list(keys), "full")
+    rules = [f"rule_{i}" for i in steps]
+    marked = marked.withColumns({r: F.coalesce(r, F.lit(False)) for r in rules})
+    is_stay = F.col("_stay").isNotNull()
+    kept = marked.where(is_stay & F.col("_listed").isNull()).select(*stays.columns)
+    report = attrition(marked.where(is_stay), len(lists))
+    totals = hits.groupBy(F.col("_step").alias("step")).agg(F.count("*").alias("_total"))
+    report = report.drop("excl_n_total").join(totals, "step", "left")
+    total = F.coalesce("_total", F.lit(0)).alias("excl_n_total")
+    return kept, report.select("step", "incl_n", total, "excl_n")
 
 
 def require_dynamic(

@@ -5,7 +5,7 @@ Rows are averaged per (curve, x) first, so a curve is never longer than the size
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import partial
 
 import numpy as np
@@ -311,14 +311,13 @@ def equivalent_n(
     curves: DataFrame,
     values: DataFrame,
     keys: Sequence[str],
-    value: str,
+    wanted: Mapping[str, str],
     metric: str,
     y: str = "test_value",
-    out: str = "equivalent_n",
 ) -> DataFrame:
-    """Number of target samples that reach each value of the metric.
+    """Number of target samples that reach given values of the metric.
 
-    The isotonic curve is extended at both ends by the line through its outer points and
+    ``wanted`` maps value columns of ``values`` to output columns. The isotonic curve is extended at both ends by the line through its outer points and
     read backwards; values beyond the extended ends are clamped to them.
     """
     up = metric in GREATER_IS_BETTER
@@ -346,15 +345,19 @@ def equivalent_n(
     )
     f = f.withColumn("_all", F.concat(some("_front"), "_p", some("_back"))).drop("_front", "_back", "_p")
     j = values.join(f, list(keys))
-    v, pts = F.col(value), F.col("_all")
+    pts = F.col("_all")
     first, last = F.element_at(pts, 1), F.element_at(pts, -1)
-    log_n = (
-        F.when(v.isNull(), None)
-        .when(worse * (v - first["v"]) >= 0, first["l"])
-        .when(-worse * (v - last["v"]) > 0, last["l"])
-        .otherwise(F.when(F.size(pts) > 1, _interpolate(v, pts, True)))
-    )
-    return j.withColumn(out, F.exp(log_n)).drop("_all")
+    out = {}
+    for column, name in wanted.items():
+        v = F.col(column)
+        log_n = (
+            F.when(v.isNull(), None)
+            .when(worse * (v - first["v"]) >= 0, first["l"])
+            .when(-worse * (v - last["v"]) > 0, last["l"])
+            .otherwise(F.when(F.size(pts) > 1, _interpolate(v, pts, True)))
+        )
+        out[name] = F.exp(log_n)
+    return j.withColumns(out).drop("_all")
 
 
 def improvement(

@@ -104,14 +104,10 @@ def residual_metrics(
 ) -> DataFrame:
     """Residual quantiles and mean, residual = y - yhat."""
     src = _with_clip(df, by) if binary else df.withColumn("_yhat", F.col("yhat"))
-    r = (F.col("y") - F.col("_yhat")).alias("r")
-    scored = src.select(*by, r)
-    q = _spread(
-        quantiles(scored, by, {"r": F.col("r")}, RESIDUAL_Q, hot_rows=hot_rows),
-        by,
-        {"r": (RESIDUAL_Q, "quantile_{q}")},
-    )
-    return q.join(scored.groupBy(*by).agg(F.avg("r").alias("mean_residual")), list(by))
+    r = {"r": F.col("y") - F.col("_yhat")}
+    mean = {"mean_residual": F.avg("r")}
+    q = quantiles(src, by, r, RESIDUAL_Q, hot_rows=hot_rows, extra=mean)
+    return _spread(q, [*by, "mean_residual"], {"r": (RESIDUAL_Q, "quantile_{q}")})
 
 
 def regression_metrics(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -190,15 +186,15 @@ def auprc(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFra
 
 def _projected(
     df: DataFrame, by: Sequence[str], group: Sequence[str], value: Column, hot_rows: int, square: bool
-) -> tuple[DataFrame, DataFrame]:
-    """Quantiles and mean over rows of a group-mean projection, computed on group level."""
-    g = df.select(*by, *[c for c in group if c not in by], value.alias("_v"))
+) -> DataFrame:
+    """Quantiles ``p`` and mean ``_mean`` over rows of a group-mean projection, on group level."""
     keys = [*by, *[c for c in group if c not in by]]
-    g = g.groupBy(*keys).agg(F.count("*").alias("_n"), F.avg("_v").alias("_m"))
+    g = df.select(*keys, value.alias("_v")).groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.avg("_v").alias("_m")
+    )
     m = F.col("_m") * F.col("_m") if square else F.col("_m")
-    q = quantiles(g, by, {"p": m}, PROJECTED_Q, weight=F.col("_n"), hot_rows=hot_rows)
-    mean = g.groupBy(*by).agg((F.sum(m * F.col("_n")) / F.sum("_n")).alias("_mean"))
-    return q, mean
+    mean = {"_mean": F.sum(F.col("p") * F.col("_weight")) / F.sum("_weight")}
+    return quantiles(g, by, {"p": m}, PROJECTED_Q, weight=F.col("_n"), hot_rows=hot_rows, extra=mean)
 
 
 def projected_metrics(
@@ -210,9 +206,9 @@ def projected_metrics(
 ) -> DataFrame:
     """Mean and quantiles of the squared residual projection on the anchor groups."""
     src = _with_clip(df, by) if binary else df.withColumn("_yhat", F.col("yhat"))
-    q, mean = _projected(src, by, group, F.col("y") - F.col("_yhat"), hot_rows, True)
-    out = _spread(q, by, {"p": (PROJECTED_Q, "proj_residuals_sq_quantile_{q}")})
-    return out.join(mean.withColumnRenamed("_mean", "proj_residuals_sq"), list(by))
+    q = _projected(src, by, group, F.col("y") - F.col("_yhat"), hot_rows, True)
+    q = q.withColumnRenamed("_mean", "proj_residuals_sq")
+    return _spread(q, [*by, "proj_residuals_sq"], {"p": (PROJECTED_Q, "proj_residuals_sq_quantile_{q}")})
 
 
 def projected_log_loss(
@@ -220,9 +216,9 @@ def projected_log_loss(
 ) -> DataFrame:
     """Mean and quantiles of the log-loss projection on the anchor groups."""
     src = _with_clip(df, by)
-    q, mean = _projected(src, by, group, log_loss(F.col("y"), F.col("_yhat")), hot_rows, False)
-    out = _spread(q, by, {"p": (PROJECTED_Q, "proj_logloss_quantile_{q}")})
-    return out.join(mean.withColumnRenamed("_mean", "proj_logloss"), list(by))
+    q = _projected(src, by, group, log_loss(F.col("y"), F.col("_yhat")), hot_rows, False)
+    q = q.withColumnRenamed("_mean", "proj_logloss")
+    return _spread(q, [*by, "proj_logloss"], {"p": (PROJECTED_Q, "proj_logloss_quantile_{q}")})
 
 
 def all_metrics(

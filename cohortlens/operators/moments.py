@@ -150,25 +150,35 @@ def project_groups(
 
 
 def project_design(
-    df: DataFrame, cols: Sequence[str], z: str, suffix: str = "_proj", centre: bool = True
+    df: DataFrame,
+    cols: Sequence[str],
+    z: str,
+    width: int | None = None,
+    suffix: str = "_proj",
+    centre: bool = True,
 ) -> DataFrame:
-    """Projection on a general design: Z (Z'Z)^+ Z'v with Z in an array column.
+    """Projection on a general design: Z (Z'Z)^+ Z'v with Z in an array column of ``width``.
 
-    One pass sums the few-hundred-square cross products, the second applies them.
+    One pass sums the few-hundred-square cross products of (1, Z, v), which also hold the
+    means for centring; the second pass applies the coefficients.
     """
-    q = len(df.select(z).first()[0])
-    mean = _grand_means(df, cols) if centre else dict.fromkeys(cols, 0.0)
+    q = len(df.select(z).first()[0]) if width is None else width
+    p = len(cols)
+    names = ["_one", *[f"_z{k}" for k in range(q)], *[f"_v{k}" for k in range(p)]]
     wide = df.select(
+        F.lit(1.0).alias("_one"),
         *[F.col(z)[k].alias(f"_z{k}") for k in range(q)],
-        *[(F.col(c) - F.lit(mean[c])).alias(f"_v{k}") for k, c in enumerate(cols)],
+        *[F.col(c).cast("double").alias(f"_v{k}") for k, c in enumerate(cols)],
         F.lit(0).alias("_all"),
     )
-    names = [f"_z{k}" for k in range(q)] + [f"_v{k}" for k in range(len(cols))]
-    m = _moments_by_blocks(wide, names, ["_all"], None, None)
-    gram = np.zeros((len(names), len(names)))
-    for r in m.where(F.col("i") < q).select("i", "j", "cij").collect():
+    m = _moments_by_blocks(wide, names, ["_all"], None, None).where(F.col("i") <= q)
+    gram = np.zeros((q + 1 + p, q + 1 + p))
+    for r in m.select("i", "j", "cij").collect():
         gram[r["i"], r["j"]] = gram[r["j"], r["i"]] = r["cij"]
-    coef = np.linalg.pinv(gram[:q, :q], rcond=1e-12, hermitian=True) @ gram[:q, q:]
+    zz, zv, z1 = gram[1 : q + 1, 1 : q + 1], gram[1 : q + 1, q + 1 :], gram[1 : q + 1, 0]
+    if centre:
+        zv = zv - np.outer(z1, gram[0, q + 1 :] / gram[0, 0])
+    coef = np.linalg.pinv(zz, rcond=1e-12, hermitian=True) @ zv
     out = {}
     for k, c in enumerate(cols):
         beta = F.array(*[F.lit(float(b)) for b in coef[:, k]])

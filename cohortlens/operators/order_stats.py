@@ -146,11 +146,14 @@ def quantiles(
     probs: Sequence[float] | Mapping[str, Sequence[float]],
     weight: Column | None = None,
     hot_rows: int = HOT_ROWS,
+    extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation; one array column per entry of ``values``.
 
-    ``weight`` is an integer number of copies per row. Nulls are left out.
+    ``weight`` is an integer number of copies per row. Nulls are left out. ``extra`` are
+    plain aggregates over the value columns, taken in the same pass.
     """
+    more = [c.alias(n) for n, c in (extra or {}).items()]
     per = {o: list(probs[o] if isinstance(probs, Mapping) else probs) for o in values}
     base = df.select(
         *keys,
@@ -161,7 +164,7 @@ def quantiles(
 
     def plain(d: DataFrame) -> DataFrame:
         aggs = [F.percentile(o, F.array(*[F.lit(p) for p in ps]), freq).alias(o) for o, ps in per.items()]
-        return d.groupBy(*keys).agg(*aggs)
+        return d.groupBy(*keys).agg(*aggs, *more)
 
     hot = _hot_groups(base, keys, hot_rows)
     if hot is None:
@@ -173,5 +176,7 @@ def quantiles(
         _hot_quantiles(weighted.where(F.col(o).isNotNull()), keys, o, ps, o, hot)
         for o, ps in per.items()
     ]
+    if more:
+        parts.append(base.join(hot, list(keys), "left_semi").groupBy(*keys).agg(*more))
     large = reduce(lambda a, b: a.join(b, list(keys), "full"), parts)
     return small.unionByName(large.select(*small.columns))

@@ -12,11 +12,10 @@ from ..operators.cohort import (
     MAX_STAY_DAYS,
     STAY,
     Rules,
+    attrition,
     concepts_wide,
-    exclude,
-    exclusions,
+    flag_exclusions,
     map_to_grid,
-    require_dynamic,
     static_for,
     stay_windows,
     stop_obs_at,
@@ -35,20 +34,20 @@ def extract_cohort(
     """Windows, truncation, exclusions, grid.
 
     ``obs`` is long (dataset, stay_id, concept, time_h, value). It is pivoted once; the wide
-    table serves the exclusion rules and the output, so it is kept for both.
+    table and the one-row-per-stay flags serve several outputs, so both are kept.
     """
+    wide = concepts_wide(obs, concepts).persist(StorageLevel.MEMORY_AND_DISK)
     windows = stay_windows(obs) if stays is None else stays
     windows = windows.withColumn("los_h", F.col("end_h") - F.col("start_h"))
-    cut = stop_obs_at(windows, max_days * 24)
-    wide = concepts_wide(obs, concepts).persist(StorageLevel.MEMORY_AND_DISK)
-    kept, attrition = exclude(cut, exclusions(cut, wide, concepts, rules))
-    kept, _ = require_dynamic(kept, wide)
-    dyn = map_to_grid(kept, wide)
-    los = windows.select(*STAY, (F.col("los_h") / 24).alias("los_icu"))
+    whole = F.col("end_h").alias("whole_end_h")
+    cut = stop_obs_at(windows.select("*", whole), max_days * 24)
+    marked = flag_exclusions(cut, wide, concepts, rules).persist(StorageLevel.MEMORY_AND_DISK)
+    hit = F.col("rule_1") | F.col("rule_2") | F.col("rule_3") | F.col("rule_4")
+    kept = marked.where(~hit & (F.col("n_rows") > 0)).select(*STAY, "start_h", "end_h")
     return Cohort(
-        patients=windows.select(*STAY, "start_h", "end_h"),
-        los_icu=los,
-        dyn=dyn,
+        patients=marked.select(*STAY, "start_h", F.col("whole_end_h").alias("end_h")),
+        los_icu=marked.select(*STAY, (F.col("los_h") / 24).alias("los_icu")),
+        dyn=map_to_grid(kept, wide),
         sta=static_for(kept, sta),
-        attrition=attrition,
+        attrition=attrition(marked),
     )

@@ -47,12 +47,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage once and cut its lineage.
+    """Write ``df`` to the shared folder once and go on from the written table.
 
-    Used where a table must not change between two uses (sketch-based split
-    points) and where iterations would let the plan grow without end.
+    Used where a table must not change between two uses (sketch-based split points), where
+    several jobs follow, and where iterations would let the plan grow without end. A lost
+    executor then costs a re-read, never a recomputation from the start.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
