@@ -38,7 +38,8 @@ class LinearModel:
     params: Mapping[str, object] = field(default_factory=dict)
 
     def predictor(self, cols: Sequence[str]) -> Column:
-        x = [F.coalesce(F.col(c).cast("double"), F.lit(float(m))) for c, m in zip(cols, self.means)]
+        seen = [F.nullif(F.col(c).cast("double"), F.lit(float("nan"))) for c in cols]
+        x = [F.coalesce(c, F.lit(float(m))) for c, m in zip(seen, self.means)]
         return F.lit(float(self.intercept)) + dot(self.coef, x)
 
 

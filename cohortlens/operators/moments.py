@@ -25,7 +25,7 @@ MOMENT_FIELDS = ("n", "si", "sj", "cij", "dii", "djj")
 
 
 def _shifted(c: str, shift: dict[str, float] | None) -> Column:
-    x = F.col(c).cast("double")
+    x = F.nullif(F.col(c).cast("double"), F.lit(float("nan")))
     return x - F.lit(float(shift[c])) if shift and c in shift else x
 
 
@@ -40,7 +40,7 @@ def env_moments(
 
     Over rows where both columns are observed: ``n`` (weight sum), ``si``, ``sj`` (sums),
     ``cij`` (cross product), ``dii``, ``djj`` (squares). ``shift`` subtracts rough means
-    first so that large offsets do not cancel.
+    first so that large offsets do not cancel. NaN counts as missing.
     """
     cols = list(cols)
     if len(cols) <= MAX_EXPRESSION_COLUMNS:

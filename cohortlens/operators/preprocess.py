@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bounded import bounded_rows
@@ -37,22 +37,26 @@ def column_groups(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str,
     return groups
 
 
+def _seen(c: str) -> Column:
+    return F.nullif(F.col(c).cast("double"), F.lit(float("nan")))
+
+
 @dataclass
 class MeanImputer:
-    """Nulls become the training mean; a column without any value becomes 0."""
+    """Nulls and NaN become the training mean; a column without any value becomes 0."""
 
     cols: Sequence[str]
     means: dict[str, float] = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> MeanImputer:
-        row = df.agg(*[F.avg(c).alias(c) for c in self.cols]).first()
+        if not self.cols:
+            return self
+        row = df.agg(*[F.avg(_seen(c)).alias(c) for c in self.cols]).first()
         self.means = {c: 0.0 if row[c] is None else float(row[c]) for c in self.cols}
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns(
-            {c: F.coalesce(F.col(c).cast("double"), F.lit(self.means[c])) for c in self.cols}
-        )
+        return df.withColumns({c: F.coalesce(_seen(c), F.lit(self.means[c])) for c in self.cols})
 
 
 @dataclass

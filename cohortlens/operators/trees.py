@@ -64,10 +64,14 @@ def _read_node(node, columns: Sequence[str], leaves: list[float]) -> Node:
     return Node(None, columns[split.featureIndex()], float(split.threshold()), left, right)
 
 
+def _filled(c: str) -> Column:
+    return F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(float("nan"))), F.lit(MISSING))
+
+
 def _leaf_of(node: Node) -> Column:
     if node.leaf is not None:
         return F.lit(node.leaf)
-    x = F.coalesce(F.col(node.column).cast("double"), F.lit(MISSING))
+    x = _filled(node.column)
     return F.when(x <= F.lit(node.threshold), _leaf_of(node.left)).otherwise(_leaf_of(node.right))
 
 
@@ -75,7 +79,7 @@ def _value_of(tree: Tree, node: Node | None = None) -> Column:
     node = tree.root if node is None else node
     if node.leaf is not None:
         return F.lit(tree.values[node.leaf])
-    x = F.coalesce(F.col(node.column).cast("double"), F.lit(MISSING))
+    x = _filled(node.column)
     return F.when(x <= F.lit(node.threshold), _value_of(tree, node.left)).otherwise(
         _value_of(tree, node.right)
     )
@@ -153,10 +157,7 @@ def fit_anchor_boosting(
             means = lookup(work.groupBy(*group).agg(F.avg("_r").alias("_p")))
             work = work.join(means, list(group))
             work = work.withColumn("_r", F.col("_r") + F.lit(gamma - 1.0) * F.col("_p")).drop("_p")
-        filled = [
-            F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(f"_f{k}")
-            for k, c in enumerate(features)
-        ]
+        filled = [_filled(c).alias(f"_f{k}") for k, c in enumerate(features)]
         grown = learner.fit(assembler.transform(work.select(*filled, F.col("_r").alias("_target"))))
         leaves: list[float] = []
         root = _read_node(grown._call_java("rootNode"), features, leaves)

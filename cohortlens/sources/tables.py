@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import finite
+
 DICTIONARY_SCHEMA = T.StructType(
     [
         T.StructField(name, T.StringType())
@@ -33,6 +35,12 @@ DICTIONARY_SCHEMA = T.StructType(
 )
 
 
+def normalise_missing(df: DataFrame) -> DataFrame:
+    """NaN and infinities of floating columns become null, so that null alone means missing."""
+    floats = [c for c, t in df.dtypes if t in ("double", "float")]
+    return df.withColumns({c: finite(F.col(c)) for c in floats})
+
+
 def load(
     spark: SparkSession,
     root: str,
@@ -66,7 +74,8 @@ def load(
     else:
         special = {outcome, "split", "dataset", *other_columns}
         features = [c for c in df.columns if c not in special]
-    return df.select(*features, F.col(outcome).alias("y"), *other_columns)
+    out = normalise_missing(df.select(*features, F.col(outcome).alias("y"), *other_columns))
+    return out.where("y is not null")
 
 
 def scan_column(spark: SparkSession, path: str, column: str) -> DataFrame:
