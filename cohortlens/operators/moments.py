@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from ..functions.bounded import lookup
 
 #: Up to this many columns the sums are plain aggregate expressions.
-MAX_EXPRESSION_COLUMNS = 12
+MAX_EXPRESSION_COLUMNS = 6
 #: Environments a task sums up before it hands its partial sums on.
 MAX_OPEN_ENVIRONMENTS = 64
 
-MOMENT_FIELDS = ("n", "si", "sj", "cij", "dii", "djj")
+MOMENT_FIELDS = ("n", "si", "sj", "cij")
 
 
 def _shifted(c: str, shift: dict[str, float] | None) -> Column:
@@ -38,8 +38,8 @@ def env_moments(
 ) -> DataFrame:
     """Long moments: one row per (environment, i, j) with i <= j.
 
-    Over rows where both columns are observed: ``n`` (weight sum), ``si``, ``sj`` (sums),
-    ``cij`` (cross product), ``dii``, ``djj`` (squares). ``shift`` subtracts rough means
+    Over rows where both columns are observed: ``n`` (weight sum), ``si``, ``sj`` (sums) and
+    ``cij`` (cross product). ``shift`` subtracts rough means
     first so that large offsets do not cancel. NaN counts as missing.
     """
     cols = list(cols)
@@ -49,37 +49,28 @@ def env_moments(
 
 
 def _moments_by_expression(df, cols, by, weight, shift) -> DataFrame:
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    x = {c: _shifted(c, shift) for c in cols}
+    x = [f"_x{k}" for k in range(len(cols))]
+    data = df.select(
+        *by,
+        (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("_w"),
+        *[_shifted(c, shift).alias(n) for c, n in zip(cols, x)],
+    )
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    aggs = []
+    sums, rows = [], []
     for i, j in pairs:
-        a, b = x[cols[i]], x[cols[j]]
-        both = a.isNotNull() & b.isNotNull()
-        aggs.append(
-            F.struct(
-                F.coalesce(F.sum(F.when(both, w)), F.lit(0.0)).alias("n"),
-                F.coalesce(F.sum(F.when(both, w * a)), F.lit(0.0)).alias("si"),
-                F.coalesce(F.sum(F.when(both, w * b)), F.lit(0.0)).alias("sj"),
-                F.coalesce(F.sum(F.when(both, w * a * b)), F.lit(0.0)).alias("cij"),
-                F.coalesce(F.sum(F.when(both, w * a * a)), F.lit(0.0)).alias("dii"),
-                F.coalesce(F.sum(F.when(both, w * b * b)), F.lit(0.0)).alias("djj"),
-            ).alias(f"p_{i}_{j}")
-        )
-    wide = df.groupBy(*by).agg(*aggs)
-    rows = F.inline(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("i"),
-                    F.lit(j).alias("j"),
-                    *[F.col(f"p_{i}_{j}.{f}").alias(f) for f in MOMENT_FIELDS],
-                )
-                for i, j in pairs
-            ]
-        )
-    )
-    return wide.select(*by, rows)
+        a, b = f"_x{i}", f"_x{j}"
+        # A product with a missing factor is null and drops out of its sum.
+        terms = {
+            "n": f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN _w END",
+            "si": f"CASE WHEN {b} IS NOT NULL THEN _w * {a} END",
+            "sj": f"CASE WHEN {a} IS NOT NULL THEN _w * {b} END",
+            "cij": f"_w * {a} * {b}",
+        }
+        sums += [F.expr(f"sum({t})").alias(f"{f}_{i}_{j}") for f, t in terms.items()]
+        fields = ", ".join(f"'{f}', coalesce({f}_{i}_{j}, 0D)" for f in MOMENT_FIELDS)
+        rows.append(f"named_struct('i', {i}, 'j', {j}, {fields})")
+    wide = data.groupBy(*by).agg(*sums)
+    return wide.select(*by, F.expr(f"inline(array({', '.join(rows)}))"))
 
 
 def _moments_by_blocks(df, cols, by, weight, shift) -> DataFrame:
@@ -122,8 +113,8 @@ def _moments_by_blocks(df, cols, by, weight, shift) -> DataFrame:
                 seen = (~np.isnan(xs)).astype(float)
                 v = np.where(seen > 0, xs, 0.0)
                 wv = ws * v
-                n, s, c, d = (ws * seen).T @ seen, wv.T @ seen, wv.T @ v, (wv * v).T @ seen
-                new = [n, s, s.T, c, d, d.T]
+                s = wv.T @ seen
+                new = [(ws * seen).T @ seen, s, s.T, wv.T @ v]
                 old = sums.get(key)
                 sums[key] = new if old is None else [a + b for a, b in zip(old, new)]
             if len(sums) > MAX_OPEN_ENVIRONMENTS:
