@@ -149,6 +149,7 @@ def _stored_cohort(spark, sf, multi_centre):
         cohort.hospital = nation.select(F.col("n_nationkey").alias("hospital_id"), F.col("n_name").alias("name"))
     path = scratch_path(spark, "cohort")
     stores.write_cohort(cohort, path, multi_centre=multi_centre)
+    cohort.release()
     return path
 
 

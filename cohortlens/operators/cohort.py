@@ -78,27 +78,17 @@ def filter_step(df: DataFrame, cond: Callable[[Column], Column], col: str) -> Da
     return df.where(cond(F.col(col)))
 
 
-def filter_in_windows(
-    ts: DataFrame, win: DataFrame, keys: Sequence[str] = STAY, slot_hours: int = 24
-) -> DataFrame:
+def filter_in_windows(ts: DataFrame, win: DataFrame, keys: Sequence[str] = STAY) -> DataFrame:
     """Rows inside any interval of the same id, both ends included.
 
-    Intervals are cut into time slots so that the semi join hashes on (id, slot): a busy
-    id spreads over its slots, and only the slot's own intervals are compared.
+    Time is whole hours, so the intervals become the set of hours they cover: at most one row
+    per id and hour, however many intervals overlap. The range condition turns into an equi
+    semi join on (id, hour), which neither compares pairs nor piles a busy id onto one task.
     """
-    slot = f"_slot_{slot_hours}"
-    cut = win.where("end_h >= start_h").select(
-        *keys,
-        "start_h",
-        "end_h",
-        F.explode(
-            F.sequence(F.floor(F.col("start_h") / slot_hours), F.floor(F.col("end_h") / slot_hours))
-        ).alias(slot),
-    )
-    left = ts.withColumn(slot, F.floor(F.col(TIME) / slot_hours))
-    same = reduce(lambda a, b: a & b, [left[k] == cut[k] for k in [*keys, slot]])
-    inside = (cut["start_h"] <= left[TIME]) & (left[TIME] <= cut["end_h"])
-    return left.join(cut, same & inside, "left_semi").drop(slot)
+    longest = win.groupBy(*keys, "start_h").agg(F.max("end_h").alias("end_h"))
+    hours = F.explode(F.sequence("start_h", "end_h")).alias(TIME)
+    covered = longest.where("end_h >= start_h").select(*keys, hours).distinct()
+    return ts.join(covered, [*keys, TIME], "left_semi")
 
 
 def mutate_step(

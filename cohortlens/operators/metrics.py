@@ -8,6 +8,7 @@ through ``order_stats`` so that no group has to fit one task.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +70,9 @@ def clip_predictions(df: DataFrame, by: Sequence[str], yhat: str = "yhat") -> Da
 
 
 def _with_clip(df: DataFrame, by: Sequence[str], yhat: str = "yhat") -> DataFrame:
+    """Adds ``_yhat``, the predictions after the clipping rule (once per table)."""
+    if "_yhat" in df.columns:
+        return df
     ends = lookup(
         df.groupBy(*by).agg(
             ((F.max(yhat) <= 1) & (F.min(yhat) < 0)).alias("_clip"),
@@ -228,25 +232,53 @@ def all_metrics(
     group: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Every metric of the task, one wide row per group."""
-    binary = task == "binary"
-    parts = [residual_metrics(df, by, binary, hot_rows)]
-    if binary:
-        parts += [
-            binary_losses(df, by),
-            rank_metrics(df, by, hot_rows),
-            log_loss_quantiles(df, by, hot_rows),
-        ]
+    """Every metric of the task, one wide row per group.
+
+    Quantiles and means share one pass; rank metrics and projections take one more each.
+    """
+    if task == "binary":
+        df = _with_clip(df, by)
+        parts = [_binary_pass(df, by, hot_rows), rank_metrics(df, by, hot_rows)]
     else:
-        parts += [regression_metrics(df, by), absolute_quantiles(df, by, hot_rows)]
+        parts = [_regression_pass(df, by, hot_rows)]
     if group is not None:
-        parts.append(projected_metrics(df, by, group, binary, hot_rows))
-        if binary:
+        parts.append(projected_metrics(df, by, group, task == "binary", hot_rows))
+        if task == "binary":
             parts.append(projected_log_loss(df, by, group, hot_rows))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, list(by))
-    return out
+    return reduce(lambda a, b: a.join(b, list(by)), parts)
+
+
+def _regression_pass(df: DataFrame, by: Sequence[str], hot_rows: int) -> DataFrame:
+    r = F.col("y") - F.col("yhat")
+    mse = F.avg(F.col("r") * F.col("r"))
+    means = {
+        "mean_residual": F.avg("r"),
+        "mse": mse,
+        "rmse": F.sqrt(mse),
+        "mae": F.avg("a"),
+    }
+    q = quantiles(df, by, {"r": r, "a": F.abs(r)}, RESIDUAL_Q, hot_rows=hot_rows, extra=means)
+    arrays = {"r": (RESIDUAL_Q, "quantile_{q}"), "a": (RESIDUAL_Q, "abs_quantile_{q}")}
+    out = _spread(q, [*by, *means], arrays)
+    squares = [(F.col(f"`abs_quantile_{p}`") ** 2).alias(f"mse_quantile_{p}") for p in RESIDUAL_Q]
+    return out.select("*", *squares)
+
+
+def _binary_pass(df: DataFrame, by: Sequence[str], hot_rows: int) -> DataFrame:
+    y, p = F.col("y"), F.col("_yhat")
+    both = F.min("_one") < F.max("_one")
+    carry = {"_one": (y == 1).cast("double"), "_hit": ((p >= 0.5) == (y == 1)).cast("double")}
+    means = {
+        "mean_residual": F.avg("r"),
+        "accuracy": F.when(both, F.avg("_hit")),
+        "log_loss": F.when(both, F.avg("l")),
+        "brier": F.when(both, F.avg(F.col("r") * F.col("r"))),
+    }
+    values = {"r": y - p, "l": log_loss(y, p)}
+    levels = {"r": RESIDUAL_Q, "l": LOSS_Q}
+    q = quantiles(df, by, values, levels, hot_rows=hot_rows, extra=means, carry=carry)
+    arrays = {"r": (RESIDUAL_Q, "quantile_{q}"), "l": (LOSS_Q, "log_loss_quantile_{q}")}
+    return _spread(q, [*by, *means], arrays)
 
 
 def metrics_long(wide: DataFrame, by: Sequence[str]) -> DataFrame:

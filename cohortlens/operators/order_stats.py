@@ -147,17 +147,19 @@ def quantiles(
     weight: Column | None = None,
     hot_rows: int = HOT_ROWS,
     extra: Mapping[str, Column] | None = None,
+    carry: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation; one array column per entry of ``values``.
 
     ``weight`` is an integer number of copies per row. Nulls are left out. ``extra`` are
-    plain aggregates over the value columns, taken in the same pass.
+    plain aggregates over the value columns and the ``carry`` columns, taken in the same pass.
     """
     more = [c.alias(n) for n, c in (extra or {}).items()]
     per = {o: list(probs[o] if isinstance(probs, Mapping) else probs) for o in values}
     base = df.select(
         *keys,
         *[c.cast("double").alias(o) for o, c in values.items()],
+        *[c.alias(n) for n, c in (carry or {}).items()],
         *([] if weight is None else [weight.cast("long").alias("_weight")]),
     )
     freq = F.lit(1) if weight is None else F.col("_weight")

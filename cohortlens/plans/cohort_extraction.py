@@ -50,4 +50,5 @@ def extract_cohort(
         dyn=map_to_grid(kept, wide),
         sta=static_for(kept, sta),
         attrition=attrition(marked),
+        cached=(wide, marked),
     )

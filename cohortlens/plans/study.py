@@ -6,17 +6,19 @@ follow from them), and, only where quantile or rank metrics are wanted, one scor
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.bounded import local_table
 from ..operators.linear import LinearModel, Moments, fit_anchor, squared_error
 from ..operators.metrics import all_metrics, metrics_long
 from ..operators.moments import env_moments
+from ..session import pin
 
 RESULT_SCHEMA = (
     "run_id string, sources array<string>, gamma double, alpha double, l1_ratio double, "
@@ -53,31 +55,22 @@ def study_moments(df: DataFrame, features: Sequence[str], y: str) -> Moments:
     return Moments.collect(env_moments(df, cols, ["dataset", "split"]), cols, ["dataset", "split"])
 
 
-def squared_error_results(moments: Moments, fits) -> list[dict]:
-    """mse, rmse, r2 and mean residual of every model on every dataset and split, from moments.
+def _judge(moments: Moments, run: str, sub: Sequence[str], m: LinearModel) -> list[tuple]:
+    """mse, rmse, r2 and mean residual of a model on every dataset and split, from moments.
 
     Exact for completely observed inputs and for inputs imputed by the model's own means.
     """
     rows = []
-    for run, sub, m in fits:
-        scaling = (np.append(m.means, 0.0), np.ones(len(m.means) + 1))
-        for env, b in moments.blocks(moments.envs(), scaling).items():
-            sse, res = squared_error(b, m, scaling)
-            mse = sse / b.n
-            var = b.c[-1, -1] / b.n - (b.s[-1] / b.n) ** 2
-            base = {
-                "run_id": run,
-                "sources": list(sub),
-                "gamma": m.params["gamma"],
-                "alpha": m.params["alpha"],
-                "l1_ratio": m.params["l1_ratio"],
-                "target": env[0],
-                "split": env[1],
-            }
-            values = {"mse": mse, "rmse": mse**0.5, "mean_residual": res / b.n}
-            if var > 0:
-                values["r2"] = 1 - mse / var
-            rows += [{**base, "metric": k, "value": float(v)} for k, v in values.items()]
+    scaling = (np.append(m.means, 0.0), np.ones(len(m.means) + 1))
+    params = (m.params["gamma"], m.params["alpha"], m.params["l1_ratio"])
+    for env, b in moments.blocks(moments.envs(), scaling).items():
+        sse, res = squared_error(b, m, scaling)
+        mse = sse / b.n
+        var = b.c[-1, -1] / b.n - (b.s[-1] / b.n) ** 2
+        values = {"mse": mse, "rmse": max(mse, 0.0) ** 0.5, "mean_residual": res / b.n}
+        if var > 0:
+            values["r2"] = 1 - mse / var
+        rows += [(run, list(sub), *params, env[0], env[1], k, float(v)) for k, v in values.items()]
     return rows
 
 
@@ -90,11 +83,29 @@ def loeo_study(
     l1_ratios: Sequence[float],
     sources: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Long results of the whole grid. ``df`` has dataset, split, features and outcome."""
+    """Long results of the whole grid, written once. ``df`` has dataset, split, features, outcome.
+
+    The moments are small and travel to the tasks; the grid of (subset, gamma, l1) is the
+    distributed table, and each task solves and judges its own cells.
+    """
+    spark = df.sparkSession
     moments = study_moments(df, features, y)
     names = sorted({e[0] for e in moments.envs()}) if sources is None else list(sources)
-    fits = fit_grid(moments, subsets(names), gammas, alphas, l1_ratios)
-    return local_table(df.sparkSession, squared_error_results(moments, fits), RESULT_SCHEMA)
+    cells = [
+        (list(sub), float(g), float(l1)) for sub in subsets(names) for g in gammas for l1 in l1_ratios
+    ]
+    grid = spark.createDataFrame(cells, "sources array<string>, gamma double, l1_ratio double")
+    columns = [f.name for f in StructType.fromDDL(RESULT_SCHEMA)]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for cell in batch.itertuples(index=False):
+                fits = fit_grid(moments, [list(cell.sources)], [cell.gamma], alphas, [cell.l1_ratio])
+                rows = [r for run, sub, m in fits for r in _judge(moments, run, sub, m)]
+                yield pd.DataFrame(rows, columns=columns)
+
+    tasks = min(len(cells), spark.sparkContext.defaultParallelism)
+    return pin(grid.repartition(tasks).mapInPandas(solve, RESULT_SCHEMA))
 
 
 def score_study(

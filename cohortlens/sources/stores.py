@@ -66,6 +66,12 @@ class Cohort:
     sta: DataFrame
     attrition: DataFrame
     hospital: DataFrame | None = None
+    cached: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Drop the tables kept for the outputs, once they are written."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def write_cohort(c: Cohort, path: str, mode: str = "overwrite", multi_centre: bool = False) -> None:

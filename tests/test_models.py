@@ -321,3 +321,39 @@ def test_spline_design_spans_polynomials_per_dataset(spark):
     assert len(names) == 10
     out = mo.project_design(df, ["v"], "z", centre=False).toPandas()
     np.testing.assert_allclose(out["v_proj"], out["v"], atol=1e-5)
+
+
+def test_all_metrics_agree_with_the_single_ones(spark, data):
+    df = spark.createDataFrame(data.assign(yhat=data["a"] / 10 + 0.3))
+    one = me.all_metrics(df, ["dataset"], "regression", ["pid"]).toPandas().set_index("dataset")
+    for part in (me.residual_metrics(df, ["dataset"]), me.regression_metrics(df, ["dataset"]), me.absolute_quantiles(df, ["dataset"])):
+        want = part.toPandas().set_index("dataset")
+        pd.testing.assert_frame_equal(one[want.columns].sort_index(), want.sort_index())
+    label = df.withColumn("y", (F.col("y") > 1).cast("double"))
+    two = me.all_metrics(label, ["dataset"], "binary", ["pid"]).toPandas().set_index("dataset")
+    parts = [
+        me.residual_metrics(label, ["dataset"], True),
+        me.binary_losses(label, ["dataset"]),
+        me.rank_metrics(label, ["dataset"]),
+        me.log_loss_quantiles(label, ["dataset"]),
+    ]
+    for part in parts:
+        want = part.toPandas().set_index("dataset")
+        pd.testing.assert_frame_equal(two[want.columns].sort_index(), want.sort_index())
+
+
+def test_study_results_equal_scored_rows(spark, data):
+    from cohortlens.plans import study
+
+    pdf = data.assign(split=np.where(data["pid"] % 3 == 0, "test", "train_val"))
+    df = spark.createDataFrame(pdf)
+    res = study.loeo_study(df, COLS[:3], "y", [1.0, 4.0], [0.1], [0.5]).toPandas()
+    assert res["run_id"].nunique() == 2 * 7
+    m = study.study_moments(df, COLS[:3], "y")
+    fits = study.fit_grid(m, study.subsets(["u", "v", "w"]), [1.0, 4.0], [0.1], [0.5])
+    for run, _, fit in fits[:4]:
+        scored = df.withColumn("p", fit.predictor(COLS[:3])).toPandas()
+        for (d, s), g in scored.groupby(["dataset", "split"]):
+            row = res[(res["run_id"] == run) & (res["target"] == d) & (res["split"] == s)].set_index("metric")["value"]
+            assert row["mse"] == pytest.approx(((g["y"] - g["p"]) ** 2).mean())
+            assert row["mean_residual"] == pytest.approx((g["y"] - g["p"]).mean())
