@@ -17,6 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bounded import bounded_rows
 from ..functions.columns import dot
 from .features import ffill
 from .sampling import hash_fold
@@ -243,6 +244,14 @@ def group_penalties(
     return np.sqrt(n_eff / counts) * weight_sums
 
 
+def weighted_penalties(df: DataFrame, weight: str, by: str = "dataset") -> np.ndarray:
+    """Penalty factors of the sorted datasets from row weights, by one aggregate."""
+    w = F.col(weight).cast("double")
+    stats = df.groupBy(by).agg(F.count(w).alias("n"), F.sum(w).alias("w"), F.sum(w * w).alias("ww"))
+    rows = sorted(bounded_rows(stats, what=by), key=lambda r: r[by])
+    return group_penalties(*(np.array([float(r[c]) for r in rows]) for c in ("n", "w", "ww")))
+
+
 def fit_data_shared(
     moments: Moments,
     ratio: float,
@@ -253,6 +262,8 @@ def fit_data_shared(
 ) -> list[LinearModel]:
     """Shared coefficients plus per-dataset intercepts and deviations; the shared part predicts.
 
+    ``penalties`` follow the order of ``envs``; for weighted moments ``weighted_penalties``
+    gives them.
     The Gram matrix of the interacted columns follows from the per-dataset moments.
     """
     envs = moments.envs() if envs is None else list(envs)

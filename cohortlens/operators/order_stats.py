@@ -1,8 +1,8 @@
 """Exact order statistics per group that do not depend on a group fitting one task.
 
-Groups up to ``hot_rows`` rows go through Spark's own ``percentile`` or one window. A
-larger group is cut into value buckets at sketched split points. The split points only
-balance the work: bucket counts are exact, so the result is exact whatever the sketch says.
+Groups up to ``hot_rows`` rows are sorted by one window, which can spill. A larger group is
+cut into value buckets at sketched split points. The split points only balance the work:
+bucket counts are exact, so the result is exact whatever the sketch says.
 They are pinned to storage, because a sketch computed twice need not be the same twice.
 """
 
@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bounded import lookup
 from ..session import pin
 
 #: Largest group handled inside one task.
@@ -154,31 +155,67 @@ def quantiles(
     ``weight`` is an integer number of copies per row. Nulls are left out. ``extra`` are
     plain aggregates over the value columns and the ``carry`` columns, taken in the same pass.
     """
-    more = [c.alias(n) for n, c in (extra or {}).items()]
     per = {o: list(probs[o] if isinstance(probs, Mapping) else probs) for o in values}
     base = df.select(
         *keys,
         *[c.cast("double").alias(o) for o, c in values.items()],
         *[c.alias(n) for n, c in (carry or {}).items()],
-        *([] if weight is None else [weight.cast("long").alias("_weight")]),
+        (F.lit(1) if weight is None else weight).cast("long").alias("_weight"),
     )
-    freq = F.lit(1) if weight is None else F.col("_weight")
-
-    def plain(d: DataFrame) -> DataFrame:
-        aggs = [F.percentile(o, F.array(*[F.lit(p) for p in ps]), freq).alias(o) for o, ps in per.items()]
-        return d.groupBy(*keys).agg(*aggs, *more)
+    sizes = lookup(
+        base.groupBy(*keys).agg(
+            F.count("*").alias("_rows"),
+            *[F.sum(F.when(F.col(o).isNotNull(), F.col("_weight"))).alias(f"_n{i}") for i, o in enumerate(per)],
+            *[c.alias(n) for n, c in (extra or {}).items()],
+        )
+    )
+    hot = sizes.where(F.col("_rows") > hot_rows).select(*keys)
+    if hot.isEmpty():
+        picked = _sorted_quantiles(base, sizes, keys, per, weight is not None)
+    else:
+        hot = pin(hot)
+        small = base.join(hot, list(keys), "left_anti")
+        picked = _sorted_quantiles(small, sizes, keys, per, weight is not None)
+        parts = [
+            _hot_quantiles(base.where(F.col(o).isNotNull()), keys, o, ps, o, hot) for o, ps in per.items()
+        ]
+        large = reduce(lambda a, b: a.join(b, list(keys), "full"), parts)
+        picked = picked.unionByName(large.select(*picked.columns))
+    return sizes.select(*keys, *(extra or {})).join(picked, list(keys), "left")
+
+
+def _sorted_quantiles(
+    base: DataFrame, sizes: DataFrame, keys: Sequence[str], per: Mapping[str, list[float]], weighted: bool
+) -> DataFrame:
+    """Sort each group once and keep the rows at the wanted ranks.
 
-    hot = _hot_groups(base, keys, hot_rows)
-    if hot is None:
-        return plain(base)
-    hot = pin(hot)
-    small = plain(base.join(hot, list(keys), "left_anti"))
-    weighted = base if weight is not None else base.withColumn("_weight", F.lit(1).cast("long"))
-    parts = [
-        _hot_quantiles(weighted.where(F.col(o).isNotNull()), keys, o, ps, o, hot)
-        for o, ps in per.items()
-    ]
-    if more:
-        parts.append(base.join(hot, list(keys), "left_semi").groupBy(*keys).agg(*more))
-    large = reduce(lambda a, b: a.join(b, list(keys), "full"), parts)
-    return small.unionByName(large.select(*small.columns))
+    Unlike a hash of all values, the sort can spill; the group sizes are known before, so
+    rows are dropped while they stream by.
+    """
+    fields = ", ".join(f"named_struct('_q', {i}, '_v', `{o}`)" for i, o in enumerate(per))
+    long = base.select(*keys, "_weight", F.expr(f"inline(array({fields}))")).where("_v is not null")
+    order = Window.partitionBy(*keys, "_q").orderBy("_v")
+    if weighted:
+        upto = F.sum("_weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    else:
+        upto = F.row_number().over(order).cast("long")
+    ranked = long.withColumn("_to", upto).join(
+        sizes.select(*keys, *[f"_n{i}" for i in range(len(per))]), list(keys)
+    )
+    hits: dict[str, str] = {}
+    for i, ps in enumerate(per.values()):
+        for k, p in enumerate(ps):
+            for end, f in (("lo", "floor"), ("hi", "ceil")):
+                rank = f"{f}((_n{i} - 1) * {float(p)!r}D)"
+                hits[f"{end}_{i}_{k}"] = f"_q = {i} AND _to - _weight <= {rank} AND {rank} < _to"
+    kept = ranked.where(F.expr(" OR ".join(f"({h})" for h in hits.values())))
+    sizes_of = [f"_n{i}" for i in range(len(per))]
+    picked = kept.groupBy(*keys, *sizes_of).agg(
+        *[F.expr(f"max(CASE WHEN {h} THEN _v END)").alias(n) for n, h in hits.items()]
+    )
+    arrays = []
+    for i, (o, ps) in enumerate(per.items()):
+        h = [f"((_n{i} - 1) * {float(p)!r}D)" for p in ps]
+        items = [f"lo_{i}_{k} + ({x} - floor({x})) * (hi_{i}_{k} - lo_{i}_{k})" for k, x in enumerate(h)]
+        arrays.append(F.expr(f"CASE WHEN _n{i} > 0 THEN array({', '.join(items)}) END").alias(o))
+    return picked.select(*keys, *arrays)

@@ -35,8 +35,10 @@ def _kind(t: str) -> str:
     t = t.lower()
     if t in ("double", "float"):
         return "double"
-    if t in ("tinyint", "smallint", "int", "integer", "bigint", "long", "hugeint"):
+    if t in ("int", "integer"):
         return "int"
+    if t in ("bigint", "long"):
+        return "bigint"
     if t in ("varchar", "string"):
         return "string"
     return t

@@ -114,6 +114,13 @@ def test_group_penalty_with_equal_weights_is_root_share():
     np.testing.assert_allclose(lin.group_penalties(n, w, n / n.sum() ** 2), lin.group_penalties(n))
 
 
+def test_weighted_penalties_with_inverse_size_weights(spark, data):
+    n = data.groupby("dataset").size()
+    df = spark.createDataFrame(data.assign(w=1 / data["dataset"].map(n) / 3))
+    got = lin.weighted_penalties(df, "w")
+    np.testing.assert_allclose(got, 1 / np.sqrt((1 / n).sum() * n.to_numpy()))
+
+
 def test_anticausal_in_the_original_basis(spark, data):
     fit = lin.fit_anticausal(_moments(spark, data), [0.02], [0.1])[0]
     x, y = _scaled(data), data["y"].to_numpy()
