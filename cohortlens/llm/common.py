@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYT
     at_most_rows = 4096
     for batch in batches:
         values = batch.column(column)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(values), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(values), 0), dtype=np.int64)
         start = total = 0
         for i, size in enumerate(sizes.tolist()):
             if i > start and (total + size > most or i - start >= at_most_rows):
