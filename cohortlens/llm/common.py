@@ -57,3 +57,26 @@ def merge_labels(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray
             if np.array_equal(up, labels):
                 break
             labels = up
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole groups of a partition that is sorted by ``keys`` (no nulls in them); groups must be bounded."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        columns = [np.asarray(batch.column(k)) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[s] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(s, e - s))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import simhash
+from cohortlens.llm import bpe, embedding_dedup, simhash
 from cohortlens.llm.common import table
 
+TOKENIZER = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -32,3 +34,24 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@_query("op10_embedding_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+@_query("op6_bpe_tree_concatenation")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = bpe.encode_decode(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), outputs=("n_tokens", "shown", "decoded")
+    )
+    return coded.select(
+        F.col("id").alias("doc_id"),
+        "n_tokens",
+        F.sha2("shown", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
