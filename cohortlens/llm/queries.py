@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, embedding_dedup, simhash
+from cohortlens.llm import bpe, embedding_dedup, quality, simhash
 from cohortlens.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -55,3 +55,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("shown", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@_query("op5_quality_pu_learning")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
