@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, embedding_dedup, quality, simhash
+from cohortlens.llm import bpe, embedding_dedup, quality, simhash, suffix_dedup
 from cohortlens.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -64,3 +64,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select(
         F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@_query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+        F.size("starts").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
