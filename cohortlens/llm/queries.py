@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, embedding_dedup, quality, simhash, suffix_dedup
+from cohortlens.llm import bpe, contamination, embedding_dedup, quality, simhash, suffix_dedup
 from cohortlens.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -76,3 +76,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("starts").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@_query("op7_template_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")

@@ -227,11 +227,44 @@ def near_duplicates(
     are one class before any join, so groups of copies cost one row there.
     """
     prints = pin(fingerprints(docs, id_col, text_col, shingle))
-    classes = pin(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    parts = components(links(classes.select("fp"), distance))
-    own = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
-    )
+    own = _grouped(prints.groupBy("fp").agg(F.min("id").alias("least")), distance)
     least = own.groupBy("component").agg(F.min("least").alias("smallest"))
     named = own.join(least, "component").select("fp", F.col("smallest").alias("component"))
     return prints.join(named, "fp").select("id", "fp", "component")
+
+
+def _grouped(classes: DataFrame, distance: int) -> DataFrame:
+    """Classes of equal fingerprints with the smallest fingerprint of their component."""
+    classes = pin(classes)
+    parts = components(links(classes.select("fp"), distance))
+    joined = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
+    return joined.withColumn("component", F.coalesce("component", "fp"))
+
+
+def keep_representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4
+) -> DataFrame:
+    """One row of each group of ``near_duplicates``, with all columns: the one with the smallest id.
+
+    Of rows that share that id and the fingerprint, the one whose columns sort first stays; a group of null ids keeps
+    one row in the same way.
+    """
+    columns = docs.columns
+    schema = docs.select("*", F.lit(0).cast("bigint").alias("__fp")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col):
+            fps = np.array([fingerprint(t, shingle) for t in b.column(text_col).to_pylist()], dtype=np.uint64)
+            yield pa.record_batch([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, "__fp"])
+
+    printed = pin(docs.mapInArrow(run, schema))
+    rows = only(printed, id=id_col, fp="__fp").select(F.col("id").cast("bigint").alias("id"), "fp")
+    own = _grouped(rows.groupBy("fp").agg(F.min("id").alias("least")), distance)
+    first = F.min(F.struct(F.col("least").isNull().alias("unknown"), "least", "fp")).alias("first")
+    chosen = own.groupBy("component").agg(first).select("first.fp", "first.least")
+    counted = rows.join(chosen, "fp").where("id <=> least").groupBy("fp", "least").agg(F.count("*").alias("n"))
+    chosen = pin(counted.toDF("__fp", "__id", "__n"))
+    picked = printed.join(chosen, "__fp").where(F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
+    alone = picked.where("__n = 1").select(*columns)
+    least = picked.where("__n > 1").groupBy("__fp").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    return alone.unionByName(least)

@@ -323,6 +323,7 @@ def remove_repeats(
     text_col: str = "text",
     length: int = 100,
     carry: tuple[str, ...] = (),
+    whole_characters: bool = False,
     block: int = BLOCK,
     bin_bytes: int = BIN,
     hot: int = HOT,
@@ -334,6 +335,7 @@ def remove_repeats(
     input. ``kept`` are the remaining bytes, ``starts`` and ``stops`` the maximal removed spans. Null texts are empty.
     A null id comes before all ids; rows with equal ids are ordered by a hash of their texts, and equal
     rows one after the other, so of two copies one loses everything. ``carry`` columns are passed through.
+    With ``whole_characters`` a character goes only if all of its bytes go, so ``kept`` remains valid UTF-8.
     ``length`` is 2 to 126: a run then has at most 64 strings, whose answers fit one number.
     """
     if not 2 <= length <= 126:
@@ -509,6 +511,9 @@ def remove_repeats(
                 edge[rec.at[hit] + o] += 1
                 edge[rec.at[hit] + o + length] -= 1
             gone = np.cumsum(edge[:-1]) > 0
+            if whole_characters and len(gone):
+                letters = np.flatnonzero((runs.text & 0xC0) != 0x80)
+                gone = np.repeat(np.logical_and.reduceat(gone, letters), np.diff(np.append(letters, len(gone))))
             ends, raw = np.cumsum(sizes).tolist(), runs.text
             for s in range(0, len(ends), 256):
                 kept, starts, stops = [], [], []
