@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, contamination, embedding_dedup, quality, sharding, simhash, suffix_dedup
+from cohortlens.llm import bpe, contamination, embedding_dedup, quality, sharding, simhash, suffix_dedup, warc
 from cohortlens.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -90,3 +90,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@_query("op1_warc_zip_records")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = warc.write_archives(table(spark, sf_dir, "pages"), warc.new_folder(spark))
+    fields = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_records(warc.read_index(packages), fields)
