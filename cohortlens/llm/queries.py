@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, contamination, embedding_dedup, quality, sharding, simhash, suffix_dedup, warc
+from cohortlens.llm import bpe, chat, contamination, embedding_dedup, licenses, quality, sharding, simhash, suffix_dedup, warc
 from cohortlens.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -97,3 +97,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = warc.write_archives(table(spark, sf_dir, "pages"), warc.new_folder(spark))
     fields = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return warc.read_records(warc.read_index(packages), fields)
+
+
+@_query("op8_perspective_rotation", chat.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+@_query("op9_license_digests", licenses.sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("digest").alias("canonical_sha256"), "license_id")
