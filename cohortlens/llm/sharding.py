@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortlens.session import pin
 
 #: Rounds of propagation; more only refine what quotas held back.
-ROUNDS = 6
+ROUNDS = 8
 #: Priorities within one gain, by a hash of the node; a round moves whole priorities.
 LEVELS = 1024
 #: Rows that one window orders, on average.
@@ -53,7 +53,8 @@ def propagate(members: DataFrame, capacity: list[int], rounds: int = ROUNDS) ->
 
     Each round every node looks at how many of its neighbours, itself included, are in each shard, and
     wishes to be where most are; ties go to the shard that a hash of its smallest key names, so that all
-    nodes of a group agree. Of those who wish to move from one shard to another, as many as the quota allows
+    nodes of a group agree. Every other round looks only at shards that have room, for groups larger than what is left of the
+    shard they prefer. Of those who wish to move from one shard to another, as many as the quota allows
     move, greatest gain first. The start fills shards in hash order in proportion to their ``capacity``, which no
     round exceeds either; the capacities together must hold all nodes. Counts are aggregated by (key, shard) before anything is joined to nodes, so
     a key with very many nodes costs one row for each shard.
@@ -68,30 +69,37 @@ def propagate(members: DataFrame, capacity: list[int], rounds: int = ROUNDS) ->
     ends = [math.ceil(n * sum(capacity[: s + 1]) / share) for s in range(shards)]
     place = reduce(lambda c, s: c.when(F.col("rank") < ends[s], s), range(1, shards), F.when(F.col("rank") < ends[0], 0))
     state = pin(numbered.select("node", "home", place.cast("int").alias("shard")))
-    for _ in range(rounds):
+    idle = 0
+    for k in range(rounds):
+        load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+        room = [capacity[s] - load.get(s, 0) for s in range(shards)]
+        open_ = [s for s in range(shards) if k % 2 == 0 or room[s] > 0]
         seen = members.join(state.select("node", "shard"), "node")
         tally = seen.groupBy("key").agg(*(F.sum((F.col("shard") == s).cast("bigint")).alias(v) for s, v in enumerate(votes)))
         near = seen.select("node", "key").join(tally, "key").groupBy("node").agg(*(F.sum(v).alias(v) for v in votes))
         full = state.join(near, "node")
         turn = lambda s: F.pmod(F.xxhash64("home") + s, F.lit(shards))
         options = F.array(*(F.struct(F.col(v).alias("votes"), turn(s).alias("turn"), F.lit(s).alias("to")) for s, v in enumerate(votes)))
-        best = F.array_max(options)
+        best = F.array_max(F.filter(options, lambda o: o["to"].isin(open_) | (o["to"] == F.col("shard"))))
         now = F.element_at(options, F.col("shard") + 1)
         wish = full.select("node", "home", "shard", best["to"].alias("to"), (best["votes"] - now["votes"]).alias("gain"))
         level = F.floor(F.log2(F.col("gain") + 1)) * LEVELS + F.pmod(F.xxhash64("node", F.lit("priority")), F.lit(LEVELS))
         wish = pin(wish.withColumn("level", level.cast("bigint")))
         cells = wish.where("shard <> `to`").groupBy("shard", "to", "level").agg(F.count("*").alias("n"))
-        load = {r["shard"]: r["n"] for r in wish.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         down = Window.partitionBy("shard", "to").orderBy(F.desc("level"))
         stairs = pin(cells.withColumn("sum", F.sum("n").over(down)))
         wishes = {(r["shard"], r["to"]): r["n"] for r in stairs.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
-        if not wishes:
-            break
-        quota = _quotas(wishes, [capacity[s] - load.get(s, 0) for s in range(shards)])
+        quota = _quotas(wishes, room)
+        if not any(quota.values()):
+            idle += 1
+            if idle == 2:
+                break
+            continue
         allowed = reduce(lambda a, b: a | b, ((F.col("shard") == i) & (F.col("to") == j) & (F.col("sum") <= q) for (i, j), q in quota.items()))
         lowest = {(r["shard"], r["to"]): r["m"] for r in stairs.where(allowed).groupBy("shard", "to").agg(F.min("level").alias("m")).collect()}
+        idle = 0
         if not lowest:
-            break
+            continue
         moves = reduce(lambda a, b: a | b, ((F.col("shard") == i) & (F.col("to") == j) & (F.col("level") >= m) for (i, j), m in lowest.items()))
         state = pin(wish.select("node", "home", F.when(moves, F.col("to")).otherwise(F.col("shard")).cast("int").alias("shard")))
     return state.select("node", "shard")
