@@ -53,7 +53,7 @@ def propagate(members: DataFrame, capacity: list[int], rounds: int = ROUNDS) ->
 
     Each round every node looks at how many of its neighbours, itself included, are in each shard, and
     wishes to be where most are; ties go to the shard that a hash of its smallest key names, so that all
-    nodes of a group agree. Every other round looks only at shards that have room, for groups larger than what is left of the
+    nodes of a group agree. Every other round looks only at shards with a twentieth of their capacity free, for groups larger than what is left of the
     shard they prefer. Of those who wish to move from one shard to another, as many as the quota allows
     move, greatest gain first. The start fills shards in hash order in proportion to their ``capacity``, which no
     round exceeds either; the capacities together must hold all nodes. Counts are aggregated by (key, shard) before anything is joined to nodes, so
@@ -73,7 +73,7 @@ def propagate(members: DataFrame, capacity: list[int], rounds: int = ROUNDS) ->
     for k in range(rounds):
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         room = [capacity[s] - load.get(s, 0) for s in range(shards)]
-        open_ = [s for s in range(shards) if k % 2 == 0 or room[s] > 0]
+        open_ = [s for s in range(shards) if k % 2 == 0 or room[s] > capacity[s] // 20]
         seen = members.join(state.select("node", "shard"), "node")
         tally = seen.groupBy("key").agg(*(F.sum((F.col("shard") == s).cast("bigint")).alias(v) for s, v in enumerate(votes)))
         near = seen.select("node", "key").join(tally, "key").groupBy("node").agg(*(F.sum(v).alias(v) for v in votes))
