@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bounded import MAX_LOOKUP_ROWS, bounded_rows, lookup
+from ..functions.joins import join_groups
 from .order_stats import quantiles
 from .preprocess import OrdinalEncoder
 
@@ -144,11 +145,13 @@ def interact(
     """Per-dataset indicators and dataset-centred copies of every column."""
     means = df.groupBy(by).agg(*[F.avg(c).alias(f"_mean_{c}") for c in cols])
     means = lookup(means, MAX_TERMS)
-    datasets = sorted(r[by] for r in bounded_rows(means.select(by), MAX_TERMS, by))
-    joined = df.join(means, by)
-    new = {f"_dataset={d}": (F.col(by) == d).cast("double") for d in datasets}
+    found = [r[by] for r in bounded_rows(means.select(by), MAX_TERMS, by)]
+    datasets = sorted(found, key=lambda d: (d is None, "" if d is None else d))
+    joined = join_groups(df, means, [by])
+    # The names of generated columns.
+    new = {f"_dataset={d}": F.col(by).eqNullSafe(F.lit(d)).cast("double") for d in datasets}
     for d in datasets:
         for c in cols:
             centred = F.col(c) - F.col(f"_mean_{c}")
-            new[f"_dataset={d}_x_{c}"] = F.when(F.col(by) == d, centred).otherwise(F.lit(0.0))
+            new[f"_dataset={d}_x_{c}"] = F.when(F.col(by).eqNullSafe(F.lit(d)), centred).otherwise(F.lit(0.0))
     return joined.withColumns(new).drop(*[f"_mean_{c}" for c in cols]), list(new)

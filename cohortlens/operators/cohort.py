@@ -31,8 +31,12 @@ def concepts_wide(
     keys: Sequence[str] = STAY,
     agg: Callable[[str], Column] = F.avg,
 ) -> DataFrame:
-    """One column per concept, merged on (stay, hour): one pivot instead of N outer joins."""
-    return obs.groupBy(*keys, TIME).pivot("concept", list(concepts)).agg(agg("value"))
+    """One column per concept, merged on (stay, hour): one pivot instead of N outer joins.
+
+    Only the listed concepts make rows.
+    """
+    listed = obs.where(F.col("concept").isin(list(concepts)))
+    return listed.groupBy(*keys, TIME).pivot("concept", list(concepts)).agg(agg("value"))
 
 
 def change_id(df: DataFrame, id_map: DataFrame, old: str, new: str) -> DataFrame:

@@ -80,8 +80,9 @@ class Moments:
         n: dict[tuple, np.ndarray] = {}
         s: dict[tuple, np.ndarray] = {}
         c: dict[tuple, np.ndarray] = {}
-        for key, g in rows.groupby(list(by), sort=True):
+        for key, g in rows.groupby(list(by), sort=True, dropna=False):
             key = key if isinstance(key, tuple) else (key,)
+            key = tuple(None if pd.isna(k) else k for k in key)
             i, j = g["i"].to_numpy(), g["j"].to_numpy()
             ne, se, ce = np.zeros((p, p)), np.zeros((p, p)), np.zeros((p, p))
             ne[i, j] = ne[j, i] = g["n"].to_numpy()

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bounded import lookup
 from ..functions.columns import dot, logistic
+from ..functions.joins import join_groups
 from .order_stats import HOT_ROWS, quantiles, running_totals
 
 # Quantile levels and clipping of probabilities.
@@ -79,7 +80,7 @@ def _with_clip(df: DataFrame, by: Sequence[str], yhat: str = "yhat") -> DataFram
         )
     )
     return (
-        df.join(ends, list(by))
+        join_groups(df, ends, by)
         .withColumn("_yhat", F.when(F.col("_clip"), _unit(F.col(yhat))).otherwise(F.col(yhat)))
         .drop("_clip")
     )
@@ -245,7 +246,7 @@ def all_metrics(
         parts.append(projected_metrics(df, by, group, task == "binary", hot_rows))
         if task == "binary":
             parts.append(projected_log_loss(df, by, group, hot_rows))
-    return reduce(lambda a, b: a.join(b, list(by)), parts)
+    return reduce(lambda a, b: join_groups(a, b, by), parts)
 
 
 def _regression_pass(df: DataFrame, by: Sequence[str], hot_rows: int) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bounded import lookup
+from ..functions.joins import join_groups
 
 #: Up to this many columns the sums are plain aggregate expressions.
 MAX_EXPRESSION_COLUMNS = 6
@@ -137,7 +138,7 @@ def project_groups(
     """Projection of the centred columns on group indicators: group mean minus grand mean."""
     mean = _grand_means(df, cols)
     g = df.groupBy(*group).agg(*[(F.avg(c) - F.lit(mean[c])).alias(c + suffix) for c in cols])
-    return df.join(lookup(g), list(group))
+    return join_groups(df, lookup(g), group)
 
 
 def project_design(
@@ -189,7 +190,7 @@ def anchor_transform(
     m = (1.0 / gamma) ** 0.5
     mean = _grand_means(df, cols)
     g = df.groupBy(*group).agg(*[F.avg(c).alias(f"_g_{c}") for c in cols])
-    joined = df.join(lookup(g), list(group))
+    joined = join_groups(df, lookup(g), group)
     out = {
         c + suffix: F.lit(mean[c])
         + F.lit(m) * (F.col(c) - F.lit(mean[c]))

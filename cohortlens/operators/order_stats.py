@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bounded import lookup
+from ..functions.joins import join_groups
 from ..session import pin
 
 #: Largest group handled inside one task.
@@ -50,11 +51,11 @@ def _hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame
 
 def _with_bucket(df: DataFrame, keys: Sequence[str], value: str, hot: DataFrame, how: str) -> DataFrame:
     splits = pin(
-        df.join(hot, list(keys), "left_semi").groupBy(*keys).agg(_splits(F.col(value)).alias("_splits"))
+        join_groups(df, hot, keys, "left_semi").groupBy(*keys).agg(_splits(F.col(value)).alias("_splits"))
     )
     if splits.count() <= MAX_BROADCAST_HOT:
         splits = F.broadcast(splits)
-    joined = df.join(splits, list(keys), how)
+    joined = join_groups(df, splits, keys, how)
     return joined.withColumn("_bucket", _bucket(F.col(value), F.col("_splits"))).drop("_splits")
 
 
@@ -89,7 +90,7 @@ def running_totals(
     )
     within = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     inner = b.withColumns({f"_w_{s}": F.sum(s).over(within) for s in sums})
-    return inner.join(offsets, [*keys, "_bucket"]).select(
+    return join_groups(inner, offsets, [*keys, "_bucket"]).select(
         *keys, value, *sums, *[(F.col(f"_w_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums]
     )
 
@@ -118,7 +119,7 @@ def _hot_quantiles(
     kept = sizes.where(holds).select(*keys, "_bucket", "_before", "_n")
 
     vals = (
-        b.join(kept, [*keys, "_bucket"])
+        join_groups(b, kept, [*keys, "_bucket"])
         .groupBy(*keys, "_bucket", "_before", "_n", value)
         .agg(F.sum("_weight").alias("_c"))
     )
@@ -174,14 +175,14 @@ def quantiles(
         picked = _sorted_quantiles(base, sizes, keys, per, weight is not None)
     else:
         hot = pin(hot)
-        small = base.join(hot, list(keys), "left_anti")
+        small = join_groups(base, hot, keys, "left_anti")
         picked = _sorted_quantiles(small, sizes, keys, per, weight is not None)
         parts = [
             _hot_quantiles(base.where(F.col(o).isNotNull()), keys, o, ps, o, hot) for o, ps in per.items()
         ]
-        large = reduce(lambda a, b: a.join(b, list(keys), "full"), parts)
+        large = reduce(lambda a, b: join_groups(a, b, keys, "full"), parts)
         picked = picked.unionByName(large.select(*picked.columns))
-    return sizes.select(*keys, *(extra or {})).join(picked, list(keys), "left")
+    return join_groups(sizes.select(*keys, *(extra or {})), picked, keys, "left")
 
 
 def _sorted_quantiles(
@@ -199,9 +200,8 @@ def _sorted_quantiles(
         upto = F.sum("_weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
     else:
         upto = F.row_number().over(order).cast("long")
-    ranked = long.withColumn("_to", upto).join(
-        sizes.select(*keys, *[f"_n{i}" for i in range(len(per))]), list(keys)
-    )
+    counts = sizes.select(*keys, *[f"_n{i}" for i in range(len(per))])
+    ranked = join_groups(long.withColumn("_to", upto), counts, keys)
     hits: dict[str, str] = {}
     for i, ps in enumerate(per.values()):
         for k, p in enumerate(ps):

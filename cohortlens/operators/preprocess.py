@@ -88,6 +88,8 @@ class Standardizer:
 
 def _categories(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
     """Sorted distinct values per column (null last), all columns in one job."""
+    if not cols:
+        return {}
     pairs = df.select(
         F.explode(
             F.array(

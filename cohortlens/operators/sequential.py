@@ -74,15 +74,23 @@ def outcome_window(
     """
     if before + after == 0:
         return df if out is None else df.withColumn(out, F.col(col))
-    w = Window.partitionBy(*keys).orderBy(TIME).rowsBetween(-after, before)
-    total = F.sum(F.col(col).cast("double")).over(w)
-    return df.withColumn(out or col, F.coalesce(total, F.lit(0.0)) > 0)
+    value = F.col(col).cast("double")
+    value = F.when(value < 0, F.raise_error(F.lit(f"{col} must not be negative"))).otherwise(value)
+    order = Window.partitionBy(*keys).orderBy(TIME)
+    total = F.sum(value).over(order.rowsBetween(-after, before))
+    step = F.col(TIME) - F.lag(TIME).over(order)
+    failed = F.raise_error(F.lit("an id's hours have gaps or repeats")).cast("boolean")
+    return df.withColumn(out or col, F.when(step != 1, failed).otherwise(F.coalesce(total, F.lit(0.0)) > 0))
 
 
-def set_window(df: DataFrame, col: str, start: int, stop: int, value) -> DataFrame:
-    """Set ``col`` to a constant where ``start <= time < stop``."""
+def set_window(
+    df: DataFrame, col: str, start: int, stop: int, value, keys: Sequence[str] = STAY
+) -> DataFrame:
+    """Set ``col`` to a constant where ``start <= time < stop``; hours with gaps or repeats raise an error."""
     inside = (F.col(TIME) >= start) & (F.col(TIME) < stop)
-    return df.withColumn(col, F.when(inside, F.lit(value)).otherwise(F.col(col)))
+    step = F.col(TIME) - F.lag(TIME).over(Window.partitionBy(*keys).orderBy(TIME))
+    failed = F.raise_error(F.lit("an id's hours have gaps or repeats")).cast(df.schema[col].dataType)
+    return df.withColumn(col, F.when(step != 1, failed).when(inside, F.lit(value)).otherwise(F.col(col)))
 
 
 def gaps(df: DataFrame, keys: Sequence[str] = STAY) -> DataFrame:

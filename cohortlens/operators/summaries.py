@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bounded import bounded_rows, lookup
+from ..functions.joins import join_groups
 from .features import transform_by_dictionary
 from .results import best_by, greater_is_better, loeo_cv
 
@@ -107,7 +108,7 @@ def category_shares(df: DataFrame, keys: Sequence[str], c: str) -> DataFrame:
         F.count("*").alias("_n")
     )
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    return counts.join(lookup(totals), list(keys)).select(
+    return join_groups(counts, lookup(totals), keys).select(
         *keys, "category", (F.col("_n") / F.col("_total")).alias("share")
     )
 
@@ -181,7 +182,7 @@ def variable_report(
     missing = long.groupBy("variable", by).agg(
         F.avg(F.col("value").isNull().cast("double")).alias("missing")
     )
-    density = kde(long, "value", points, by, ["variable"]).join(lookup(missing), ["variable", by])
+    density = join_groups(kde(long, "value", points, by, ["variable"]), lookup(missing), ["variable", by])
     cats = {
         v: (F.coalesce(F.col(v), F.lit(False)) if t == "treatment_ind" else F.col(v)).cast("string")
         for v, t in discrete

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bounded import lookup
 from ..functions.columns import logistic
+from ..functions.joins import join_groups
 from ..session import pin
 
 #: Stand-in for a missing input: below every value, so that a split can set it apart.
@@ -155,7 +156,7 @@ def fit_anchor_boosting(
         work = data.withColumns({"_r": r, "_h": h})
         if gamma != 1.0:
             means = lookup(work.groupBy(*group).agg(F.avg("_r").alias("_p")))
-            work = work.join(means, list(group))
+            work = join_groups(work, means, group)
             work = work.withColumn("_r", F.col("_r") + F.lit(gamma - 1.0) * F.col("_p")).drop("_p")
         filled = [_filled(c).alias(f"_f{k}") for k, c in enumerate(features)]
         grown = learner.fit(assembler.transform(work.select(*filled, F.col("_r").alias("_target"))))

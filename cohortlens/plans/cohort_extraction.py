@@ -35,10 +35,14 @@ def extract_cohort(
 
     ``obs`` is long (dataset, stay_id, concept, time_h, value). It is pivoted once; the wide
     table and the one-row-per-stay flags serve several outputs, so both are kept.
+    ``stays`` (keys, start_h, end_h) may bring ``los_icu``, the source's own length of stay in days; else
+    it is taken from the whole hours.
     """
     wide = concepts_wide(obs, concepts).persist(StorageLevel.MEMORY_AND_DISK)
     windows = stay_windows(obs) if stays is None else stays
-    windows = windows.withColumn("los_h", F.col("end_h") - F.col("start_h"))
+    hours = F.col("end_h") - F.col("start_h")
+    own = F.coalesce(F.col("los_icu") * 24, hours) if "los_icu" in windows.columns else hours
+    windows = windows.withColumn("los_h", own).drop("los_icu")
     whole = F.col("end_h").alias("whole_end_h")
     cut = stop_obs_at(windows.select("*", whole), max_days * 24)
     marked = flag_exclusions(cut, wide, concepts, rules).persist(StorageLevel.MEMORY_AND_DISK)
