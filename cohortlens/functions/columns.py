@@ -65,7 +65,3 @@ def dot(coefs: Sequence[float], cols: Sequence[str | Column]) -> Column:
 
 def logistic(c: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-c))
-
-
-def row_struct(cols: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in cols])

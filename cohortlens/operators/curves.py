@@ -5,8 +5,8 @@ Rows are averaged per (curve, x) first, so a curve is never longer than the size
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -85,14 +85,34 @@ def isotonic(df: DataFrame, keys: Sequence[str], x: str, y: str, increasing: boo
     return f.select(*keys, F.inline(pairs).alias(x, y, "fit"))
 
 
-def _basis(x: np.ndarray, knots: np.ndarray, degree: int) -> np.ndarray:
-    """B-spline design matrix by the Cox-de Boor recursion."""
-    b = ((knots[:-1] <= x[:, None]) & (x[:, None] < knots[1:])).astype(float)
-    for d in range(1, degree + 1):
-        left = (x[:, None] - knots[: -d - 1]) / (knots[d:-1] - knots[: -d - 1])
-        right = (knots[d + 1 :] - x[:, None]) / (knots[d + 1 :] - knots[1:-d])
-        b = left * b[:, :-1] + right * b[:, 1:]
-    return b
+def _pieces(x: np.ndarray, start: float, width: float, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values and slopes at ``x`` of ``count`` quadratic bumps, each three ``width`` long and one ``width`` apart."""
+    t = (x[:, None] - start) / width - np.arange(count)
+    part = [(t >= k) & (t < k + 1) for k in range(3)]
+    value = np.select(part, [t * t / 2, 0.75 - (t - 1.5) ** 2, (3 - t) ** 2 / 2])
+    slope = np.select(part, [t, 3 - 2 * t, t - 3]) / width
+    return value, slope
+
+
+def _rising(design: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Weights of a smooth fit whose falling steps between neighbouring weights are penalised.
+
+    One least-squares problem of stacked rows: the points, the third differences, and the steps that are held. The
+    held steps are those that fall in the solution; the fit is done when they stay the same.
+    """
+    count = design.shape[1]
+    step = np.eye(count)[1:] - np.eye(count)[:-1]
+    bend = step[2:, 2:] @ step[1:, 1:] @ step if count > 3 else np.zeros((0, count))
+    held = np.zeros(len(step), bool)
+    for _ in range(MAX_ITERATIONS):
+        rows = np.vstack([design, SMOOTHING**0.5 * bend, MONOTONE_PENALTY**0.5 * step[held]])
+        weights = np.linalg.lstsq(rows, np.pad(target, (0, len(rows) - len(target))), rcond=None)[0]
+        falls = step @ weights < 0
+        if (falls == held).all():
+            return weights
+        held = falls
+    warnings.warn("the held steps of a monotone curve did not settle", stacklevel=2)
+    return weights
 
 
 def monotone_spline(
@@ -100,45 +120,19 @@ def monotone_spline(
 ) -> np.ndarray:
     """Penalised monotone quadratic spline, continued by its end tangents."""
     sign = 1.0 if increasing else -1.0
-    lo, hi = float(x.min()), float(x.max())
-    n_knots = int(len(x) * KNOTS_PER_POINT)
-    if n_knots == 0 or lo == hi:
+    ends = np.array([x.min(), x.max()], dtype=float)
+    inner = int(len(x) * KNOTS_PER_POINT)
+    if inner == 0 or ends[0] == ends[1]:
         return np.full(len(x_new), y.mean())
-    margin = (SPLINE_DEGREE + 1) * (hi - lo) / n_knots
-    knots = np.linspace(lo - margin, hi + margin, 2 * SPLINE_DEGREE + n_knots + 1)
-    basis = _basis(x, knots, SPLINE_DEGREE)
-    steps = np.diff(np.eye(basis.shape[1]), axis=0)
-    third = np.diff(np.eye(basis.shape[1]), n=3, axis=0)
-    system = basis.T @ basis + SMOOTHING * third.T @ third
-    target = basis.T @ (sign * y)
-    falling = np.zeros(len(steps))
-    for _ in range(MAX_ITERATIONS):
-        penalty = steps.T @ (MONOTONE_PENALTY * falling[:, None] * steps)
-        coef = np.linalg.solve(system + penalty, target)
-        now = (steps @ coef < 0).astype(float)
-        if np.array_equal(now, falling):
-            break
-        falling = now
-    width = knots[1] - knots[0]
-    ends = np.array([lo, hi])
-    slope = _basis(ends, knots[1:-1], SPLINE_DEGREE - 1) @ (np.diff(coef) / width)
-    value = _basis(ends, knots, SPLINE_DEGREE) @ coef
-    out = _basis(np.clip(x_new, lo, hi), knots, SPLINE_DEGREE) @ coef
-    out = np.where(x_new < lo, value[0] + (x_new - lo) * slope[0], out)
-    out = np.where(x_new > hi, value[1] + (x_new - hi) * slope[1], out)
-    return sign * out
-
-
-def _smooth_one(pdf: pd.DataFrame, keys, x, y, x_new, increasing) -> pd.DataFrame:
-    pdf = pdf.sort_values(x)
-    at = np.asarray(x_new, dtype=float)
-    fit = monotone_spline(
-        np.log(pdf[x].to_numpy(float)), pdf[y].to_numpy(float), np.log(at), increasing
-    )
-    out = pd.DataFrame({x: at, y: fit})
-    for k in keys:
-        out[k] = pdf[k].iloc[0]
-    return out[[*keys, x, y]]
+    # Bumps reach a margin beyond both ends and cover it evenly.
+    margin = (SPLINE_DEGREE + 1) * (ends[1] - ends[0]) / inner
+    count = inner + SPLINE_DEGREE
+    grid = (ends[0] - margin, (ends[1] - ends[0] + 2 * margin) / (inner + 2 * SPLINE_DEGREE), count)
+    weights = _rising(_pieces(x, *grid)[0], sign * y)
+    inside = np.clip(x_new, *ends)
+    slope = _pieces(ends, *grid)[1] @ weights
+    beyond = np.where(x_new < ends[0], slope[0], slope[1]) * (x_new - inside)
+    return sign * (_pieces(inside, *grid)[0] @ weights + beyond)
 
 
 def smooth_curves(
@@ -147,10 +141,17 @@ def smooth_curves(
     """Monotone spline of ``y`` over log ``x`` per curve, evaluated at ``x_new``."""
     fields = [df.schema[k] for k in keys] + [T.StructField(x, T.DoubleType()), T.StructField(y, T.DoubleType())]
     per_x = df.where(F.col(y).isNotNull()).groupBy(*keys, x).agg(F.avg(y).alias(y))
-    one = partial(
-        _smooth_one, keys=list(keys), x=x, y=y, x_new=list(x_new), increasing=increasing
-    )
-    return per_x.groupBy(*keys).applyInPandas(one, T.StructType(fields))
+    names, at = [*keys, x, y], np.asarray(list(x_new), dtype=float)
+
+    def smooth(curve: pd.DataFrame) -> pd.DataFrame:
+        curve = curve.sort_values(x)
+        fit = monotone_spline(np.log(curve[x].to_numpy(float)), curve[y].to_numpy(float), np.log(at), increasing)
+        out = pd.DataFrame({x: at, y: fit})
+        for k in keys:
+            out[k] = curve[k].iloc[0]
+        return out[names]
+
+    return per_x.groupBy(*keys).applyInPandas(smooth, T.StructType(fields))
 
 
 def curve_band(

@@ -39,11 +39,6 @@ def param_grid(spark: SparkSession, grid: Mapping[str, Sequence]) -> DataFrame:
     return df
 
 
-def grid_list(grid: Mapping[str, Sequence]) -> list[dict]:
-    """The same combinations for models that are solved on the driver."""
-    return [dict(zip(grid, values)) for values in product(*grid.values())]
-
-
 def score_grid(
     df: DataFrame,
     models: Iterable[Mapping],
