@@ -28,17 +28,17 @@ from cohortlens.llm.common import sorted_groups
 from cohortlens.session import pin
 
 #: Bytes of text in a block, the unit that is packed, joined and answered.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: String starts hashed together.
 CHUNK = 1 << 19
 #: Anchors that are counted together.
 BUCKET = 1 << 20
-#: Bytes of runs in a bin.
-BIN = 3 << 20
+#: Bytes of runs in a bin, which a task holds, and parts of it whose collections are built one after the other.
+BIN, PARTS = 10 << 20, 8
 #: Distinct runs of one anchor beyond which its strings are dealt out one by one.
 HOT = 20_000
 #: Most bytes of a symbol.
-SYMBOL = 5
+SYMBOL = 10
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -59,10 +59,10 @@ class Runs:
         self.text, self.length = text, length
         self.anchor_size = max(1, length // 2)
         ends = np.cumsum(sizes)
-        room = np.zeros(len(text) + 1, np.int32)
-        np.add.at(room, ends - sizes, (sizes >= length).astype(np.int32))
-        np.add.at(room, np.maximum(ends - sizes, ends - length + 1), -(sizes >= length).astype(np.int32))
-        valid = np.cumsum(room[:-1]) > 0
+        room = np.zeros(len(text) + 1, np.int8)
+        np.add.at(room, ends - sizes, (sizes >= length).astype(np.int8))
+        np.add.at(room, np.maximum(ends - sizes, ends - length + 1), -(sizes >= length).astype(np.int8))
+        valid = np.cumsum(room[:-1], dtype=np.int8) > 0
         parts = [self._chunk(valid, s) for s in range(0, len(text), CHUNK)]
         self.first, self.last, self.anchor, self.key = (
             np.concatenate([p[k] for p in parts] or [np.empty(0, t)])
@@ -107,11 +107,11 @@ class Records:
 
     Anchors that have very many distinct runs give their strings one by one. ``first`` and ``size`` are the
     earliest place and the number of strings of a record; ``of`` maps every occurrence (``at``,
-    ``count``) to its record; records are ordered by bin.
+    ``count``) to its record; records are ordered by bin and part of it.
     """
 
     def __init__(self, runs: Runs, repeated: np.ndarray, hot: np.ndarray, bins: int):
-        distinct, inverse = np.unique(runs.anchor, return_inverse=True)
+        inverse = np.unique(runs.anchor, return_inverse=True)[1]
         wanted, single = repeated[inverse], hot[inverse]
         plain = np.flatnonzero(wanted & ~single)
         at, count, route = runs.first[plain], runs.last[plain] - runs.first[plain] + 1, runs.anchor[plain]
@@ -131,15 +131,16 @@ class Records:
             len(at),
         )
         index = np.unique(of, return_index=True)[1]
-        bin_ = (_mix(route[index]) % np.uint64(bins)).astype(np.int64)
-        order = np.argsort(bin_, kind="stable")
+        route = _mix(route[index])
+        bin_ = (route % np.uint64(bins)).astype(np.int64)
+        part = ((route >> np.uint64(40)) % np.uint64(PARTS)).astype(np.uint8)
+        order = np.lexsort((part, bin_))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.at, self.count, self.of = at, count, place[of]
-        self.first, self.size, self.bin = at[index][order], count[index][order], bin_[order]
+        self.first, self.size, self.bin, self.part = at[index][order], count[index][order], bin_[order], part[order]
         self.is_first = np.zeros(len(at), bool)
         self.is_first[index] = True
-        del distinct
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -265,6 +266,20 @@ class Columns:
         return out
 
 
+def _numbered(raw: np.ndarray, width: int) -> np.ndarray:
+    """A number for the ``width`` bytes from each place on; equal bytes have equal numbers, from 0 on."""
+    if width > 5:
+        half = _numbered(raw, 5)
+        left = half[: max(0, len(raw) - width + 1)].astype(np.uint64)
+        right = half if width == 10 else _numbered(raw, width - 5)
+        value = (left << np.uint64(32)) | right[5 : 5 + len(left)].astype(np.uint64)
+    else:
+        value = np.zeros(max(0, len(raw) - width + 1), np.uint64)
+        for w in range(width):
+            value = (value << np.uint64(8)) | raw[w : len(raw) - width + 1 + w]
+    return pa.array(value).dictionary_encode().indices.to_numpy()
+
+
 def same_strings(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, group) of all ``length``-byte strings of ``texts``; equal strings share a group.
 
@@ -275,10 +290,7 @@ def same_strings(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarra
     raw = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(sizes) - sizes
-    value = np.zeros(max(0, len(raw) - width + 1), np.uint64)
-    for w in range(width):
-        value = (value << np.uint64(8)) | raw[w : len(raw) - width + 1 + w]
-    value = np.unique(value, return_inverse=True)[1].astype(np.int32)
+    value = _numbered(raw, width)
     docs = np.repeat(np.arange(len(texts)), width)
     phase = np.tile(np.arange(width), len(texts))
     count = np.maximum(0, (sizes[docs] - phase) // width)
@@ -416,11 +428,9 @@ def remove_repeats(
             ids = a[start]
             bucket = (ids >> np.uint64(shift)).astype(np.int64) if buckets > 1 else np.zeros(len(ids), np.int64)
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(ids)]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                yield pa.record_batch(
-                    [pa.array([int(bucket[s])], pa.int32()), pa.array([row["block"]]), pa.array([_pack(ids[s:e], count[s:e])], pa.binary())],
-                    names=["bucket", "block", "data"],
-                )
+            data = [_pack(ids[s:e], count[s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+            columns = [pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([row["block"]] * len(data)), pa.array(data, pa.binary())]
+            yield pa.record_batch(columns, names=["bucket", "block", "data"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, ["bucket"]):
@@ -460,32 +470,35 @@ def remove_repeats(
             doc = np.searchsorted(begin, rec.first, side="right") - 1
             uid = np.uint64(row["block"] << 16) + doc.astype(np.uint64)
             cuts = [0, *(np.flatnonzero(np.diff(rec.bin)) + 1).tolist(), len(rec.bin)]
-            raw = runs.text.tobytes()
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if s == e:
-                    continue
+            raw, packs = runs.text.tobytes(), []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True) if len(rec.bin) else ():
                 text = b"".join(raw[f : f + c + length - 1] for f, c in zip(rec.first[s:e].tolist(), rec.size[s:e].tolist(), strict=True))
                 own = doc[s:e]
-                data = _pack(key[own], tie[own], uid[s:e], rec.first[s:e] - begin[own], rec.size[s:e].astype(np.uint8), np.frombuffer(text, np.uint8))
-                yield pa.record_batch(
-                    [pa.array([int(rec.bin[s])], pa.int32()), pa.array([row["block"]]), pa.array([data], pa.binary())], names=["bin", "block", "data"]
-                )
+                data = _pack(key[own], tie[own], uid[s:e], rec.first[s:e] - begin[own], rec.size[s:e].astype(np.uint8), rec.part[s:e], np.frombuffer(text, np.uint8))
+                packs.append((int(rec.bin[s]), row["block"], data))
+            if packs:
+                columns = zip(*packs, strict=True)
+                types = (pa.int32(), pa.int64(), pa.binary())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bin", "block", "data"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (np.uint64, np.uint64, np.uint64, np.int64, np.uint8, np.uint8)
+        types = (np.uint64, np.uint64, np.uint64, np.int64, np.uint8, np.uint8, np.uint8)
         for t in sorted_groups(batches, ["bin"]):
             parts = [_unpack(d, *types) for d in t.column("data").to_pylist()]
             texts = []
             for p in parts:
                 size = p[4].astype(np.int64) + length - 1
-                raw, ends = p[5].tobytes(), np.cumsum(size)
+                raw, ends = p[6].tobytes(), np.cumsum(size)
                 texts += [raw[e - s : e] for e, s in zip(ends.tolist(), size.tolist(), strict=True)]
-            key, tie, uid, start = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            key, tie, uid, start, _, part = (np.concatenate([p[k] for p in parts]) for k in range(6))
             order = np.lexsort((uid, tie, key))
             new = np.append(False, (np.diff(uid[order]) != 0))
             place = np.empty(len(order), np.int64)
             place[order] = np.cumsum(new)
-            bits = _later(texts, place, start, length)
+            bits = np.zeros(len(texts), np.uint64)
+            for k in np.unique(part):
+                own = np.flatnonzero(part == k)
+                bits[own] = _later([texts[i] for i in own.tolist()], place[own], start[own], length)
             ends = np.cumsum([len(p[0]) for p in parts])
             for block_, p, e in zip(t.column("block").to_pylist(), parts, ends.tolist(), strict=True):
                 yield pa.record_batch(
@@ -505,12 +518,12 @@ def remove_repeats(
             ids, more = b.column("ids").flatten(), b.column("more").flatten()
             rec, runs, _, _, sizes = recorded(row)
             bits = np.concatenate([_unpack(x["bits"], np.uint64)[0] for x in row["bits"] or []] or [np.empty(0, np.uint64)])
-            edge = np.zeros(len(runs.text) + 1, np.int32)
+            edge = np.zeros(len(runs.text) + 1, np.int8)
             for o in range(int(rec.count.max(initial=0))):
                 hit = (o < rec.count) & (~rec.is_first | ((bits[rec.of] >> np.uint64(o)) & np.uint64(1)).astype(bool))
                 edge[rec.at[hit] + o] += 1
                 edge[rec.at[hit] + o + length] -= 1
-            gone = np.cumsum(edge[:-1]) > 0
+            gone = np.cumsum(edge[:-1], dtype=np.int8) > 0
             if whole_characters and len(gone):
                 letters = np.flatnonzero((runs.text & 0xC0) != 0x80)
                 gone = np.repeat(np.logical_and.reduceat(gone, letters), np.diff(np.append(letters, len(gone))))
