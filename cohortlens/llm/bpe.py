@@ -56,6 +56,8 @@ class Encoder:
         self.leaf = max(1, leaf)
         self.new: dict[str, Unit] = {}
         self.old: dict[str, Unit] = {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.longest = max((len(t.content) for t in added), default=0)
 
     def _make(self, text: str, glued: bool, ids: list[int], tokens: list[str]) -> Unit:
         return Unit(text, glued, len(ids), " ".join(map(str, ids)), " ".join(tokens))
@@ -113,8 +115,10 @@ class Encoder:
             a, b = left[-width:], right[:width]
             middle = self.units("".join(u.text if u.glued else " " + u.text for u in [a[0]._replace(glued=True), *a[1:], *b]), a[0].glued)
             whole_left, whole_right = width >= len(left), width >= len(right)
-            same_left = whole_left or (len(middle) > 1 and _same(middle[0], a[0]))
-            same_right = whole_right or (len(middle) > 1 and _same(middle[-1], b[-1]))
+            # an added token over the join may not reach beyond the window
+            wide_left, wide_right = (sum(len(u.text) for u in x) >= self.longest for x in (a, b))
+            same_left = whole_left or (wide_left and len(middle) > 1 and _same(middle[0], a[0]))
+            same_right = whole_right or (wide_right and len(middle) > 1 and _same(middle[-1], b[-1]))
             if same_left and same_right:
                 return left[: len(left) - len(a)] + middle + right[len(b) :]
             width *= 2
