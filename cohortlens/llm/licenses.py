@@ -77,13 +77,40 @@ use this software in a product, an acknowledgment in the product documentation w
     "MIT-notice": "Released under the MIT License.",
 }
 
-#: A line that names a holder of rights and says nothing else of the terms.
+#: A line that names a holder of rights and says nothing else of the terms, as the SQL has it: by its first words.
 _COPYRIGHT = "\\n[ \\t]*(#|//|\\*|;)*[ \\t]*(copyright|©|\\(c\\)|all rights reserved)[^\\n]*"
 
+_YEAR = "([\\[<{]?(19|20)[0-9]{2}|[\\[<{]?(19|20)?yy|[\\[<{]year)"
+_MARGIN = "[ \\t]*(?:#|//|\\*|;)*[ \\t]*"
+#: Words after "copyright" that are terms and name no holder.
+_TERMS = "holders?|owners?|notices?|laws?|licens\\w*|licenc\\w*|and|or|in|is|are|to|of|for|on|that|which|this|statements?|interests?|permissions?|protection|rights?"
+
+#: Rights statements within licence texts, taken out wherever their lines are cut.
+_OWN_RIGHTS = (
+    "copyright\\s*(\\(c\\)|©)\\s*([0-9]{4}[,\\s]+)+free\\s+software\\s+foundation,?\\s+inc\\.?(\\s*<?https?://[^\\s<>]*>?)?",
+    "copyright\\s*(\\(c\\)|©)?\\s*([\\[<{]?(yyyy|19yy|20yy|year)[\\]>}]?)\\s+[\\[<{]?(your\\s+)?name(\\s+of\\s+(the\\s+)?(author|copyright\\s+owner))?[\\]>}]?",
+)
+#: Lines that name a holder of rights. The first forms cannot begin a wrapped line of the terms; the last one, a holder
+#: without year or sign, counts only where a paragraph begins.
+_HOLDERS = (
+    f"\\n{_MARGIN}copyright[ \\t:,]*(?:by[ \\t]+)?(\\(c\\)|©|&copy;|{_YEAR})[^\\n]*",
+    f"\\n{_MARGIN}(©|\\(c\\)[ \\t]*(copyright[ \\t]*)?{_YEAR})[^\\n]*",
+    f"\\n{_MARGIN}all rights reserved[^\\p{{L}}\\p{{N}}\\n]*(?=\\n|$)",
+    f"(?<=\\n)[ \\t\\r]*((?:#|//|\\*|;)*[ \\t\\r]*\\n{_MARGIN}copyright[ \\t]*(?=[:\\n]|[ \\t](?!(?:{_TERMS})\\b)|$)[^\\n]*)+",
+)
+
 
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, words with one space between, one spelling of each."""
-    x = F.regexp_replace(F.concat(F.lit("\n"), F.lower(text)), _COPYRIGHT, "")
+    """Lower case, no copyright lines, words with one space between, one spelling of each.
+
+    Lines of the terms may be wrapped anywhere. A holder is named on lines of its own; where the terms go on in
+    the holder's line, their beginning cannot be told and the line goes with them.
+    """
+    x = F.concat(F.lit("\n\n"), F.lower(text))
+    for pattern in _OWN_RIGHTS:
+        x = F.regexp_replace(x, pattern, " ")
+    for pattern in _HOLDERS:
+        x = F.regexp_replace(x, pattern, "\n")
     x = F.regexp_replace(x, "[^\\p{L}\\p{N}]+", " ")
     for pattern, new, group in SPELLINGS:
         x = F.regexp_replace(x, pattern, _template(new, group, "$"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 
 import pytest
 
@@ -124,6 +125,26 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+HOLDERS = ("Copyright (c) 2024 Some Body", "Copyright 2019-2024, Some Body. All rights reserved.", "(c) 2024 Some Body", "© Some Body", "Copyright The Some Authors\nCopyright Other Authors", "# Copyright: Some Body\nAll rights reserved.")
+
+
+def test_wrapped_licenses(spark):
+    names = [k for k in licenses.LICENSES if not k.endswith("-notice")]
+    rows = []
+    for name in names:
+        paragraphs = licenses.LICENSES[name].split("\n\n")
+        for width in (20, 33, 47, 60, 72, 80, 100, 120, 10**6):
+            rows.append((name, "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in paragraphs)))
+        rows.append((name, " ".join(licenses.LICENSES[name].split())))
+        rows += [(name, f"{h}\n\n{licenses.LICENSES[name]}") for h in HOLDERS]
+    for start in ("notice, this", "holder or", "holders and"):
+        rows.append(("BSD-3-Clause", licenses.LICENSES["BSD-3-Clause"].lower().replace(f"copyright {start}", f"\ncopyright {start}")))
+    rows.append((None, licenses.LICENSES["MIT"].replace("COPYRIGHT HOLDERS BE LIABLE", "COPYRIGHT HOLDERS BE FULLY LIABLE")))
+    df = spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(rows)], "doc_id bigint, name string, text string")
+    got = {r["id"]: r["license_id"] for r in licenses.scan(df).collect()}
+    assert [(rows[k], got[k]) for k in got if got[k] != rows[k][0]] == []
+
+
 QUESTION = "Alice bought 12 apples and gave 5 kg of them to Bob while the farmer kept 12 in the barn for his two sons and daughters"
 
 
