@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ SPELLINGS = (
     ("https", "http", 0),
 )
 
-# Texts of licences and of the notices that name them.
+# Texts of short licences and of the notices that name some; all that the SQL has.
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
 INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL,
 DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
@@ -92,11 +94,12 @@ _OWN_RIGHTS = (
 )
 #: Lines that name a holder of rights. The first forms cannot begin a wrapped line of the terms; the last one, a holder
 #: without year or sign, counts only where a paragraph begins.
+_REST = "(?:[^\\n]*?\\ball\\s+rights\\s+reserved[^\\p{L}\\p{N}\\n]*(?=\\n|$)|[^\\n]*)"
 _HOLDERS = (
-    f"\\n{_MARGIN}copyright[ \\t:,]*(?:by[ \\t]+)?(\\(c\\)|©|&copy;|{_YEAR})[^\\n]*",
-    f"\\n{_MARGIN}(©|\\(c\\)[ \\t]*(copyright[ \\t]*)?{_YEAR})[^\\n]*",
+    f"\\n{_MARGIN}copyright[ \\t:,]*(?:by[ \\t]+)?(\\(c\\)|©|&copy;|{_YEAR}){_REST}",
+    f"\\n{_MARGIN}(©|\\(c\\)[ \\t]*(copyright[ \\t]*)?{_YEAR}){_REST}",
     f"\\n{_MARGIN}all rights reserved[^\\p{{L}}\\p{{N}}\\n]*(?=\\n|$)",
-    f"(?<=\\n)[ \\t\\r]*((?:#|//|\\*|;)*[ \\t\\r]*\\n{_MARGIN}copyright[ \\t]*(?=[:\\n]|[ \\t](?!(?:{_TERMS})\\b)|$)[^\\n]*)+",
+    f"(?<=\\n)[ \\t\\r]*((?:#|//|\\*|;)*[ \\t\\r]*\\n{_MARGIN}copyright[ \\t]*(?=[:\\n]|[ \\t](?!(?:{_TERMS})\\b)|$){_REST})+",
 )
 
 
@@ -122,8 +125,19 @@ def _template(new: str, group: int, mark: str) -> str:
     return {0: new, 1: f"{new}{mark}1", -1: f"{mark}1{new}", 2: f"{mark}1{new}{mark}2"}[group]
 
 
+#: Standard texts in full, one file for each; the name of the file is that of the licence.
+TEXTS = Path(__file__).parent / "license_texts"
+_END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(LICENSES.items()), "license_id string, text string")
+    """The short licences above and the standard texts, each with and without what follows the end of its terms."""
+    rows = list(LICENSES.items())
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        terms, end, _ = text.partition(_END_OF_TERMS)
+        rows += [(path.stem, text)] + [(path.stem, terms + end), (path.stem, terms)] * bool(end)
+    return spark.createDataFrame(rows, "license_id string, text string")
 
 
 def scan(

@@ -125,7 +125,7 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-HOLDERS = ("Copyright (c) 2024 Some Body", "Copyright 2019-2024, Some Body. All rights reserved.", "(c) 2024 Some Body", "© Some Body", "Copyright The Some Authors\nCopyright Other Authors", "# Copyright: Some Body\nAll rights reserved.")
+HOLDERS = ("Copyright (c) 2024 Some Body", "Copyright 2019-2024, Some Body. All rights reserved.", "(c) 2024 Some Body", "© Some Body", "Copyright The Some Authors\nCopyright Other Authors", "# Copyright: Some Body\nAll rights reserved.", "Copyright (c) 2024 Some Body. All\nrights reserved.")
 
 
 def test_wrapped_licenses(spark):
@@ -145,6 +145,22 @@ def test_wrapped_licenses(spark):
     assert [(rows[k], got[k]) for k in got if got[k] != rows[k][0]] == []
 
 
+def test_full_license_texts(spark):
+    rows = []
+    for path in sorted(licenses.TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        paragraphs = text.split("\n\n")
+        rows += [(path.stem, text), (path.stem, "Copyright (c) 2024 Some Body\n\n" + text), (path.stem, " ".join(text.split()))]
+        rows += [(path.stem, "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in paragraphs)) for width in (45, 66, 72, 90, 10**6)]
+        rows += [(None, text + " And more.")]
+        if "END OF TERMS AND CONDITIONS" in text:
+            rows += [(path.stem, text.split("END OF TERMS AND CONDITIONS")[0])]
+    df = spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(rows)], "doc_id bigint, name string, text string")
+    got = {r["id"]: r["license_id"] for r in licenses.scan(df).collect()}
+    assert [(rows[k][0], k, rows[k][1][:60], got[k]) for k in got if got[k] != rows[k][0]] == []
+    assert len(rows) > 100
+
+
 QUESTION = "Alice bought 12 apples and gave 5 kg of them to Bob while the farmer kept 12 in the barn for his two sons and daughters"
 
 
