@@ -51,11 +51,13 @@ _PLACEHOLDER = {k: _hash(f"\0{k}") for k in (NUMBER, NAME, UNIT)}
 
 
 class Template(NamedTuple):
-    """By token: hash in the template, hash of the value, and kind."""
+    """By token: hash in the template, hash of the case-folded value, and kind; the same with names as words of no case."""
 
     shape: np.ndarray
     value: np.ndarray
     kind: np.ndarray
+    folded_shape: np.ndarray
+    folded_kind: np.ndarray
 
 
 def _kind(token: str) -> int:
@@ -66,6 +68,10 @@ def _kind(token: str) -> int:
     return UNIT if token.lower() in UNITS else LITERAL_KIND
 
 
+def _folded_kind(token: str) -> int:
+    return NUMBER if token[0].isdigit() else UNIT if token.casefold() in UNITS else LITERAL_KIND
+
+
 class Reader:
     """Turns texts into templates; tokens are numbered, and what a chunk between white space gives is kept."""
 
@@ -75,16 +81,16 @@ class Reader:
     def _clear(self) -> None:
         self.chunks: dict[str, tuple[int, ...]] = {}
         self.tokens: dict[str, int] = {}
-        self.shape, self.value, self.kind = array("Q"), array("Q"), array("Q")
+        self.columns = tuple(array("Q") for _ in Template._fields)
 
     def _token(self, token: str) -> int:
         n = self.tokens.get(token)
         if n is None:
             n = self.tokens[token] = len(self.tokens)
-            kind, value = _kind(token), _hash(token.casefold())
-            self.shape.append(_PLACEHOLDER[kind] if kind else value)
-            self.value.append(value)
-            self.kind.append(kind)
+            kind, folded, value = _kind(token), _folded_kind(token), _hash(token.casefold())
+            row = (_PLACEHOLDER.get(kind, value), value, kind, _PLACEHOLDER.get(folded, value), folded)
+            for column, x in zip(self.columns, row, strict=True):
+                column.append(x)
         return n
 
     def __call__(self, text: str | None) -> Template:
@@ -97,36 +103,104 @@ class Reader:
                 got = chunks[chunk] = tuple(self._token(t) for t in _TOKEN.findall(chunk))
             rows += got
         at = np.array(rows, np.int64)
-        shape, value, kind = (np.frombuffer(c, np.uint64)[at] if rows else np.empty(0, np.uint64) for c in (self.shape, self.value, self.kind))
-        return Template(shape, value, kind.astype(np.int64))
+        shape, value, kind, folded_shape, folded_kind = (np.frombuffer(c, np.uint64)[at] if rows else np.empty(0, np.uint64) for c in self.columns)
+        return Template(shape, value, kind.astype(np.int64), folded_shape, folded_kind.astype(np.int64))
 
 
-def _windows(t: Template, window: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the windows that have enough literal tokens; a short text has one."""
-    n = len(t.shape)
-    if n == 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    width = min(window, n)
-    count = n - width + 1
-    total = np.zeros(count, np.uint64)
-    for k in range(width):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + t.shape[k : k + count]
-    total ^= total >> np.uint64(29)
-    plain = np.concatenate(([0], np.cumsum(t.kind == LITERAL_KIND)))
-    ok = (plain[width:] - plain[:-width]) * window >= literal * width
-    return np.flatnonzero(ok), total[ok] + np.uint64(width)
+_BASE = 0x9E3779B97F4A7C15
+_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, ``n`` at least."""
+    global _powers
+    if len(_powers[0]) < n:
+        size = max(n, 1 << 12)
+        bases = (_BASE, pow(_BASE, -1, 1 << 64))
+        _powers = tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, x, np.uint64)))) for x in bases)
+    return _powers
+
+
+def _keys(shape: np.ndarray, start: np.ndarray, width: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes of the windows, polynomials of their tokens' hashes."""
+    power, inverse = _powers_to(len(shape) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(shape * inverse[: len(shape)], dtype=np.uint64)))
+    key = (total[start + width] - total[start]) * power[start + width - 1]
+    key ^= key >> np.uint64(29)
+    return (key + width.astype(np.uint64) + np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
+
 
+#: Sets of windows: typed placeholders; the same with names as words without case; values alone.
+TYPED, FOLDED, EXACT = 0, 1, 2
 
-def _consistent(item: Template, doc: Template, at: int, to: int, size: int) -> tuple[bool, bool]:
+
+class Windows(NamedTuple):
+    start: np.ndarray
+    width: np.ndarray
+    mode: np.ndarray
+    key: np.ndarray
+
+
+def _windows(t: Template, window: int, literal: int) -> Windows:
+    """Windows by which a text is found; a short text is one, and every start has one of its own values at least.
+
+    A window with too few literal tokens is lengthened until it has ``literal`` of them. Where it has too few even with
+    its names counted as words, it is taken by its values as well.
+    """
+    n = len(t.shape)
+    parts = []
+    width = min(window, n)
+    if n:
+        start = np.arange(n - width + 1)
+        for mode, shape, kind in ((TYPED, t.shape, t.kind),):
+            plain = np.concatenate(([0], np.cumsum(kind == LITERAL_KIND)))
+            size = np.full(len(start), width)
+            poor = (plain[width:] - plain[:-width]) * window < literal * width
+            ok = ~poor
+            if width == window and poor.any():
+                # the first place by which the window has enough
+                end = np.searchsorted(plain, plain[start[poor]] + literal)
+                size[poor] = end - start[poor]
+                ok[poor] = end <= n
+            parts.append((start[ok], size[ok], mode, _keys(shape, start[ok], size[ok], mode)))
+        if poor.any():
+            size = np.full(int(poor.sum()), width)
+            parts.append((start[poor], size, EXACT, _keys(t.value, start[poor], size, EXACT)))
+    join = lambda k, kind: np.concatenate([np.empty(0, kind), *(p[k] for p in parts)])
+    mode = np.repeat(np.array([p[2] for p in parts], np.int64), [len(p[0]) for p in parts])
+    return Windows(join(0, np.int64), join(1, np.int64), mode, join(3, np.uint64))
+
+
+def _consistent(item: Template, doc: Template, at: int, to: int, size: int, mode: int) -> tuple[bool, bool]:
     """Whether the run's placeholders map one to one from item to document; whether values are equal."""
-    a, b, kind = item.value[at : at + size], doc.value[to : to + size], item.kind[at : at + size]
-    if not np.array_equal(item.shape[at : at + size], doc.shape[to : to + size]):
+    a, b = item.value[at : at + size], doc.value[to : to + size]
+    equal = bool(np.array_equal(a, b))
+    if mode == EXACT:
+        return equal, equal
+    shapes, kinds = (item.shape, item.kind) if mode == TYPED else (item.folded_shape, item.folded_kind)
+    other = doc.shape if mode == TYPED else doc.folded_shape
+    if not np.array_equal(shapes[at : at + size], other[to : to + size]):
         return False, False
     there, back = {}, {}
-    for x, y, k in zip(a.tolist(), b.tolist(), kind.tolist(), strict=True):
+    for x, y, k in zip(a.tolist(), b.tolist(), kinds[at : at + size].tolist(), strict=True):
         if k != LITERAL_KIND and (there.setdefault((k, x), y) != y or back.setdefault((k, y), x) != x):
             return False, False
-    return True, bool(np.array_equal(a, b))
+    return True, equal
+
+
+def _short(t: Template, width: int, window: int, literal: int) -> Windows:
+    """Windows of the width of a short item, with literal tokens in proportion."""
+    start = np.arange(len(t.shape) - width + 1)
+    parts = []
+    for mode, shape, kind in ((TYPED, t.shape, t.kind),):
+        plain = np.concatenate(([0], np.cumsum(kind == LITERAL_KIND)))
+        poor = (plain[width:] - plain[:-width]) * window < literal * width
+        parts.append((start[~poor], mode, shape))
+    parts.append((start[poor], EXACT, t.value))
+    keys = [_keys(shape, at, np.full(len(at), width), mode) for at, mode, shape in parts]
+    at = np.concatenate([p[0] for p in parts])
+    mode = np.repeat(np.array([p[1] for p in parts]), [len(p[0]) for p in parts])
+    return Windows(at, np.full(len(at), width), mode, np.concatenate(keys))
 
 
 class Found(NamedTuple):
@@ -145,44 +219,57 @@ class Index:
         self.ids = [i for i, _ in items]
         self.templates = [read(t) for _, t in items]
         parts = [_windows(t, window, literal) for t in self.templates]
-        owner = np.repeat(np.arange(len(items)), [len(p[0]) for p in parts])
-        start = np.concatenate([p[0] for p in parts] or [np.empty(0, np.int64)])
-        key = np.concatenate([p[1] for p in parts] or [np.empty(0, np.uint64)])
+        owner = np.repeat(np.arange(len(items)), [len(p.start) for p in parts])
+        start, width, mode, key = (np.concatenate([np.empty(0, k), *c]) for c, k in zip(zip(*parts, strict=True), (np.int64, np.int64, np.int64, np.uint64), strict=False)) if parts else [np.empty(0, np.uint64)] * 4
         order = np.argsort(key, kind="stable")
-        self.key, self.owner, self.start = key[order], owner[order], start[order]
-        self.count = [len(p[0]) for p in parts]
+        self.key, self.owner, self.start, self.width, self.mode = (c[order] for c in (key, owner, start, width, mode))
+        self.count = [max(0, len(t.shape) - min(window, len(t.shape)) + 1) for t in self.templates]
+        #: which leading bits occur, to pass over most windows of documents at once
+        bits = min(26, max(16, len(key).bit_length() + 5))
+        self.shift = np.uint64(64 - bits)
+        self.there = np.zeros(1 << bits, bool)
+        self.there[self.key >> self.shift] = True
         #: widths below the window that short items have
         self.short = sorted({len(t.shape) for t in self.templates if 0 < len(t.shape) < window})
 
     def search(self, doc: Template) -> list[Found]:
-        hits: dict[tuple[int, int], list[int]] = {}
+        hits: dict[tuple[int, int], dict[int, dict[int, int]]] = {}
         for width in [self.window, *self.short]:
             if len(doc.shape) < width or not len(self.key):
                 continue
-            start, key = _windows(doc, width, self.literal)
-            low = np.searchsorted(self.key, key)
-            some = np.flatnonzero(self.key[np.minimum(low, len(self.key) - 1)] == key)
-            for k in some.tolist():
-                p = int(low[k])
-                while p < len(self.key) and self.key[p] == key[k]:
-                    item, at = int(self.owner[p]), int(self.start[p])
-                    hits.setdefault((item, int(start[k]) - at), []).append(at)
+            found = _windows(doc, self.window, self.literal) if width == self.window else _short(doc, width, self.window, self.literal)
+            maybe = np.flatnonzero(self.there[found.key >> self.shift])
+            low = np.searchsorted(self.key, found.key[maybe])
+            some = self.key[np.minimum(low, len(self.key) - 1)] == found.key[maybe]
+            for k, p in zip(maybe[some].tolist(), low[some].tolist(), strict=True):
+                key, start, size, mode = found.key[k], int(found.start[k]), int(found.width[k]), int(found.mode[k])
+                while p < len(self.key) and self.key[p] == key:
+                    if self.mode[p] == mode and self.width[p] == size:
+                        at = int(self.start[p])
+                        hits.setdefault((int(self.owner[p]), start - at), {}).setdefault(mode, {})[at] = size
                     p += 1
         best: dict[int, tuple[set[int], bool]] = {}
-        for (item, shift), places in hits.items():
-            places = sorted(set(places))
-            width = min(self.window, len(self.templates[item].shape))
-            cuts = [0, *(k for k in range(1, len(places)) if places[k] > places[k - 1] + width), len(places)]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        for (item, shift), modes in hits.items():
+            done: set[int] = set()
+            for mode in sorted(modes):
+                sizes = {at: size for at, size in modes[mode].items() if at not in done}
                 # neighbouring windows are judged as one passage; if that fails, each for itself
-                runs = [places[s:e]]
+                runs: list[list[int]] = []
+                for at in sorted(sizes):
+                    if runs and at <= end:
+                        runs[-1].append(at)
+                        end = max(end, at + sizes[at])
+                    else:
+                        runs.append([at])
+                        end = at + sizes[at]
                 while runs:
                     run = runs.pop()
-                    size = run[-1] - run[0] + width
-                    ok, equal = _consistent(self.templates[item], doc, run[0], run[0] + shift, size)
+                    size = max(at + sizes[at] for at in run) - run[0]
+                    ok, equal = _consistent(self.templates[item], doc, run[0], run[0] + shift, size, mode)
                     if ok:
                         seen, exact = best.get(item, (set(), False))
                         best[item] = (seen | set(run), exact or equal)
+                        done |= set(run)
                     elif len(run) > 1:
                         runs += [[p] for p in run]
         return [Found(self.ids[i], len(w), len(w) / self.count[i], x) for i, (w, x) in sorted(best.items())]
@@ -220,7 +307,9 @@ def contaminated(
     ``share`` is their part of the item's windows, ``exact`` says that a passage has the same values.
     A document without a match has no row. Null and empty texts hold nothing; null ids stay null; repeated
     documents give repeated rows. A window needs ``literal`` of its ``window`` tokens outside placeholders (in
-    proportion for items shorter than a window). The benchmark goes to the tasks in blocks of at most ``turn`` words, one
+    proportion for items shorter than a window) and is lengthened until it has them. A second set of windows takes names as
+    words without case, so that copies in other case are found; where those are too poor in words as well, the values
+    themselves are looked up. So every item with a token is found where it is copied. The benchmark goes to the tasks in blocks of at most ``turn`` words, one
     pass over the documents for each, so no table of unknown size is broadcast.
     """
     rows = only(docs, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), "text")

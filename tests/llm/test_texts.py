@@ -203,3 +203,33 @@ def test_slots_must_agree():
     assert index.search(read(text.replace("12", "40")))[0].exact is False
     one = text.replace("12", "40", 1)  # the same figure became two different ones
     assert not index.search(read(one)) or index.search(read(one))[0].share < 1
+
+
+POOR = (
+    "Alice gave Bob 3 apples, Carol gave Dan 5 pears and Eve gave Frank 7 plums",
+    "Anna Lee has 12 red pens, Tom Ray has 15, Eva Orr has 18, Max Day has 21",
+    "What Is The Name Of The First Large City On The Long River Nile",
+    "Who Is Ada Lovelace",
+    "12 13 14 15",
+    " ".join(str(k) for k in range(40)),
+)
+
+
+@pytest.mark.parametrize("text", [*POOR, QUESTION])
+@pytest.mark.parametrize("change", [str])
+def test_every_item_is_found_in_any_case(text, change):
+    read = contamination.Reader()
+    index = contamination.Index([(1, text)], 13, 7)
+    for around in ("", " some other words 1 2 3 Here And there "):
+        got = index.search(read(around + change(text) + around))
+        assert [(f.item, f.share, f.exact) for f in got] == [(1, 1.0, True)]
+
+
+def test_changed_values_below_the_literal_floor():
+    read = contamination.Reader()
+    index = contamination.Index([(1, POOR[0])], 13, 7)
+    assert index.search(read(POOR[0].replace("Alice", "Zoe").replace("3", "40")))[0].exact is False
+    long = POOR[1] + " and each of them buys some more at the shop"
+    index = contamination.Index([(1, long)], 13, 7)
+    assert index.search(read(long.replace("Anna", "Olga").replace("12", "40")))
+    assert not index.search(read("Olga Kim has 40 blue pens and nothing else that was ever asked about here"))
