@@ -152,7 +152,7 @@ def _windows(t: Template, window: int, literal: int) -> Windows:
     width = min(window, n)
     if n:
         start = np.arange(n - width + 1)
-        for mode, shape, kind in ((TYPED, t.shape, t.kind),):
+        for mode, shape, kind in ((TYPED, t.shape, t.kind), (FOLDED, t.folded_shape, t.folded_kind)):
             plain = np.concatenate(([0], np.cumsum(kind == LITERAL_KIND)))
             size = np.full(len(start), width)
             poor = (plain[width:] - plain[:-width]) * window < literal * width
@@ -192,7 +192,7 @@ def _short(t: Template, width: int, window: int, literal: int) -> Windows:
     """Windows of the width of a short item, with literal tokens in proportion."""
     start = np.arange(len(t.shape) - width + 1)
     parts = []
-    for mode, shape, kind in ((TYPED, t.shape, t.kind),):
+    for mode, shape, kind in ((TYPED, t.shape, t.kind), (FOLDED, t.folded_shape, t.folded_kind)):
         plain = np.concatenate(([0], np.cumsum(kind == LITERAL_KIND)))
         poor = (plain[width:] - plain[:-width]) * window < literal * width
         parts.append((start[~poor], mode, shape))

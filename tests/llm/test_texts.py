@@ -216,7 +216,7 @@ POOR = (
 
 
 @pytest.mark.parametrize("text", [*POOR, QUESTION])
-@pytest.mark.parametrize("change", [str])
+@pytest.mark.parametrize("change", [str, str.lower, str.upper, str.title, str.swapcase])
 def test_every_item_is_found_in_any_case(text, change):
     read = contamination.Reader()
     index = contamination.Index([(1, text)], 13, 7)
