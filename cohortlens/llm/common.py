@@ -26,6 +26,14 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that ``column`` has about ``most`` bytes in each (a longer single value
     stands alone)."""

@@ -7,8 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, chat, contamination, embedding_dedup, licenses, quality, sharding, simhash, suffix_dedup, warc
+from cohortlens.llm import (
+    bpe,
+    chat,
+    contamination,
+    edit_fingerprints,
+    embedding_dedup,
+    hard_negatives,
+    licenses,
+    quality,
+    sharding,
+    simhash,
+    spelling,
+    suffix_dedup,
+    warc,
+)
 from cohortlens.llm.common import table
+from cohortlens.session import pin
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -108,3 +123,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.col("digest").alias("canonical_sha256"), "license_id")
+
+
+@_query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@_query("op12_edit_fingerprints")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edit_fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return edit_fingerprints.near_copies(pin(found)).withColumnsRenamed({"id": "doc_id", "component": "component_id"})
+
+
+@_query("op13_hard_negatives")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
