@@ -22,7 +22,7 @@ SPELLINGS = (
     ("https", "http", 0),
 )
 
-# Texts of short licences and of the notices that name some; all that the SQL has.
+# Texts of short licences and of the notices that name some.
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
 INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL,
 DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
@@ -79,28 +79,32 @@ use this software in a product, an acknowledgment in the product documentation w
     "MIT-notice": "Released under the MIT License.",
 }
 
-#: A line that names a holder of rights and says nothing else of the terms, as the SQL has it: by its first words.
-_COPYRIGHT = "\\n[ \\t]*(#|//|\\*|;)*[ \\t]*(copyright|©|\\(c\\)|all rights reserved)[^\\n]*"
-
+# Patterns of the rule for rights statements, for Java and, without possessive marks, for the SQL. No group is repeated
+# over text of any length and no two repeats can share characters, so that lines of any length take linear time.
+_SPACE = "[ \\t\\n\\r\\f]"
+_MARGIN = "[#*;/ \\t]*+"
+_BLANK = "[#*;/ \\t\\r]*+"
 _YEAR = "([\\[<{]?(19|20)[0-9]{2}|[\\[<{]?(19|20)?yy|[\\[<{]year)"
-_MARGIN = "[ \\t]*(?:#|//|\\*|;)*[ \\t]*"
 #: Words after "copyright" that are terms and name no holder.
-_TERMS = "holders?|owners?|notices?|laws?|licens\\w*|licenc\\w*|and|or|in|is|are|to|of|for|on|that|which|this|statements?|interests?|permissions?|protection|rights?"
-
-#: Rights statements within licence texts, taken out wherever their lines are cut.
-_OWN_RIGHTS = (
-    "copyright\\s*(\\(c\\)|©)\\s*([0-9]{4}[,\\s]+)+free\\s+software\\s+foundation,?\\s+inc\\.?(\\s*<?https?://[^\\s<>]*>?)?",
-    "copyright\\s*(\\(c\\)|©)?\\s*([\\[<{]?(yyyy|19yy|20yy|year)[\\]>}]?)\\s+[\\[<{]?(your\\s+)?name(\\s+of\\s+(the\\s+)?(author|copyright\\s+owner))?[\\]>}]?",
+_TERMS = "holders?|owners?|notices?|laws?|licens[a-z]*|licenc[a-z]*|and|or|in|is|are|to|of|for|on|that|which|this|statements?|interests?|permissions?|protection|rights?"
+
+#: Done on the text before it is cut in lines: rights statements within licence texts are taken out wherever their lines
+#: are cut, and the words "all rights reserved" at the end of a line are put on one line.
+_TEXT_RULES = (
+    (f"copyright{_SPACE}*+(\\(c\\)|©){_SPACE}*+[0-9][0-9, \\t\\n\\r\\f]*+free{_SPACE}++software{_SPACE}++foundation,?{_SPACE}++inc[.]?({_SPACE}*<?https?://[^ \\t\\n\\r\\f<>]*+>?)?", " "),
+    (f"copyright{_SPACE}*+(\\(c\\)|©)?{_SPACE}*+[\\[<{{]?(yyyy|19yy|20yy|year)[\\]>}}]?{_SPACE}++[\\[<{{]?(your{_SPACE}++)?name({_SPACE}+of{_SPACE}++(the{_SPACE}++)?(author|copyright{_SPACE}++owner))?[\\]>}}]?", " "),
+    (f"all{_SPACE}++rights{_SPACE}++reserved([^\\p{{L}}\\p{{N}}\\n]*+(\\n|$))", "all rights reserved@1"),
 )
-#: Lines that name a holder of rights. The first forms cannot begin a wrapped line of the terms; the last one, a holder
-#: without year or sign, counts only where a paragraph begins.
-_REST = "(?:[^\\n]*?\\ball\\s+rights\\s+reserved[^\\p{L}\\p{N}\\n]*(?=\\n|$)|[^\\n]*)"
-_HOLDERS = (
-    f"\\n{_MARGIN}copyright[ \\t:,]*(?:by[ \\t]+)?(\\(c\\)|©|&copy;|{_YEAR}){_REST}",
-    f"\\n{_MARGIN}(©|\\(c\\)[ \\t]*(copyright[ \\t]*)?{_YEAR}){_REST}",
-    f"\\n{_MARGIN}all rights reserved[^\\p{{L}}\\p{{N}}\\n]*(?=\\n|$)",
-    f"(?<=\\n)[ \\t\\r]*((?:#|//|\\*|;)*[ \\t\\r]*\\n{_MARGIN}copyright[ \\t]*(?=[:\\n]|[ \\t](?!(?:{_TERMS})\\b)|$){_REST})+",
+#: Done on lines, each between two line feeds of its own: lines that name a holder go, and those that say only that all
+#: rights are reserved. What begins like a holder's line but goes on with a word of the terms is marked and stays.
+_LINE_RULES = (
+    (f"\\n{_MARGIN}copyright[ \\t:,]*(by[ \\t]+)?(\\(c\\)|©|&copy;|{_YEAR})[^\\n]*+\\n", ""),
+    (f"\\n{_MARGIN}(©|\\(c\\)[ \\t]*+(copyright[ \\t]*+)?{_YEAR})[^\\n]*+\\n", ""),
+    (f"\\n{_MARGIN}all rights reserved[^\\p{{L}}\\p{{N}}\\n]*+\\n", ""),
+    (f"\\n({_MARGIN})copyright([ \\t]+({_TERMS})([^a-z0-9_]))", "\n@1~copyright@2"),
 )
+#: A holder without year or sign counts only where a paragraph begins, with the lines like it that follow at once.
+_BARE = f"\\n{_MARGIN}copyright([: \\t][^\\n]*+)?\\n"
 
 
 def canonical(text: Column) -> Column:
@@ -109,11 +113,13 @@ def canonical(text: Column) -> Column:
     Lines of the terms may be wrapped anywhere. A holder is named on lines of its own; where the terms go on in
     the holder's line, their beginning cannot be told and the line goes with them.
     """
-    x = F.concat(F.lit("\n\n"), F.lower(text))
-    for pattern in _OWN_RIGHTS:
-        x = F.regexp_replace(x, pattern, " ")
-    for pattern in _HOLDERS:
-        x = F.regexp_replace(x, pattern, "\n")
+    x = F.lower(text)
+    for pattern, new in _TEXT_RULES:
+        x = F.regexp_replace(x, pattern, new.replace("@", "$"))
+    x = F.concat(F.lit("\n\n\n"), F.replace(x, F.lit("\n"), F.lit("\n\n")), F.lit("\n"))
+    for pattern, new in _LINE_RULES:
+        x = F.regexp_replace(x, pattern, new.replace("@", "$"))
+    x = F.regexp_replace(x, f"(?:\\n{_BLANK}\\n|\\G){_BARE}", "\n\n")
     x = F.regexp_replace(x, "[^\\p{L}\\p{N}]+", " ")
     for pattern, new, group in SPELLINGS:
         x = F.regexp_replace(x, pattern, _template(new, group, "$"))
@@ -160,19 +166,38 @@ def scan(
 
 
 def _sql_text(column: str) -> str:
-    quote = lambda s: s.replace("'", "''")
-    x = f"regexp_replace(chr(10) || lower(coalesce({column}, '')), '{quote(_COPYRIGHT)}', '', 'g')"
-    x = f"regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
+    def quote(pattern: str) -> str:
+        return pattern.replace("*+", "*").replace("++", "+").replace("'", "''")
+
+    def replaced(x: str, pattern: str, new: str) -> str:
+        return f"regexp_replace({x}, '{quote(pattern)}', '{new.replace('@', chr(92))}', 'g')"
+
+    x = f"lower(coalesce({column}, ''))"
+    for rule in _TEXT_RULES:
+        x = replaced(x, *rule)
+    x = f"concat(repeat(chr(10), 3), replace({x}, chr(10), repeat(chr(10), 2)), chr(10))"
+    for rule in _LINE_RULES:
+        x = replaced(x, *rule)
+    x = replaced(x, f"(\\n{_BLANK}\\n)({_BARE})+", "@1")
+    x = replaced(x, "[^\\p{L}\\p{N}]+", " ")
     for pattern, new, group in SPELLINGS:
-        x = f"regexp_replace({x}, '{pattern}', '{_template(new, group, chr(92))}', 'g')"
+        x = replaced(x, pattern, _template(new, group, "@"))
     return f"trim({x})"
 
 
 def sql() -> str:
-    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in LICENSES.items())
+    """The same rule and the same catalogue, for DuckDB."""
+    texts = list(LICENSES.items()) + [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in texts)
     return f"""
-WITH known AS (
-  SELECT sha256({_sql_text('text')}) AS digest, min(license_id) AS license_id FROM (VALUES {values}) AS v(license_id, text) GROUP BY 1
+WITH given AS (
+  SELECT * FROM (VALUES {values}) AS v(license_id, text)
+), variants AS (
+  SELECT * FROM given
+  UNION ALL SELECT license_id, split_part(text, '{_END_OF_TERMS}', 1) || '{_END_OF_TERMS}' FROM given WHERE contains(text, '{_END_OF_TERMS}')
+  UNION ALL SELECT license_id, split_part(text, '{_END_OF_TERMS}', 1) FROM given WHERE contains(text, '{_END_OF_TERMS}')
+), known AS (
+  SELECT sha256({_sql_text('text')}) AS digest, min(license_id) AS license_id FROM variants GROUP BY 1
 ), d AS (
   SELECT doc_id, sha256({_sql_text('text')}) AS canonical_sha256 FROM documents
 )

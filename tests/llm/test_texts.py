@@ -145,6 +145,38 @@ def test_wrapped_licenses(spark):
     assert [(rows[k], got[k]) for k in got if got[k] != rows[k][0]] == []
 
 
+def test_sql_has_the_same_rule(spark):
+    """Over rows that tell a holder's line from a wrapped line of the terms."""
+    import duckdb
+
+    texts = [None, "", "Copyright", "copyright\ncopyright", "a\nCopyright Foo\nb", "a\n\nCopyright Foo\nCopyright Bar\n\nCopyright\tBaz", "x\n# \n# copyright: foo\n# b"]
+    texts += ["a\ncopyright holders be liable", "\n\ncopyright  holders be", "copyright laws", "copyright lawsuit inc", "All rights\n reserved. x", "all rights reserved.\nAll rights reserved"]
+    texts += ["Copyright (C) 1989, 1991 Free Software\nFoundation, Inc. <http://fsf.org/> rest", "copyright [yyyy] [name of copyright owner] z", "Copyright 2024 X. All\nrights reserved. Permission", "foo copyright (c) 2020 x"]
+    texts += ["(c) 2020 x\n(c) copyright 2020 y\n(c) if this", "// Copyright by 2020 z\r\n// term\r\n", "copyright by\tyear", "copyright, {year} w", "é© z\n© z"]
+    texts += [f"{h}\n\n{licenses.LICENSES['MIT']}" for h in HOLDERS] + [textwrap.fill(licenses.LICENSES["BSD-3-Clause"], w) for w in (25, 40, 61)]
+    texts += [p.read_text(encoding="utf-8") for p in sorted(licenses.TEXTS.glob("*.txt"))[:4]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["id"]: (r["digest"], r["license_id"]) for r in licenses.scan(df).collect()}
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    want = {r[0]: (r[1], r[2]) for r in con.execute(licenses.sql()).fetchall()}
+    assert {k: (texts[k], got[k], want[k]) for k in got if got[k] != want[k]} == {}
+    assert got.keys() == want.keys() and sum(v[1] is not None for v in got.values()) >= 12
+
+
+@pytest.mark.parametrize("unit", ["#", "*", ";", "/", "//", " ", "\t", "\n", "\r\n", "#\n", "copyright (c) 2020 ", "\ncopyright foo", "\n\ncopyright foo", "\n(c) 2020", "2020, ", "copyright ", "all rights reserved\n", "(c)"])
+def test_licenses_in_long_lines(spark, unit):
+    """A million signs in one line and 100,000 lines: no stack or time beyond what their length asks for."""
+    many = unit * (1_000_000 // len(unit) if len(unit) < 3 else 100_000)
+    mit = licenses.LICENSES["MIT"]
+    rows = [(1, f"{many}\n\n{mit}"), (2, f"{mit}\n{many}"), (3, f"copyright {many}"), (4, f"copyright (c) {many}"), (5, f"\n#{many}copyright foo")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["id"]: r["license_id"] for r in licenses.scan(df).collect()}
+    assert len(got) == 5
+    if not any(c.isalnum() for c in unit):
+        assert got[1] == got[2] == "MIT"
+
+
 def test_full_license_texts(spark):
     rows = []
     for path in sorted(licenses.TEXTS.glob("*.txt")):
