@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +20,23 @@ from cohortlens.session import pin
 #: Hash bits in a sort key.
 BITS = 62
 #: Following rows that a row is compared with in each pass.
-WINDOW = 64
-#: Greatest share of pairs just at the threshold that all passes together may miss, as expected.
+WINDOW = 256
+#: Greatest share of the links of the probes that all passes together may miss.
 MISS = 0.01
+#: Probes: vectors whose links are looked up among all rows, to measure what the passes find, and how many links of each.
+PROBES = 2048
+PROBE_LINKS = 8
+#: Vectors of the sample from which the places of the cuts are learnt.
+SAMPLE = 1 << 14
+#: Vectors of the sample that a cut divides, at least.
+LEAST = 32
+#: Passes of the first round; each further round doubles them all, up to the last number, where a warning tells what is missed.
+PASSES = 6
+MOST_PASSES = 384
 #: Rows of a sorted partition, on average.
 PART_ROWS = 1 << 16
-#: Rows of a verification tile.
-TILE = 1024
+#: Numbers in one side of a verification tile.
+TILE = 1 << 20
 SEED = 20_011
 
 
@@ -35,15 +47,39 @@ def _unit(data: list[bytes], dtype: str) -> np.ndarray:
     return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
 
 
-def n_passes(n: int, threshold: float, window: int, miss: float) -> int:
-    """Passes until a pair at the threshold is missed with a chance of ``miss`` at most.
+class Cuts:
+    """The hash of one pass for vectors of one size: projections on random directions, one bit each.
 
-    Two such vectors share a hash bit with chance ``1 - angle / pi``; they are within the window if they
-    share about ``log2(n / window)`` leading bits. The number grows with a small power of ``n``.
+    A bit tells on which side of a cut the projection lies. The cuts of the first bits are the medians of the sample's
+    vectors that share the bits before, so that dense regions are divided as evenly as sparse ones; those of the further
+    bits are the projections of the mean of the sample's vectors that share all the first bits.
     """
-    same = 1 - math.acos(min(1.0, threshold)) / math.pi
-    met = same ** max(1.0, math.log2(max(2.0, n / window)) + 1)
-    return 1 if met >= 1 else max(4, math.ceil(math.log(miss) / math.log(1 - met)))
+
+    def __init__(self, sample: np.ndarray, size: int, number: int):
+        self.planes = np.random.default_rng([SEED, number, size]).standard_normal((size, BITS))
+        self.depth = max(0, int(math.log2(len(sample) / LEAST))) if len(sample) else 0
+        values, node = sample @ self.planes, np.zeros(len(sample), np.int64)
+        self.medians = []
+        for level in range(self.depth):
+            order = np.lexsort((values[:, level], node))
+            nodes, first, members = np.unique(node[order], return_index=True, return_counts=True)
+            cut = np.zeros(1 << level)
+            cut[nodes] = values[order[first + members // 2], level]
+            self.medians.append(cut)
+            node = 2 * node + (values[:, level] > cut[node])
+        total = np.zeros((1 << self.depth, BITS))
+        np.add.at(total, node, values)
+        self.means = total / np.maximum(np.bincount(node, minlength=1 << self.depth), 1)[:, None]
+
+    def keys(self, m: np.ndarray) -> np.ndarray:
+        values, node = m @ self.planes, np.zeros(len(m), np.int64)
+        for level, cut in enumerate(self.medians):
+            node = 2 * node + (values[:, level] > cut[node])
+        key = node
+        bits = values[:, self.depth :] > self.means[node, self.depth :]
+        for k in range(bits.shape[1]):
+            key = 2 * key + bits[:, k]
+        return key
 
 
 def _star(ids: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,14 +109,19 @@ def near_duplicates(
     miss: float = MISS,
     part_rows: int = PART_ROWS,
     tile: int = TILE,
+    passes: int = PASSES,
 ) -> DataFrame:
     """(id, n_links, component, kept) for every row of ``vectors``.
 
-    In every pass the distinct vectors are sorted by the signs of random projections, written one after
-    the other, and each is compared with the ``window`` rows after it; cosines are taken in double
-    precision. Passes are as many as ``n_passes`` asks for. The links of all passes are united; then all
-    pairs within a united group are verified in tiles of ``tile`` rows, so that ``n_links`` does not depend
-    on windows and dense groups are complete. Only link counts leave a tile, never its pairs.
+    In every pass the distinct vectors are sorted by random projections, one bit each, written one after
+    the other (see ``Cuts``), and each is compared with the ``window`` rows after it; cosines are taken in double
+    precision. The links of all passes are united. What the passes find is measured: ``PROBES`` vectors are compared with
+    all rows, and while more than ``miss`` of their links (at most ``PROBE_LINKS`` a probe and task, chosen by a
+    hash) are not within one group, a further round runs with fresh directions. Dense regions, where vectors
+    at the threshold are cut apart more often, so get as many passes as they need.
+
+    Then all pairs within a united group are verified in tiles of ``tile`` numbers a side, so that ``n_links`` does not
+    depend on windows and dense groups are complete. Only link counts leave a tile, never its pairs.
 
     Vectors that are null or empty, all zero, or hold a null, NaN or infinity have no link and are their
     own component. Vectors of other lengths never link. Copies of a vector are one class with a count.
@@ -108,34 +149,125 @@ def near_duplicates(
     grouped = packed.where("vec is not null").groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     classes = pin(grouped.withColumn("cls", F.monotonically_increasing_id()))
     n = classes.count()
-    passes = n_passes(n, threshold, window, miss)
+    longest = classes.agg(F.max(F.length("vec"))).first()[0] or 1
+    rows_held = max(64, min(SAMPLE, (64 << 20) // longest))
+    drawn = classes.orderBy(F.xxhash64("vec"), "cls").limit(rows_held).select("cls", "vec").collect()
+    sample = spark.sparkContext.broadcast([(r.cls, bytes(r.vec)) for r in drawn])
+
+    known, done, missed = None, 0, 1.0
+    probed = _probe_links(classes, sample, threshold, dtype)
+    while True:
+        upto = min(MOST_PASSES, done + passes if done == 0 else 2 * done)
+        found = _pass_links(classes, sample, range(done, upto), window, threshold, dtype, max(1, math.ceil(n * (upto - done) / part_rows)))
+        parts_of = pin(components(found if known is None else found.unionByName(known)))
+        known, done = parts_of.select(F.col("node").alias("a"), F.col("component").alias("b")), upto
+        ends = [parts_of.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")]
+        seen = probed.join(ends[0], "a", "left").join(ends[1], "b", "left")
+        total, met = seen.agg(F.count("*"), F.count_if(F.col("of_a") == F.col("of_b"))).first()
+        missed = 1 - met / total if total else 0.0
+        if missed <= miss:
+            break
+        if done == MOST_PASSES:
+            warnings.warn(f"{missed:.1%} of the probes' links are missed after {done} passes", stacklevel=2)
+            break
+
+    tile_rows = max(64, tile // max(1, longest // np.dtype(dtype).itemsize))
+    sizes = parts_of.groupBy("component").agg(F.count("*").alias("members"))
+    members = parts_of.join(sizes, "component").join(classes.withColumnRenamed("cls", "node"), "node")
+    members = members.withColumn("chunks", F.ceil(F.col("members") / tile_rows).cast("int"))
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks").cast("bigint")).cast("int"))
+    tiles = members.select(
+        "component", "node", "vec", "copies", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    ).select(
+        "component", "node", "vec", "copies", F.col("chunk").alias("own"), F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
+    )
+    keys = ["component", "i", "j"]
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_groups(batches, keys):
+            own, i, j = t.column("own").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            node, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
+            total = np.zeros(len(node), np.int64)
+            for _, at, x in _sized(t.column("vec").to_pylist(), dtype):
+                left, right = np.flatnonzero(own[at] == i), np.flatnonzero(own[at] == j)
+                for s in range(0, len(left), 512):
+                    some = left[s : s + 512]
+                    hit = x[some] @ x[right].T >= threshold
+                    if i == j:
+                        hit[np.arange(len(some)), np.arange(s, s + len(some))] = False
+                    else:
+                        total[at[right]] += copies[at[some]] @ hit
+                    total[at[some]] += hit @ copies[at[right]]
+            yield pa.record_batch([pa.array(node), pa.array(total)], names=["node", "linked"])
+
+    counted = tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, "node bigint, linked bigint")
+    counted = counted.groupBy("node").agg(F.sum("linked").alias("linked"))
+    least = parts_of.join(classes.select(F.col("cls").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("smallest"))
+    grouped = parts_of.join(least, "component").join(counted, "node").select(F.col("node").alias("cls"), "smallest", "linked")
+    known = classes.join(grouped, "cls", "left").select(
+        "vec",
+        (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.when(F.col("linked").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component"),
+    )
+    ok = packed.where("vec is not null").join(known, "vec").select("id", "n_links", "component")
+    alone = packed.where("vec is null").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"))
+    return ok.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component")))
+
+
+def _sized(data: list[bytes], dtype: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bytes of a vector, places, rows of length one) by size."""
+    sizes = np.array([len(x) for x in data], np.int64)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        yield size, at, _unit([data[i] for i in at], dtype)
+
+
+def _probe_links(classes: DataFrame, sample, threshold: float, dtype: str) -> DataFrame:
+    """(a, b): links between the first vectors of the sample and all others, some of each probe and task."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sample.value[:PROBES]
+        cls = np.array([c for c, _ in held], np.int64)
+        probes = {size: (cls[at], m) for size, at, m in _sized([v for _, v in held], dtype)}
+        kept: dict[int, list[tuple[int, int]]] = {}
+        for b in batches:
+            own = b.column("cls").to_numpy()
+            for size, at, m in _sized(b.column("vec").to_pylist(), dtype):
+                if size not in probes:
+                    continue
+                keys, p = probes[size]
+                for s in range(0, len(at), 1024):
+                    i, j = np.nonzero(p @ m[s : s + 1024].T >= threshold)
+                    a, z = keys[i], own[at[s + j]]
+                    lot = (z.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
+                    for x, y, h in zip(a[a != z].tolist(), z[a != z].tolist(), lot[a != z].tolist(), strict=True):
+                        heapq.heappush(kept.setdefault(x, []), (-h, y))
+                        if len(kept[x]) > PROBE_LINKS:
+                            heapq.heappop(kept[x])
+        pairs = [(x, y) for x, ys in kept.items() for _, y in ys]
+        yield pa.record_batch([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return pin(classes.select("cls", "vec").mapInArrow(scan, "a bigint, b bigint"))
+
+
+def _pass_links(classes: DataFrame, sample, numbers: range, window: int, threshold: float, dtype: str, parts: int) -> DataFrame:
+    """(a, b): stars of the links that the passes ``numbers`` find."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = (np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)).astype(np.uint64)
+        drawn = {size: m for size, _, m in _sized([v for _, v in sample.value], dtype)}
+        cuts: dict[tuple[int, int], Cuts] = {}
         for b in batches:
             data, cls = b.column("vec").to_pylist(), b.column("cls").to_numpy()
-            sizes = np.array([len(x) for x in data], np.int64)
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                m = _unit([data[i] for i in at], dtype)
+            for size, at, m in _sized(data, dtype):
                 vec = pa.array([data[i] for i in at], pa.binary())
-                for p in range(passes):
-                    planes = np.random.default_rng([SEED, p, m.shape[1]]).standard_normal((m.shape[1], BITS))
-                    key = ((m @ planes > 0) * weights).sum(axis=1, dtype=np.uint64).view(np.int64)
-                    yield pa.record_batch(
-                        [
-                            pa.array(np.full(len(at), p), pa.int32()),
-                            pa.array(np.full(len(at), size), pa.int32()),
-                            pa.array(key),
-                            pa.array(cls[at]),
-                            vec,
-                        ],
-                        names=["pass", "size", "key", "cls", "vec"],
-                    )
+                for p in numbers:
+                    if (size, p) not in cuts:
+                        cuts[size, p] = Cuts(drawn.get(size, m[:0]), m.shape[1], p)
+                    columns = [np.full(len(at), p, np.int32), np.full(len(at), size, np.int32), cuts[size, p].keys(m), cls[at]]
+                    yield pa.record_batch([*map(pa.array, columns), vec], names=["pass", "size", "key", "cls", "vec"])
 
     order = ["pass", "size", "key", "cls"]
     keyed = classes.select("cls", "vec").mapInArrow(project, "pass int, size int, key bigint, cls bigint, vec binary")
-    parts = max(1, math.ceil(n * passes / part_rows))
     sorted_ = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,52 +306,7 @@ def near_duplicates(
         return pa.table({"a": pa.array(a), "b": pa.array(z)})
 
     across = found.where("part is not null").groupBy("part").applyInArrow(seams, "a bigint, b bigint")
-    parts_of = pin(components(found.where("part is null").select("a", "b").unionByName(across)))
-
-    sizes = parts_of.groupBy("component").agg(F.count("*").alias("members"))
-    members = parts_of.join(sizes, "component").join(classes.withColumnRenamed("cls", "node"), "node")
-    members = members.withColumn("chunks", F.ceil(F.col("members") / tile).cast("int"))
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks").cast("bigint")).cast("int"))
-    tiles = members.select(
-        "component", "node", "vec", "copies", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    ).select(
-        "component", "node", "vec", "copies", F.col("chunk").alias("own"), F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
-    )
-    keys = ["component", "i", "j"]
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_groups(batches, keys):
-            own, i, j = t.column("own").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            node, copies, m = t.column("node").to_numpy(), t.column("copies").to_numpy(), _by_size(t, dtype)
-            total = np.zeros(len(node), np.int64)
-            for at, x in m:
-                left, right = own[at] == i, own[at] == j
-                hit = x[left] @ x[right].T >= threshold
-                if i == j:
-                    np.fill_diagonal(hit, False)
-                total[at[left]] += hit @ copies[at[right]]
-                if i != j:
-                    total[at[right]] += copies[at[left]] @ hit
-            yield pa.record_batch([pa.array(node), pa.array(total)], names=["node", "linked"])
-
-    counted = tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, "node bigint, linked bigint")
-    counted = counted.groupBy("node").agg(F.sum("linked").alias("linked"))
-    least = parts_of.join(classes.select(F.col("cls").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("smallest"))
-    grouped = parts_of.join(least, "component").join(counted, "node").select(F.col("node").alias("cls"), "smallest", "linked")
-    known = classes.join(grouped, "cls", "left").select(
-        "vec",
-        (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.when(F.col("linked").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component"),
-    )
-    ok = packed.where("vec is not null").join(known, "vec").select("id", "n_links", "component")
-    alone = packed.where("vec is null").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"))
-    return ok.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component")))
-
-
-def _by_size(t: pa.Table, dtype: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    data = t.column("vec").to_pylist()
-    sizes = np.array([len(x) for x in data])
-    return [(at := np.flatnonzero(sizes == s), _unit([data[k] for k in at], dtype)) for s in np.unique(sizes)]
+    return found.where("part is null").select("a", "b").unionByName(across).distinct()
 
 
 def _links(t: pa.Table, window: int, threshold: float, dtype: str) -> tuple[np.ndarray, np.ndarray]:

@@ -152,3 +152,37 @@ def test_vector_rows_and_recall(spark):
         ("4", 2, "4", True), ("4", 2, "4", True), ("None", 0, "None", True), ("None", 2, "4", False)
     ]
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("n, mutual", [(20_000, 0.8), (20_000, 0.9), (60_000, 0.8), (60_000, 0.9)])
+def test_recall_around_one_direction(spark, n, mutual):
+    """A third of the vectors lie around one direction; planted pairs are at the threshold, there and elsewhere."""
+    rng = np.random.default_rng(n)
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    around, size = unit(rng.standard_normal(64)), 64
+
+    def partner(v):
+        side = rng.standard_normal(v.shape)
+        side = unit(side - (side * v).sum(1, keepdims=True) * v)
+        cosine = rng.uniform(0.952, 0.99, (len(v), 1))
+        return cosine * v + np.sqrt(1 - cosine**2) * side
+
+    dense = unit(math.sqrt(mutual) * around + math.sqrt(1 - mutual) * unit(rng.standard_normal((n // 3, size))))
+    rest = unit(rng.standard_normal((n - len(dense), size)))
+    vectors = np.concatenate([dense, rest, partner(dense[:400]), partner(rest[:200])])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>").repartition(8)
+    got = embedding_dedup.near_duplicates(df).collect()
+    component, links = np.empty(len(vectors), np.int64), np.empty(len(vectors), np.int64)
+    for r in got:
+        component[r["id"]], links[r["id"]] = r["component"], r["n_links"]
+    exact = np.zeros(len(vectors), np.int64)
+    hits = {True: [], False: []}
+    for s in range(0, len(vectors), 2000):
+        i, j = np.nonzero(vectors[s : s + 2000] @ vectors.T >= 0.95)
+        i += s
+        np.add.at(exact, i[i != j], 1)
+        for k in (True, False):
+            at = (i < j) & ((i < len(dense)) == k)
+            hits[k].append(component[i[at]] == component[j[at]])
+    assert np.mean(np.concatenate(hits[True])) >= 0.95 and np.mean(np.concatenate(hits[False])) >= 0.95
+    assert (links <= exact).all() and links.sum() >= 0.95 * exact.sum()
