@@ -25,7 +25,7 @@ def plain_walk(text):
             mixed = (ord(text[i]) + 1) * int(WALK.salt[at]) % 2**64
             mixed = (mixed ^ (mixed >> 32)) * 0xD6E8FEB86659FD93 % 2**64
             shown, at = shown + f"{mixed >> 60:x}", at + 1
-        kind = (ord(text[i]) * 0x9E3779B97F4A7C15 % 2**64) >> 57
+        kind = (ord(text[i]) * 0x9E3779B97F4A7C15 % 2**64) >> ef.SHIFT
         i += bool(coins[kind, step % ef.PERIOD])
     raise AssertionError
 
