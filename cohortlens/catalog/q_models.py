@@ -10,6 +10,7 @@ from ..operators import linear as lin
 from ..operators import moments as mo
 from ..operators import trees
 from ..plans import study
+from .boosting_sql import boosting, refit
 from .registry import query
 from .roles import FEATURES, ROW_ID, binary, r6, reg, reg_null, table, with_roles
 
@@ -337,18 +338,46 @@ _TREE_FEATURES = ["x_qty", "x_disc", "x_tax", "x_line"]
 
 def _stages(df, model, rounds):
     out = trees.predict(df, model, rounds)
-    cols = [F.avg((F.col("y") - F.col(f"yhat_{k}")) ** 2).alias(f"mse_{k}") for k in rounds]
+    cols = [r6(F.avg((F.col("y") - F.col(f"yhat_{k}")) ** 2)).alias(f"mse_{k}") for k in rounds]
     return out.groupBy("dataset", "split").agg(F.count("*").alias("n"), *cols)
 
 
-@query("m15_boosted_trees")
+def _recursive(role):
+    return with_roles(role).replace("WITH ", "WITH RECURSIVE ", 1) + ", "
+
+
+def _stages_sql(rounds, depth=3):
+    cols = ", ".join(f"round(avg((y - score) ** 2) FILTER (step = {k * depth}), 6) + 0.0 AS mse_{k}" for k in rounds)
+    return f" SELECT dataset, split, count(DISTINCT rid) AS n, {cols} FROM b0 JOIN st USING (rid) GROUP BY dataset, split"
+
+
+@query(
+    "m15_boosted_trees",
+    _recursive("reg_null") + boosting("reg_null", "split = 'train_val'", _TREE_FEATURES, 6, 0.3) + _stages_sql([1, 3, 6]),
+)
 def _(spark, sf):
     df = reg_null(spark, sf)
     model = trees.fit_gbt(df.where("split = 'train_val'"), _TREE_FEATURES, "y", rounds=6, learning_rate=0.3)
     return _stages(df, model, [1, 3, 6])
 
 
-@query("m16_anchor_boosting")
+@query(
+    "m15_weighted_trees",
+    _recursive("reg_null")
+    + boosting("reg_null", "split = 'train_val'", _TREE_FEATURES, 2, 0.3, 2, weight="sqrt(x_qty)")
+    + _stages_sql([1, 2], 2),
+)
+def _(spark, sf):
+    """Row weights count in the sums of splits and leaves."""
+    df = reg_null(spark, sf).withColumn("w", F.sqrt("x_qty"))
+    train = df.where("split = 'train_val'")
+    return _stages(df, trees.fit_gbt(train, _TREE_FEATURES, "y", 2, 2, learning_rate=0.3, weight="w"), [1, 2])
+
+
+@query(
+    "m16_anchor_boosting",
+    _recursive("reg") + boosting("reg", "split = 'train_val'", _TREE_FEATURES, 6, 0.3, gamma=4.0) + _stages_sql([1, 3, 6]),
+)
 def _(spark, sf):
     df = reg(spark, sf)
     model = trees.fit_anchor_boosting(
@@ -357,17 +386,28 @@ def _(spark, sf):
     return _stages(df, model, [1, 3, 6])
 
 
-@query("m17_refit_leaves")
+_DECAYS = (0.0, 0.5, 1.0)
+_MOVED = ", ".join(f"round(avg((y - rf.score) ** 2) FILTER (decay = {d}), 6) + 0.0 AS mse_decay_{int(d * 10)}" for d in _DECAYS)
+
+
+@query(
+    "m17_refit_leaves",
+    _recursive("reg")
+    + boosting("reg", "split = 'train_val' AND dataset <> 'ASIA'", _TREE_FEATURES, 4, 0.3)
+    + ", "
+    + refit(4, "dataset = 'ASIA' AND split = 'train_val'", 0.3, _DECAYS)
+    + f" SELECT split, {_MOVED} FROM b0 JOIN rf USING (rid) WHERE tree = 4 AND dataset = 'ASIA' GROUP BY split",
+)
 def _(spark, sf):
     df = reg(spark, sf)
     train = df.where("split = 'train_val'")
     model = trees.fit_gbt(train.where("dataset <> 'ASIA'"), _TREE_FEATURES, "y", 4, learning_rate=0.3)
     new = train.where("dataset = 'ASIA'")
     out = df.where("dataset = 'ASIA'")
-    for decay in (0.0, 0.5, 1.0):
+    for decay in _DECAYS:
         fitted = trees.refit_leaves(model, new, "y", decay)
         out = trees.predict(out, fitted, out=f"yhat_{int(decay * 10)}")
-    cols = [F.avg((F.col("y") - F.col(f"yhat_{k}")) ** 2).alias(f"mse_decay_{k}") for k in (0, 5, 10)]
+    cols = [r6(F.avg((F.col("y") - F.col(f"yhat_{k}")) ** 2)).alias(f"mse_decay_{k}") for k in (0, 5, 10)]
     return out.groupBy("split").agg(*cols)
 
 

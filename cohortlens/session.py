@@ -56,3 +56,17 @@ def pin(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``pin`` wrote and nothing reads any more; anything else is left alone.
+
+    For loops that write a new version of a table time and again.
+    """
+    spark = df.sparkSession
+    root = shared_root(spark).rstrip("/")
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if folder.rsplit("/", 1)[0].endswith(root.split(":", 1)[-1].lstrip("/")) and folder.rsplit("/", 1)[1].startswith("table-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
