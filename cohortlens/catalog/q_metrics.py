@@ -423,10 +423,9 @@ def _(spark, sf):
 def _(spark, sf):
     df = reg(spark, sf)
     train = df.where("split = 'train_val'")
-    from ..operators.moments import env_moments
 
     cols = [*FEATURES, "y"]
-    m = lin.Moments.collect(env_moments(train, cols), cols)
+    m = lin.Moments.gather(train, cols)
     rest = [e for e in m.envs() if e != ("ASIA",)]
     prior = lin.fit_linear(m, [0.01], 0.5, rest)[0]
     prior = lin.replace(prior, params={**prior.params, "scale": m.scaling(rest)[1][:-1]})

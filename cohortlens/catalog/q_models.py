@@ -118,7 +118,7 @@ def _(spark, sf):
 def _moments(spark, sf, features, y="y", df=None):
     df = reg(spark, sf) if df is None else df
     cols = [*features, y]
-    return lin.Moments.collect(mo.env_moments(df, cols), cols)
+    return lin.Moments.gather(df, cols)
 
 
 _PARAMS = ("alpha", "gamma", "l1_ratio", "ratio", "l2_ratio")

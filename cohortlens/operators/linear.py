@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.bounded import bounded_rows
 from ..functions.columns import dot
 from .features import ffill
+from .moments import MAX_EXPRESSION_COLUMNS, env_moments, moment_strips
 from .sampling import hash_fold
 
 # Eigenvalue floor and scale of the ridge on between-dataset directions,
@@ -27,6 +28,8 @@ from .sampling import hash_fold
 EIGEN_FLOOR = 1e-10
 RIDGE_SCALE = 100.0
 ALPHA_TOLERANCE = 1e-12
+#: Bytes of moments that may come to the driver.
+MAX_MOMENT_BYTES = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -94,7 +97,26 @@ class Moments:
 
     @classmethod
     def collect(cls, moments: DataFrame, cols: Sequence[str], by: Sequence[str] = ("dataset",)) -> Moments:
-        return cls.of(moments.toPandas(), cols, by)
+        """From ``env_moments`` or ``moment_strips``; more than ``MAX_MOMENT_BYTES`` of them raise an error."""
+        p = len(cols)
+        if "first" not in moments.columns:
+            rows = bounded_rows(moments, MAX_MOMENT_BYTES // 64, "moments")
+            return cls.of(pd.DataFrame(rows, columns=moments.columns), cols, by)
+        mats: dict[tuple, np.ndarray] = {}
+        for r in bounded_rows(moments, max(1, MAX_MOMENT_BYTES // (32 * p * p)), "moments"):
+            key = tuple(r[b] for b in by)
+            whole = mats.setdefault(key, np.zeros((3, p, p)))
+            for m, f in zip(whole, ("n", "si", "cij"), strict=True):
+                strip = np.frombuffer(r[f]).reshape(-1, p)
+                m[r["first"] : r["first"] + len(strip)] = strip
+        order = sorted(mats, key=lambda k: [(v is None, v) for v in k])
+        return cls(list(cols), *({k: mats[k][f] for k in order} for f in range(3)))
+
+    @classmethod
+    def gather(cls, df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("dataset",), weight: str | None = None) -> Moments:
+        """One pass over ``df``: long rows of a few columns, packed strips of many."""
+        of = env_moments if len(cols) <= MAX_EXPRESSION_COLUMNS else moment_strips
+        return cls.collect(of(df, cols, by, weight), cols, by)
 
     def envs(self) -> list[tuple]:
         return list(self.n)
@@ -512,10 +534,8 @@ def fit_predict_cv(
     One moments pass by fold: training moments are the total minus the fold, so imputation
     and scaling are also learned without the fold.
     """
-    from .moments import env_moments
-
     folded = df.withColumn("fold", hash_fold(F.col(group), k))
-    m = Moments.collect(env_moments(folded, [*cols, y], ["fold"]), [*cols, y], ["fold"])
+    m = Moments.gather(folded, [*cols, y], ["fold"])
     prediction = F.lit(None).cast("double")
     for f in m.envs():
         rest = [e for e in m.envs() if e != f]

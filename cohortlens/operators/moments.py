@@ -13,14 +13,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.bounded import lookup
 from ..functions.joins import join_groups
+from ..session import pin
 
 #: Up to this many columns the sums are plain aggregate expressions.
 MAX_EXPRESSION_COLUMNS = 6
-#: Environments a task sums up before it hands its partial sums on.
-MAX_OPEN_ENVIRONMENTS = 64
+#: Bytes of the sums that a task may hold for all environments together, and of a strip.
+TASK_BYTES = 256 << 20
+STRIP_BYTES = 64 << 20
+#: Rows of a block of a large environment, about, and most blocks of one.
+BLOCK_ROWS = 1 << 16
+MOST_BLOCKS = 256
 
 MOMENT_FIELDS = ("n", "si", "sj", "cij")
 
@@ -75,56 +81,164 @@ def _moments_by_expression(df, cols, by, weight, shift) -> DataFrame:
 
 
 def _moments_by_blocks(df, cols, by, weight, shift) -> DataFrame:
-    """Partial Gram matrices per task, summed by (environment, i, j)."""
+    """Long moments read off the strips; nothing is shuffled in long form."""
+    p = len(cols)
+    strips = moment_strips(df, cols, by, weight, shift)
+    fields = [strips.schema[b] for b in by]
+    schema = T.StructType(
+        [*fields, *(T.StructField(c, T.IntegerType()) for c in "ij"), *(T.StructField(f, T.DoubleType()) for f in MOMENT_FIELDS)]
+    )
+    names = list(by)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                first, n, s, st, c = _read_strip(batch.slice(k, 1), p)
+                i, j = np.nonzero(np.arange(first, first + len(n))[:, None] <= np.arange(p))
+                keys = [pa.repeat(batch.column(name)[k], len(i)) for name in names]
+                sums = [pa.array(m[i, j]) for m in (n, s, st, c)]
+                yield pa.RecordBatch.from_arrays(
+                    [*keys, pa.array(i + first, pa.int32()), pa.array(j, pa.int32()), *sums], names=[*names, "i", "j", *MOMENT_FIELDS]
+                )
+
+    return strips.mapInArrow(spread, schema)
+
+
+def _read_strip(row: pa.RecordBatch, p: int) -> tuple:
+    """(first column, n, si, sj, cij) of one strip: its columns against all."""
+    read = lambda c: np.frombuffer(row.column(c)[0].as_buffer()).reshape(-1, p)
+    return (row.column("first")[0].as_py(), *(read(c) for c in MOMENT_FIELDS))
+
+
+class _Sums:
+    """Moments of some columns against all, held as four matrices."""
+
+    def __init__(self, first: int, last: int, p: int):
+        self.first, self.last = first, last
+        self.mats = np.zeros((4, last - first, p))
+
+    def add(self, x: np.ndarray, w: np.ndarray) -> None:
+        seen = (~np.isnan(x)).astype(float)
+        v = np.where(seen > 0, x, 0.0)
+        own = slice(self.first, self.last)
+        ws, wv = seen[:, own] * w[:, None], v[:, own] * w[:, None]
+        for m, (left, right) in zip(self.mats, ((ws, seen), (wv, seen), (ws, v), (wv, v)), strict=True):
+            m += left.T @ right
+
+    def row(self) -> list[bytes]:
+        return [m.tobytes() for m in self.mats]
+
+
+_STRIP = "_e bigint, first int, n binary, si binary, sj binary, cij binary"
+
+
+def _strip_batch(e: int, first: int, mats: list[bytes]) -> pa.RecordBatch:
+    columns = [pa.array([e], pa.int64()), pa.array([first], pa.int32()), *(pa.array([m], pa.binary()) for m in mats)]
+    return pa.RecordBatch.from_arrays(columns, names=["_e", "first", *MOMENT_FIELDS])
+
+
+def _rows(batch: pa.RecordBatch, p: int) -> tuple[np.ndarray, np.ndarray]:
+    x = batch.column("x")
+    flat = x.values.to_numpy(zero_copy_only=False)
+    start = np.asarray(x.offsets)[0]
+    return flat[start : start + batch.num_rows * p].reshape(-1, p), batch.column("_w").to_numpy()
+
+
+def moment_strips(
+    df: DataFrame,
+    cols: Sequence[str],
+    by: Sequence[str] = ("dataset",),
+    weight: str | None = None,
+    shift: dict[str, float] | None = None,
+    task_bytes: int = TASK_BYTES,
+    strip_bytes: int = STRIP_BYTES,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(*by, first, n, si, sj, cij): moments of every environment as packed matrices, in strips of columns.
+
+    A strip holds the moments of the columns from ``first`` on with all columns, of ``strip_bytes`` or less. Where all
+    environments together fit ``task_bytes``, every task sums its rows in place. Else rows are dealt by
+    environment (a large one into blocks of about ``block_rows`` rows, at most ``MOST_BLOCKS``) and a task holds the
+    strip of one environment at a time. Both ways the partial strips are then added up, one at a time.
+    """
     p = len(cols)
     data = df.select(
-        *by,
+        *(F.col(b) for b in by),
         (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("_w"),
-        *[_shifted(c, shift).alias(f"_x{k}") for k, c in enumerate(cols)],
+        F.array(*(F.coalesce(_shifted(c, shift), F.lit(float("nan"))) for c in cols)).alias("x"),
     )
-    by_fields = [data.schema[b] for b in by]
-    out_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in by_fields)
-    out_type += ", i int, j int, " + ", ".join(f"{f} double" for f in MOMENT_FIELDS)
-    upper_i, upper_j = np.triu_indices(p)
-    n_by = len(by)
-
-    def emit(sums: dict, types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-        k = len(upper_i)
-        for key, mats in sums.items():
-            arrays = [pa.array([v] * k, type=t) for v, t in zip(key, types)]
-            arrays += [pa.array(upper_i, pa.int32()), pa.array(upper_j, pa.int32())]
-            arrays += [pa.array(m[upper_i, upper_j], pa.float64()) for m in mats]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*by, "i", "j", *MOMENT_FIELDS])
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, list[np.ndarray]] = {}
-        types: list[pa.DataType] = []
+    counts = df.groupBy(*by).agg(F.count("*").alias("_rows"))
+    blocks = F.least(F.ceil(F.col("_rows") / block_rows), F.lit(MOST_BLOCKS)).cast("int")
+    envs = pin(counts.withColumns({"_blocks": blocks, "_e": F.monotonically_increasing_id()}))
+    n_envs = envs.count()
+    height = max(1, min(p, strip_bytes // (32 * p)))
+    firsts = list(range(0, p, height))
+    coded = join_groups(data, lookup(envs.drop("_rows")), by).select("_e", "_blocks", "_w", "x")
+
+    def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, _Sums] = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x, w = _rows(batch, p)
+            codes = batch.column("_e").to_numpy()
+            for e in np.unique(codes).tolist():
+                at = codes == e
+                sums.setdefault(e, _Sums(0, p, p)).add(x[at], w[at])
+        for e, s in sums.items():
+            for first in firsts:
+                yield _strip_batch(e, first, [m[first : first + height].tobytes() for m in s.mats])
+
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in the order of (environment, block, strip): one strip is open at a time."""
+        key, open_ = None, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            types = [batch.column(k).type for k in range(n_by)]
-            keys = pa.table(batch.columns[:n_by], names=list(by)).to_pandas()
-            w = batch.column(n_by).to_numpy(zero_copy_only=False)
-            x = np.column_stack(
-                [batch.column(n_by + 1 + k).to_numpy(zero_copy_only=False) for k in range(p)]
-            ).astype(float)
-            for key, rows in keys.groupby(list(by), dropna=False, sort=False).indices.items():
-                key = key if isinstance(key, tuple) else (key,)
-                xs, ws = x[rows], w[rows][:, None]
-                seen = (~np.isnan(xs)).astype(float)
-                v = np.where(seen > 0, xs, 0.0)
-                wv = ws * v
-                s = wv.T @ seen
-                new = [(ws * seen).T @ seen, s, s.T, wv.T @ v]
-                old = sums.get(key)
-                sums[key] = new if old is None else [a + b for a, b in zip(old, new)]
-            if len(sums) > MAX_OPEN_ENVIRONMENTS:
-                yield from emit(sums, types)
-                sums = {}
-        yield from emit(sums, types)
-
-    partials = data.mapInArrow(partial, out_type)
-    return partials.groupBy(*by, "i", "j").agg(*[F.sum(f).alias(f) for f in MOMENT_FIELDS])
+            x, w = _rows(batch, p)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("_e", "_block", "first")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                now = tuple(keys[s].tolist())
+                if now != key:
+                    if open_ is not None:
+                        yield _strip_batch(key[0], key[2], open_.row())
+                    key, open_ = now, _Sums(now[2], min(p, now[2] + height), p)
+                open_.add(x[s:e], w[s:e])
+        if open_ is not None:
+            yield _strip_batch(key[0], key[2], open_.row())
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                now = batch.column("_e")[k].as_py(), batch.column("first")[k].as_py()
+                mats = [np.frombuffer(batch.column(f)[k].as_buffer()) for f in MOMENT_FIELDS]
+                if now != key:
+                    if total is not None:
+                        yield _strip_batch(*key, [m.tobytes() for m in total])
+                    key, total = now, mats
+                else:
+                    total = [a + b for a, b in zip(total, mats, strict=True)]
+        if total is not None:
+            yield _strip_batch(*key, [m.tobytes() for m in total])
+
+    def summed(parts: DataFrame) -> DataFrame:
+        return parts.repartition("_e", "first").sortWithinPartitions("_e", "first").mapInArrow(add_up, _STRIP)
+
+    if n_envs * 32 * p * p <= task_bytes:
+        strips = summed(coded.mapInArrow(in_place, _STRIP))
+    else:
+        block = F.pmod(F.xxhash64("x", "_w"), F.col("_blocks").cast("bigint"))
+        dealt = coded.withColumns({"_block": block, "first": F.explode(F.array(*map(F.lit, firsts)))})
+        keys = ["_e", "_block", "first"]
+        sorted_ = dealt.select(*keys, "_blocks", "_w", "x").repartition(*keys).sortWithinPartitions(*keys)
+        single = sorted_.where("_blocks = 1").mapInArrow(one_by_one, _STRIP)
+        strips = single
+        if not envs.where("_blocks > 1").isEmpty():
+            strips = strips.unionByName(summed(sorted_.where("_blocks > 1").mapInArrow(one_by_one, _STRIP)))
+    found = strips.join(lookup(envs.drop("_rows", "_blocks")), "_e")
+    return found.select(*(f"`{b}`" for b in by), "first", *MOMENT_FIELDS)
 
 
 def _grand_means(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:

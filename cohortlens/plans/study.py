@@ -17,7 +17,6 @@ from pyspark.sql.types import StructType
 
 from ..operators.linear import LinearModel, Moments, fit_anchor, squared_error
 from ..operators.metrics import all_metrics, metrics_long
-from ..operators.moments import env_moments
 from ..session import pin
 
 RESULT_SCHEMA = (
@@ -52,7 +51,7 @@ def fit_grid(
 def study_moments(df: DataFrame, features: Sequence[str], y: str) -> Moments:
     """Moments by (dataset, split): the one scan behind every fit."""
     cols = [*features, y]
-    return Moments.collect(env_moments(df, cols, ["dataset", "split"]), cols, ["dataset", "split"])
+    return Moments.gather(df, cols, ["dataset", "split"])
 
 
 def _judge(moments: Moments, run: str, sub: Sequence[str], m: LinearModel) -> list[tuple]:
