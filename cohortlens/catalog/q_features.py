@@ -262,7 +262,36 @@ def _(spark, sf):
     return long.groupBy("term").agg(F.sum("v").alias("total"))
 
 
-@query("f18_design_spline")
+def _basis_sql(x: str, lo: str, inner: list[str], hi: str, degree: int = 3) -> list[str]:
+    """B-spline basis as nested SQL expressions."""
+    t = [lo] * (degree + 1) + inner + [hi] * (degree + 1)
+    b = [
+        f"CASE WHEN {t[i]} < {t[i + 1]} AND {x} >= {t[i]} AND ({x} < {t[i + 1]} OR {x} <= {t[i + 1]} AND {t[i + 1]} = {hi}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+        for i in range(len(t) - 1)
+    ]
+    part = lambda top, wide, f: f"CASE WHEN {wide} > 0 THEN {top} / ({wide}) * ({f}) ELSE 0.0::DOUBLE END"
+    for d in range(1, degree + 1):
+        b = [
+            f"{part(f'({x} - {t[i]})', f'{t[i + d]} - {t[i]}', b[i])} + {part(f'({t[i + d + 1]} - {x})', f'{t[i + d + 1]} - {t[i + 1]}', b[i + 1])}"
+            for i in range(len(t) - 1 - d)
+        ]
+    return b
+
+
+_SPLINE = _basis_sql("year", "lo", ["mid"], "hi")[1:]
+
+
+@query(
+    "f18_design_spline",
+    with_roles("reg")
+    + ", kn AS (SELECT dataset, min(year)::DOUBLE AS lo, quantile_cont(year, 0.5) AS mid, max(year)::DOUBLE AS hi FROM reg GROUP BY dataset), "
+    "total AS (SELECT count(*) AS n FROM reg), "
+    "lv AS (SELECT dataset, adm, row_number() OVER (PARTITION BY dataset ORDER BY adm) AS i FROM (SELECT DISTINCT dataset, adm FROM reg)), "
+    "v AS (SELECT dataset || ':Intercept' AS term, 1.0::DOUBLE AS v FROM reg UNION ALL "
+    "SELECT dataset || ':C(adm)[' || adm || ']', 1.0 FROM reg JOIN lv USING (dataset, adm) WHERE i > 1 UNION ALL "
+    + " UNION ALL ".join(f"SELECT dataset || ':bs(year)[{k}]', {b} FROM reg JOIN kn USING (dataset) WHERE lo < hi" for k, b in enumerate(_SPLINE, 1))
+    + ") SELECT term, round(sum(v) / any_value(n), 6) AS mean, round(max(v), 6) AS top FROM v, total GROUP BY term",
+)
 def _(spark, sf):
     df, names = a.design_matrix(reg(spark, sf), [a.C("adm"), a.BS("year", 4)])
     pairs = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("term"), "z")
@@ -289,3 +318,20 @@ _REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 def _(spark, sf):
     out, names = a.interact(reg(spark, sf), ["x_qty", "x_tax"])
     return out.select(*ROW_ID, "dataset", *[r6(F.col(f"`{n}`")).alias(n) for n in names])
+
+
+@query(
+    "f18_sparse_design",
+    with_roles("reg")
+    + ", kn AS (SELECT dataset, min(year)::DOUBLE AS lo, quantile_cont(year, 0.5) AS mid, max(year)::DOUBLE AS hi FROM reg GROUP BY dataset), "
+    "lv AS (SELECT dataset, l_partkey, row_number() OVER (PARTITION BY dataset ORDER BY CAST(l_partkey AS VARCHAR)) AS i FROM (SELECT DISTINCT dataset, l_partkey FROM reg)), "
+    "v AS (SELECT dataset, 'Intercept' AS name, 1.0::DOUBLE AS v FROM reg UNION ALL "
+    "SELECT dataset, 'C(l_partkey)[' || l_partkey || ']', 1.0 FROM reg JOIN lv USING (dataset, l_partkey) WHERE i > 1 UNION ALL "
+    + " UNION ALL ".join(f"SELECT dataset, 'bs(year)[{k}]', {b} FROM reg JOIN kn USING (dataset) WHERE lo < hi" for k, b in enumerate(_SPLINE, 1))
+    + ") SELECT dataset, name, count(*) AS n, round(sum(v), 4) AS total FROM v WHERE v <> 0 GROUP BY dataset, name",
+)
+def _(spark, sf):
+    """A factor of many levels and a spline, entry by entry."""
+    df, names = a.sparse_design(reg(spark, sf), [a.C("l_partkey"), a.BS("year", 4)])
+    sums = df.select("dataset", F.inline("z")).groupBy("dataset", "t").agg(F.count("*").alias("n"), r6(F.sum("v"), 4).alias("total"))
+    return sums.join(names, ["dataset", "t"]).select("dataset", "name", "n", "total")

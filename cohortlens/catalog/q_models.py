@@ -95,8 +95,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """A saturated factor design: its projection is the cell mean."""
-    df, names = a.design_matrix(reg(spark, sf), [a.C("ward")])
-    out = mo.project_design(df, ["y", "x_tax"], "z", len(names))
+    df, _ = a.sparse_design(reg(spark, sf), [a.C("ward")])
+    out = mo.project_terms(df, ["y", "x_tax"])
     return out.select(*ROW_ID, r6("y_proj").alias("y_proj"), r6("x_tax_proj").alias("x_tax_proj"))
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bounded import MAX_LOOKUP_ROWS, bounded_rows, lookup
 from ..functions.joins import join_groups
+from ..session import pin
 from .order_stats import quantiles
 from .preprocess import OrdinalEncoder
 
@@ -139,6 +141,105 @@ def design_matrix(
     return df.withColumn(out, F.array(*cols)), names
 
 
+@dataclass(frozen=True)
+class Multi:
+    """List term: a 0/1 entry for every distinct element."""
+
+    col: str
+
+
+#: Name of the intercept among the terms of a dataset.
+INTERCEPT = "Intercept"
+
+
+def _spline_rows(x: Column, lo: Column, inner: Sequence[Column], hi: Column, degree: int) -> list[Column]:
+    """Cox-de Boor recursion with knots that differ by row; intervals without width hold nothing."""
+    t = [lo] * (degree + 1) + list(inner) + [hi] * (degree + 1)
+    basis = [
+        F.when((t[i] < t[i + 1]) & (x >= t[i]) & ((x < t[i + 1]) | ((x <= t[i + 1]) & (t[i + 1] == hi))), F.lit(1.0)).otherwise(F.lit(0.0))
+        for i in range(len(t) - 1)
+    ]
+    ratio = lambda top, wide, b: F.when(wide > 0, top / wide * b).otherwise(F.lit(0.0))
+    for d in range(1, degree + 1):
+        basis = [
+            ratio(x - t[i], t[i + d] - t[i], basis[i]) + ratio(t[i + d + 1] - x, t[i + d + 1] - t[i + 1], basis[i + 1])
+            for i in range(len(t) - 1 - d)
+        ]
+    return basis
+
+
+def _looked_up(places: Column, elements: Column) -> Column:
+    return F.transform(elements, lambda e: places[e])
+
+
+def sparse_design(
+    df: DataFrame, terms: Sequence[C | BS | Multi], by: str = "dataset", out: str = "z"
+) -> tuple[DataFrame, DataFrame]:
+    """The design of ``design_matrix`` in sparse form, for any number of terms.
+
+    Adds a list of (t, v), the entries of a row that are not zero, numbered within its dataset; also returns the
+    table (by, t, name) of all terms. Levels are joined from that table (sent to all tasks only if few), so neither
+    their number nor that of the datasets shows in the plan. A null value has no entry.
+    """
+    splines = [t for t in terms if isinstance(t, BS)]
+    fixed = [(0, INTERCEPT)]
+    entries = [F.struct(F.lit(0).cast("bigint").alias("t"), F.lit(1.0).alias("v"))]
+    levels = []
+    for n, term in enumerate(terms):
+        if isinstance(term, C):
+            seen = df.select(F.col(by).alias("d"), F.col(term.col).cast("string").alias("level"))
+        elif isinstance(term, Multi):
+            seen = df.select(F.col(by).alias("d"), F.explode(F.col(term.col).cast("array<string>")).alias("level"))
+        else:
+            continue
+        seen = seen.where("level is not null").distinct().withColumn("term", F.lit(n))
+        if isinstance(term, C):
+            seen = seen.withColumn("first", F.row_number().over(Window.partitionBy("d").orderBy("level"))).where("first > 1").drop("first")
+        levels.append(seen)
+    wide = df
+    for s, term in enumerate(splines):
+        n_inner = term.df - term.degree
+        if n_inner < 0:
+            raise ValueError("df must be at least the degree")
+        probs = [(i + 1) / (n_inner + 1) for i in range(n_inner)]
+        knots = quantiles(df, [by], {f"_k{s}": F.col(term.col)}, [0.0, *probs, 1.0])
+        wide = join_groups(wide, lookup(knots), [by])
+        k = lambda i, s=s: F.col(f"_k{s}")[i]
+        x = F.col(term.col).cast("double")
+        basis = _spline_rows(x, k(0), [k(i + 1) for i in range(n_inner)], k(n_inner + 1), term.degree)[1:]
+        for i, b in enumerate(basis, 1):
+            entries.append(F.struct(F.lit(len(fixed)).cast("bigint").alias("t"), F.coalesce(b, F.lit(0.0)).alias("v")))
+            fixed.append((len(fixed), f"bs({term.col})[{i}]"))
+    names = df.select(F.col(by).alias("d")).distinct().select(
+        "d", F.inline(F.array(*(F.struct(F.lit(t).cast("bigint").alias("t"), F.lit(n).alias("name")) for t, n in fixed)))
+    )
+    if levels:
+        vocabulary = reduce(DataFrame.unionByName, levels)
+        order = Window.partitionBy("d").orderBy("term", "level")
+        vocabulary = pin(vocabulary.withColumn("t", F.lit(len(fixed) - 1) + F.row_number().over(order).cast("bigint")))
+        shown = F.element_at(F.create_map(*(F.lit(v) for n, t in enumerate(terms) if not isinstance(t, BS) for v in (n, t.col))), F.col("term"))
+        kind = F.when(F.col("term").isin([n for n, t in enumerate(terms) if isinstance(t, C)]), F.concat(F.lit("C("), shown, F.lit(")["))).otherwise(
+            F.concat(shown, F.lit("["))
+        )
+        names = names.unionByName(vocabulary.select("d", "t", F.concat(kind, "level", F.lit("]")).alias("name")))
+    for n, term in enumerate(terms):
+        if isinstance(term, C):
+            known = vocabulary.where(F.col("term") == n).select(F.col("d").alias(by), F.col("level").alias(f"_l{n}"), F.col("t").alias(f"_t{n}"))
+            wide = join_groups(wide.withColumn(f"_l{n}", F.col(term.col).cast("string")), lookup(known), [by, f"_l{n}"], "left")
+            entries.append(F.struct(F.col(f"_t{n}").alias("t"), F.lit(1.0).alias("v")))
+    z = F.filter(F.array(*entries), lambda e: e["t"].isNotNull() & (e["v"] != 0))
+    for n, term in enumerate(terms):
+        if isinstance(term, Multi):
+            pairs = F.map_from_entries(F.collect_list(F.struct("level", "t"))).alias(f"_m{n}")
+            known = vocabulary.where(F.col("term") == n).groupBy("d").agg(pairs).withColumnRenamed("d", by)
+            wide = join_groups(wide, lookup(known), [by], "left")
+            place = F.col(f"_m{n}")
+            elements = F.coalesce(F.col(term.col).cast("array<string>"), F.array().cast("array<string>"))
+            held = F.array_distinct(_looked_up(place, F.filter(elements, lambda e: e.isNotNull())))
+            z = F.concat(z, F.transform(F.filter(held, lambda t: t.isNotNull()), lambda t: F.struct(t.alias("t"), F.lit(1.0).alias("v"))))
+    return wide.withColumn(out, z).select(*df.columns, out), names.withColumnRenamed("d", by)
+
+
 def interact(
     df: DataFrame, cols: Sequence[str], by: str = "dataset"
 ) -> tuple[DataFrame, list[str]]:

@@ -293,6 +293,87 @@ def project_design(
     return df.withColumns(out)
 
 
+#: Terms up to which normal equations are solved densely; more are solved by conjugate gradients.
+DENSE_TERMS = 200
+#: Relative residual at which the gradients stop.
+SOLVED = 1e-13
+
+
+def _solve_sparse(i: np.ndarray, j: np.ndarray, v: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One least-squares solution of the symmetric system whose upper entries are (i, j, v)."""
+    q = len(right)
+    off = i != j
+    if q <= DENSE_TERMS:
+        gram = np.zeros((q, q))
+        gram[i, j] = gram[j, i] = v
+        return np.linalg.pinv(gram, rcond=1e-12, hermitian=True) @ right
+    scale = np.zeros(q)
+    scale[i[~off]] = v[~off]
+    inverse = np.where(scale > 0, 1 / np.where(scale > 0, scale, 1), 0.0)
+    times = lambda x: np.bincount(i, v * x[j], q) + np.bincount(j[off], (v * x[i])[off], q)
+    out = np.zeros_like(right)
+    for k in range(right.shape[1]):
+        x, r = np.zeros(q), right[:, k].copy()
+        z = inverse * r
+        p, rz, start = z.copy(), r @ z, np.sqrt(r @ (inverse * r))
+        for _ in range(20 * q):
+            if np.sqrt(max(rz, 0.0)) <= SOLVED * start:
+                break
+            ap = times(p)
+            curve = p @ ap
+            if curve <= 0:
+                break
+            x += rz / curve * p
+            r -= rz / curve * ap
+            z = inverse * r
+            rz, old = r @ z, rz
+            p = z + rz / old * p
+        else:
+            raise ArithmeticError("the projection did not converge")
+        out[:, k] = x
+    return out
+
+
+def project_terms(df: DataFrame, cols: Sequence[str], z: str = "z", by: str = "dataset", suffix: str = "_proj") -> DataFrame:
+    """Projection of the centred columns on a sparse block-diagonal design (see ``anchors.sparse_design``).
+
+    Every dataset has terms of its own, so Z'Z falls into one block for each: blocks are summed from the entries that occur
+    together in a row, solved one by one in tasks, and applied to the entries of a row. A block's size is the square of
+    its dataset's terms at most, and far less where few terms meet.
+    """
+    mean = _grand_means(df, cols)
+    fields = [df.schema[by]]
+    pairs = df.select(by, F.explode(z).alias("a"), F.col(z).alias("_z")).select(by, "a", F.explode("_z").alias("b"))
+    gram = pairs.where("a.t <= b.t").groupBy(by, F.col("a.t").alias("i"), F.col("b.t").alias("j")).agg(F.sum(F.expr("a.v * b.v")).alias("v"))
+    v = [(F.col(c).cast("double") - F.lit(float(mean[c]))).alias(f"_v{k}") for k, c in enumerate(cols)]
+    entries = df.select(by, F.explode(z).alias("a"), *v)
+    right = entries.groupBy(by, F.col("a.t").alias("t")).agg(*(F.sum(F.expr(f"a.v * _v{k}")).alias(f"r{k}") for k in range(len(cols))))
+    p = len(cols)
+
+    def solve(left: pa.Table, sums: pa.Table) -> pa.Table:
+        if not sums.num_rows:
+            return pa.table({})
+        t = sums.column("t").to_numpy()
+        where = np.argsort(t)
+        known = t[where]
+        r = np.column_stack([sums.column(f"r{k}").fill_null(0.0).to_numpy() for k in range(p)])[where]
+        at = lambda c: np.searchsorted(known, left.column(c).to_numpy())
+        solved = _solve_sparse(at("i"), at("j"), left.column("v").to_numpy(), r)
+        whole = np.zeros((int(known[-1]) + 1, p))
+        whole[known] = solved
+        return pa.table([sums.column(by)[:1], *(pa.array([whole[:, k].tolist()]) for k in range(p))], names=[by, *(f"_b{k}" for k in range(p))])
+
+    schema = T.StructType([*fields, *(T.StructField(f"_b{k}", T.ArrayType(T.DoubleType())) for k in range(p))])
+    coef = pin(gram).groupBy(by).cogroup(pin(right).groupBy(by)).applyInArrow(solve, schema)
+    joined = join_groups(df, lookup(coef), [by], "left")
+
+    def fitted(k: int) -> Column:
+        return F.aggregate(z, F.lit(0.0), lambda total, e: total + e["v"] * F.col(f"_b{k}")[e["t"].cast("int")])
+
+    out = {c + suffix: fitted(k) for k, c in enumerate(cols)}
+    return joined.withColumns(out).select(*df.columns, *out)
+
+
 def anchor_transform(
     df: DataFrame,
     cols: Sequence[str],
