@@ -191,6 +191,27 @@ def _(spark, sf):
     return out.select("dataset", "split", *ROW_ID, "features")
 
 
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_ENCODED = [f"coalesce({c}, m{i})" for i, c in enumerate(FEATURES)] + ["(flag = 'R')::INT::DOUBLE"]
+_ENCODED += [f"coalesce(adm = '{v}', false)::INT::DOUBLE" for v in _PRIORITIES]
+
+
+@query(
+    "f14_linear_columns",
+    with_roles("reg_null")
+    + f", t AS (SELECT {', '.join(f'avg({c}) AS m{i}' for i, c in enumerate(FEATURES))} FROM reg_null WHERE split = 'train_val'), "
+    + f"e AS MATERIALIZED (SELECT {_ID}, split, {', '.join(f'{x} AS e{i}' for i, x in enumerate(_ENCODED))} FROM reg_null, t), "
+    + f"s AS (SELECT {', '.join(f'avg(e{i}) AS a{i}, stddev_pop(e{i}) AS d{i}' for i in range(len(_ENCODED)))} FROM e WHERE split = 'train_val') "
+    + f"SELECT {_ID}, {', '.join(f'round((e{i} - a{i}) / d{i}, 6) + 0.0 AS v{i}' for i in range(len(_ENCODED)))} FROM e, s",
+)
+def _(spark, sf):
+    """Every column of the linear preprocessing: imputed, encoded, scaled by the training rows."""
+    df = reg_null(spark, sf).withColumn("is_r", F.col("flag") == "R")
+    prep = p.LinearPreprocessing([*FEATURES, "is_r", "adm"]).fit(df.where("split = 'train_val'"))
+    out = p.assemble(prep.transform(df), prep.features)
+    return out.select(*ROW_ID, *(r6(F.col("features")[i]).alias(f"v{i}") for i in range(len(_ENCODED))))
+
+
 @query(
     "f14_tree_preprocessing",
     with_roles("reg_null")

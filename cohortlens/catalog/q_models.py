@@ -11,6 +11,7 @@ from ..operators import moments as mo
 from ..operators import trees
 from ..plans import study
 from .boosting_sql import boosting, refit
+from .descent_sql import descent, matrix, scaled, vector
 from .registry import query
 from .roles import FEATURES, ROW_ID, binary, r6, reg, reg_null, table, with_roles
 
@@ -31,6 +32,15 @@ def _pairs_sql(role: str, weight: str = "1") -> str:
     return " UNION ALL ".join(parts)
 
 
+def _recursive(role):
+    return with_roles(role).replace("WITH ", "WITH RECURSIVE ", 1) + ", "
+
+
+def _stages_sql(rounds, depth=3):
+    cols = ", ".join(f"round(avg((y - score) ** 2) FILTER (step = {k * depth}), 6) + 0.0 AS mse_{k}" for k in rounds)
+    return f" SELECT dataset, split, count(DISTINCT rid) AS n, {cols} FROM b0 JOIN st USING (rid) GROUP BY dataset, split"
+
+
 def _means(m):
     n = F.col("n")
     return m.select(
@@ -172,11 +182,34 @@ def _(spark, sf):
     return _table(spark, lin.fit_linear(m, [0.0], 0.0), ["x_qty", "x_disc"])
 
 
-@query("m05_elastic_net_grid")
+_P = len(FEATURES)
+_SCALED = scaled("reg_null", FEATURES)
+_TOTAL = matrix(lambda i, j: f"covar_pop(z{i}, z{j})", _P, _P + 1)
+# Columns of a result: intercept and slopes on the raw columns.
+_SLOPES = ", ".join(f"round(b[{i + 1}] / s{i}, 6) + 0.0 AS b_{c}" for i, c in enumerate(FEATURES))
+_RAW = " - ".join([f"a{_P}", *(f"b[{i + 1}] * a{i}" for i in range(_P)), *(f"b[{i + 1}] / s{i} * m{i}" for i in range(_P))])
+
+
+def _grid(name, values):
+    return f"(SELECT unnest({list(values)}::DOUBLE[]) AS {name})"
+
+
+_ALPHAS = [0.5 * 10 ** (-k / 2) for k in range(7)]
+_L1S = (0.01, 0.5, 1.0)
+
+
+@query(
+    "m05_elastic_net_grid",
+    _recursive("reg_null")
+    + f"{_SCALED}, tt AS (SELECT {_TOTAL} AS t FROM z), "
+    + f"pr AS (SELECT row_number() OVER () AS id, alpha, l1, [e[1:{_P}] FOR e IN t] AS g, [e[{_P + 1}] FOR e IN t] AS c, "
+    + f"{vector(lambda i: '1.0::DOUBLE', _P)} AS f FROM tt, {_grid('alpha', _ALPHAS)}, {_grid('l1', _L1S)}), "
+    + descent(60)
+    + f" SELECT alpha, l1 AS l1_ratio, round({_RAW}, 6) + 0.0 AS intercept, {_SLOPES} FROM cd JOIN pr USING (id), sc, mo",
+)
 def _(spark, sf):
     m = _moments(spark, sf, FEATURES, df=reg_null(spark, sf))
-    alphas = [0.5 * 10 ** (-k / 2) for k in range(7)]
-    return _table(spark, [f for l1 in (0.01, 0.5, 1.0) for f in lin.fit_linear(m, alphas, l1)], FEATURES)
+    return _table(spark, lin.in_tasks(spark, _L1S, lambda l1: lin.fit_linear(m, _ALPHAS, l1)), FEATURES)
 
 
 @query(
@@ -226,17 +259,50 @@ def _(spark, sf):
     return _table(spark, lin.fit_anchor(m, [1.0, 4.0, 256.0], [0.1, 0.001], [0.01, 1.0]))
 
 
-@query("m07_anchor_grid")
+_GAMMAS = [2 ** (k / 2) for k in range(17)]
+
+
+@query(
+    "m07_anchor_grid",
+    _recursive("reg_null")
+    + f"{_SCALED}, tt AS (SELECT {_TOTAL} AS t FROM z), "
+    + f"gm AS (SELECT count(*) AS ng, {', '.join(f'avg(z{i}) AS g{i}' for i in range(_P + 1))} FROM z GROUP BY dataset), "
+    + f"bb AS (SELECT {matrix(lambda i, j: f'sum(ng * (g{i} - a{i}) * (g{j} - a{j})) / any_value(n)', _P, _P + 1)} AS w FROM gm, mo), "
+    + f"mx AS (SELECT gamma, {matrix(lambda i, j: f'(t[{i + 1}][{j + 1}] - w[{i + 1}][{j + 1}]) / gamma + w[{i + 1}][{j + 1}]', _P, _P + 1)} AS t FROM tt, bb, {_grid('gamma', _GAMMAS)}), "
+    + f"pr AS (SELECT row_number() OVER () AS id, gamma, alpha, l1, [e[1:{_P}] FOR e IN t] AS g, [e[{_P + 1}] FOR e IN t] AS c, "
+    + f"{vector(lambda i: '1.0::DOUBLE', _P)} AS f FROM mx, {_grid('alpha', [0.1, 0.01, 0.001])}, {_grid('l1', _L1S)}), "
+    + descent(60)
+    + f" SELECT alpha, gamma, l1 AS l1_ratio, round({_RAW}, 6) + 0.0 AS intercept, {_SLOPES} FROM cd JOIN pr USING (id), sc, mo",
+)
 def _(spark, sf):
     m = _moments(spark, sf, FEATURES, df=reg_null(spark, sf))
-    gammas = [2 ** (k / 2) for k in range(17)]
-    return _table(spark, lin.fit_anchor(m, gammas, [0.1, 0.01, 0.001], [0.01, 0.5, 1.0]), FEATURES)
+    return _table(spark, lin.in_tasks(spark, _GAMMAS, lambda g: lin.fit_anchor(m, [g], [0.1, 0.01, 0.001], _L1S)), FEATURES)
+
 
+_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+_D = len(_REGIONS)
+# Interacted columns in full: shared, indicators, deviations centred within their dataset.
+_WIDE = [f"z{i}" for i in range(_P)] + [f"(dataset = '{d}')::INT::DOUBLE" for d in _REGIONS]
+_WIDE += [f"CASE WHEN dataset = '{d}' THEN z{i} - avg(z{i}) OVER (PARTITION BY dataset) ELSE 0.0::DOUBLE END" for d in _REGIONS for i in range(_P)]
+_K = len(_WIDE)
 
-@query("m08_data_shared")
+
+@query(
+    "m08_data_shared",
+    _recursive("reg")
+    + f"{scaled('reg', FEATURES)}, v AS MATERIALIZED (SELECT z{_P} AS y, {', '.join(f'{x} AS v{i}' for i, x in enumerate(_WIDE))} FROM z), "
+    + f"gs AS MATERIALIZED (SELECT {matrix(lambda i, j: f'covar_pop(v{i}, v{j})', _K, _K)} AS g, {vector(lambda i: f'covar_pop(v{i}, y)', _K)} AS c, "
+    + f"{vector(lambda i: f'avg(v{i})', _K)} AS mv, {vector(lambda i: f'sqrt(avg(v{_P + i}))', _D)} AS r FROM v), "
+    + "pr AS MATERIALIZED (SELECT row_number() OVER () AS id, ratio, alpha, 1.0::DOUBLE AS l1, g, c, mv, "
+    + f"list_concat({vector(lambda i: '1.0::DOUBLE', _P)}, list_concat([e * ratio FOR e IN r], {vector(lambda i: f'r[{i // _P + 1}] * ratio', _D * _P)})) AS f "
+    + f"FROM gs, {_grid('ratio', [0.5, 1.0, 2.0])}, {_grid('alpha', [0.1, 0.01, 0.001])}), "
+    + descent(150)
+    + f" SELECT alpha, l1 AS l1_ratio, ratio, round(a{_P} - list_inner_product(b, mv) - ({' + '.join(f'b[{i + 1}] / s{i} * m{i}' for i in range(_P))}), 6) + 0.0 AS intercept, "
+    + f"{_SLOPES} FROM cd JOIN pr USING (id), sc, mo",
+)
 def _(spark, sf):
     m = _moments(spark, sf, FEATURES)
-    fits = [f for ratio in (0.5, 1.0, 2.0) for f in lin.fit_data_shared(m, ratio, [0.1, 0.01, 0.001], 1.0)]
+    fits = lin.in_tasks(spark, (0.5, 1.0, 2.0), lambda ratio: lin.fit_data_shared(m, ratio, [0.1, 0.01, 0.001], 1.0))
     return _table(spark, fits, FEATURES)
 
 
@@ -254,9 +320,23 @@ def _(spark, sf):
     return _table(spark, lin.fit_anticausal(_moments(spark, sf, ["x_qty"]), [0.0, 0.01], [0.1, 0.01]))
 
 
-@query("m09_anticausal_grid")
+@query(
+    "m09_anticausal_grid",
+    _recursive("reg")
+    + f"{scaled('reg', FEATURES)}, tt AS (SELECT {_TOTAL} AS t FROM z), "
+    + f"gm AS (SELECT count(*) AS ng, {', '.join(f'avg(z{i}) AS g{i}' for i in range(_P))} FROM z GROUP BY dataset), "
+    + f"bb AS (SELECT {matrix(lambda i, j: f'sum(ng * (g{i} - a{i}) * (g{j} - a{j})) / (any_value(n) - 1)', _P, _P)} AS w FROM gm, mo), "
+    # The ridge in the rotated basis is a quadratic form of the between-dataset covariance in this one.
+    + "pr AS (SELECT row_number() OVER () AS id, l2, alpha AS penalty, 0.0::DOUBLE AS alpha, 1.0::DOUBLE AS l1, "
+    + f"{matrix(lambda i, j: f't[{i + 1}][{j + 1}] + alpha * 100 * (w[{i + 1}][{j + 1}] + {100 if i == j else 0} * l2)', _P, _P)} AS g, "
+    + f"[e[{_P + 1}] FOR e IN t] AS c, {vector(lambda i: '0.0::DOUBLE', _P)} AS f "
+    + f"FROM tt, bb, {_grid('l2', [0.0, 0.001, 0.01, 0.1])}, {_grid('alpha', [0.1, 0.01, 0.001])}), "
+    + descent(60)
+    + f" SELECT penalty AS alpha, l2 AS l2_ratio, round({_RAW}, 6) + 0.0 AS intercept, {_SLOPES} FROM cd JOIN pr USING (id), sc, mo",
+)
 def _(spark, sf):
-    fits = lin.fit_anticausal(_moments(spark, sf, FEATURES), [0.0, 0.001, 0.01, 0.1], [0.1, 0.01, 0.001])
+    m = _moments(spark, sf, FEATURES)
+    fits = lin.in_tasks(spark, (0.0, 0.001, 0.01, 0.1), lambda l2: lin.fit_anticausal(m, [l2], [0.1, 0.01, 0.001]))
     return _table(spark, fits, FEATURES)
 
 
@@ -342,15 +422,6 @@ def _stages(df, model, rounds):
     return out.groupBy("dataset", "split").agg(F.count("*").alias("n"), *cols)
 
 
-def _recursive(role):
-    return with_roles(role).replace("WITH ", "WITH RECURSIVE ", 1) + ", "
-
-
-def _stages_sql(rounds, depth=3):
-    cols = ", ".join(f"round(avg((y - score) ** 2) FILTER (step = {k * depth}), 6) + 0.0 AS mse_{k}" for k in rounds)
-    return f" SELECT dataset, split, count(DISTINCT rid) AS n, {cols} FROM b0 JOIN st USING (rid) GROUP BY dataset, split"
-
-
 @query(
     "m15_boosted_trees",
     _recursive("reg_null") + boosting("reg_null", "split = 'train_val'", _TREE_FEATURES, 6, 0.3) + _stages_sql([1, 3, 6]),

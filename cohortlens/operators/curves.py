@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.joins import join_groups
 from .metrics import GREATER_IS_BETTER
 from .order_stats import HOT_ROWS, quantiles
 
@@ -171,7 +172,7 @@ def curve_band(
     group = [*keys, x]
     q = quantiles(df, group, {"_q": F.col(value)}, [0.1, 0.5, 0.9], hot_rows=hot_rows)
     sd = df.groupBy(*group).agg(F.stddev_pop(value).alias("sd"))
-    return q.join(sd, group).select(
+    return join_groups(q, sd, group).select(
         *group,
         F.col("_q")[0].alias("q10"),
         F.col("_q")[1].alias("median"),

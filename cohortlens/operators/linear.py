@@ -7,14 +7,15 @@ every source subset, anchor strength and penalty is served without reading the d
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+import pickle
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bounded import bounded_rows
@@ -275,6 +276,74 @@ def weighted_penalties(df: DataFrame, weight: str, by: str = "dataset") -> np.nd
     return group_penalties(*(np.array([float(r[c]) for r in rows]) for c in ("n", "w", "ww")))
 
 
+def _shared_path(
+    blocks: Sequence[Block], factors: np.ndarray, alphas: Sequence[float], l1: float, max_iter: int, tol: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shared coefficients, dataset intercepts and whether each point settled, by descent over blocks.
+
+    With b shared, a_g an intercept and d_g the deviations of dataset g (on columns centred within it), the gradients of
+    all parts follow from sums of the datasets' own matrices; the matrix of all columns together is never formed.
+    """
+    total = _sum(blocks)
+    n, p, d = total.n, len(total.s) - 1, len(blocks)
+    mean, y_mean = total.s[:-1] / n, total.s[-1] / n
+    shares = np.array([g.n for g in blocks]) / n
+    own = np.array([g.s[:-1] for g in blocks]) / n  # shared column x indicator
+    within = [(g.c - np.outer(g.s, g.s) / g.n) / n for g in blocks]
+    gram = total.gram()[:-1, :-1]
+    ones = np.diag(shares) - np.outer(shares, shares)
+    cross = own.T - np.outer(mean, shares)
+    grad_b = total.gram()[:-1, -1].copy()
+    grad_a = np.array([g.s[-1] for g in blocks]) / n - shares * y_mean
+    grad_d = [w[:-1, -1].copy() for w in within]
+    inner = [np.ascontiguousarray(w[:-1, :-1]) for w in within]
+    b, a, dev = np.zeros(p), np.zeros(d), np.zeros((d, p))
+
+    def moved(r: float, curve: float, old: float, lasso: float, ridge: float) -> float:
+        r += curve * old
+        return float(np.sign(r) * max(abs(r) - lasso, 0.0) / (curve + ridge)) - old if curve + ridge > 0 else 0.0
+
+    path, intercepts, settled = [], [], []
+    for alpha in alphas:
+        lasso, ridge = alpha * l1, alpha * (1 - l1)
+        ok, full = False, True
+        for _ in range(max_iter):
+            # Between sweeps over everything, only what is not zero moves.
+            largest = 0.0
+            for j in range(p) if full else np.flatnonzero(b).tolist():
+                step = moved(grad_b[j], gram[j, j], b[j], lasso, ridge)
+                if step:
+                    b[j] += step
+                    grad_b -= gram[:, j] * step
+                    grad_a -= cross[j] * step
+                    for g in range(d):
+                        grad_d[g] -= inner[g][:, j] * step
+                    largest = max(largest, abs(step))
+            for g in range(d):
+                step = moved(grad_a[g], ones[g, g], a[g], lasso * factors[g], ridge * factors[g])
+                if step:
+                    a[g] += step
+                    grad_a -= ones[g] * step
+                    grad_b -= cross[:, g] * step
+                    largest = max(largest, abs(step))
+                w, grad = inner[g], grad_d[g]
+                for j in range(p) if full else np.flatnonzero(dev[g]).tolist():
+                    step = moved(grad[j], w[j, j], dev[g, j], lasso * factors[g], ridge * factors[g])
+                    if step:
+                        dev[g, j] += step
+                        grad -= w[:, j] * step
+                        grad_b -= w[:, j] * step
+                        largest = max(largest, abs(step))
+            if largest < tol and full:
+                ok = True
+                break
+            full = largest < tol
+        path.append(b.copy())
+        intercepts.append(a.copy())
+        settled.append(ok)
+    return np.array(path), np.array(intercepts), np.array(settled)
+
+
 def fit_data_shared(
     moments: Moments,
     ratio: float,
@@ -282,55 +351,49 @@ def fit_data_shared(
     l1_ratio: float,
     envs: Sequence[tuple] | None = None,
     penalties: np.ndarray | None = None,
+    max_iter: int = 10_000,
+    tol: float = 1e-10,
 ) -> list[LinearModel]:
     """Shared coefficients plus per-dataset intercepts and deviations; the shared part predicts.
 
     ``penalties`` follow the order of ``envs``; for weighted moments ``weighted_penalties``
-    gives them.
-    The Gram matrix of the interacted columns follows from the per-dataset moments.
+    gives them. Memory is that of the datasets' own matrices. A point of the path that has not settled after
+    ``max_iter`` rounds has ``converged`` False among its parameters.
     """
     envs = moments.envs() if envs is None else list(envs)
     scaling = moments.scaling(envs)
-    blocks = [moments.blocks(envs, scaling)[e] for e in envs]
+    by_env = moments.blocks(envs, scaling)
+    blocks = [by_env[e] for e in envs]
     total = _sum(blocks)
-    p, d = len(moments.cols) - 1, len(envs)
     if penalties is None:
         penalties = group_penalties(np.array([b.n for b in blocks]))
-    size = p + d + d * p
-    cross, xy = np.zeros((size, size)), np.zeros(size)
-    sums = np.zeros(size)
-    cross[:p, :p], xy[:p], sums[:p] = total.c[:p, :p], total.c[:p, -1], total.s[:p]
-    for g, b in enumerate(blocks):
-        one, inter = p + g, slice(p + d + g * p, p + d + (g + 1) * p)
-        within = b.c - np.outer(b.s, b.s) / b.n
-        cross[:p, one] = cross[one, :p] = b.s[:p]
-        cross[one, one], xy[one], sums[one] = b.n, b.s[-1], b.n
-        cross[inter, inter], xy[inter] = within[:p, :p], within[:p, -1]
-        cross[:p, inter] = within[:p, :p]
-        cross[inter, :p] = within[:p, :p].T
-    mean, y_mean = sums / total.n, total.s[-1] / total.n
-    gram = cross / total.n - np.outer(mean, mean)
-    cov = xy / total.n - mean * y_mean
-    factor = np.concatenate(
-        [np.ones(p), ratio * np.asarray(penalties), np.repeat(ratio * np.asarray(penalties), p)]
-    )
-    path = elastic_net(gram, cov, alphas, l1_ratio, factor, factor)
+    path, intercepts, settled = _shared_path(blocks, ratio * np.asarray(penalties), alphas, l1_ratio, max_iter, tol)
     mu, sd = scaling[0][:-1], scaling[1][:-1]
+    mean, shares = total.s / total.n, np.array([b.n for b in blocks]) / total.n
     out = []
-    for alpha, b in zip(alphas, path):
-        raw = b[:p] / sd
-        intercept = y_mean - b @ mean - raw @ mu
-        out.append(
-            LinearModel(
-                raw,
-                float(intercept),
-                mu,
-                {"alpha": float(alpha), "ratio": float(ratio), "l1_ratio": float(l1_ratio)},
-            )
-        )
+    for alpha, b, a, ok in zip(alphas, path, intercepts, settled):
+        raw = b / sd
+        intercept = mean[-1] - b @ mean[:-1] - a @ shares - raw @ mu
+        params = {"alpha": float(alpha), "ratio": float(ratio), "l1_ratio": float(l1_ratio), "converged": bool(ok)}
+        out.append(LinearModel(raw, float(intercept), mu, params))
     return out
 
 
+def in_tasks(spark: SparkSession, jobs: Sequence, solve: Callable[[object], list[LinearModel]]) -> list[LinearModel]:
+    """``solve(job)`` of every job, each in a task of its own; what ``solve`` holds (moments) is sent once."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps((list(jobs), solve)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given, of = pickle.loads(held.value)
+        for b in batches:
+            for k in b.column("id").to_pylist():
+                fits = of(given[k])
+                yield pa.record_batch([pa.array([k]), pa.array([pickle.dumps(fits)], pa.binary())], names=["id", "fits"])
+
+    rows = spark.range(0, len(jobs), 1, max(1, len(jobs))).mapInArrow(run, "id bigint, fits binary").collect()
+    return [m for r in sorted(rows, key=lambda r: r["id"]) for m in pickle.loads(r["fits"])]
+
+
 def fit_anticausal(
     moments: Moments,
     l2_ratios: Sequence[float],

@@ -37,8 +37,13 @@ def column_groups(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str,
     return groups
 
 
+def _col(name: str) -> Column:
+    """A column by its whole name, whatever signs that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _seen(c: str) -> Column:
-    return F.nullif(F.col(c).cast("double"), F.lit(float("nan")))
+    return F.nullif(_col(c).cast("double"), F.lit(float("nan")))
 
 
 @dataclass
@@ -67,7 +72,7 @@ class Standardizer:
     stats: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> Standardizer:
-        x = {c: F.col(c).cast("double") for c in self.cols}
+        x = {c: _col(c).cast("double") for c in self.cols}
         row = df.agg(
             *[F.avg(x[c]).alias(f"m{i}") for i, c in enumerate(self.cols)],
             *[F.stddev_pop(x[c]).alias(f"s{i}") for i, c in enumerate(self.cols)],
@@ -80,7 +85,7 @@ class Standardizer:
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns(
             {
-                c: (F.col(c).cast("double") - F.lit(mean)) / F.lit(sd)
+                c: (_col(c).cast("double") - F.lit(mean)) / F.lit(sd)
                 for c, (mean, sd) in self.stats.items()
             }
         )
@@ -94,7 +99,7 @@ def _categories(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
         F.explode(
             F.array(
                 *[
-                    F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("val"))
+                    F.struct(F.lit(c).alias("col"), _col(c).cast("string").alias("val"))
                     for c in cols
                 ]
             )
@@ -123,7 +128,7 @@ class OneHot:
 
     def transform(self, df: DataFrame) -> DataFrame:
         hot = {
-            f"{c}_{v}": F.col(c).cast("string").eqNullSafe(F.lit(v)).cast("double")
+            f"{c}_{v}": _col(c).cast("string").eqNullSafe(F.lit(v)).cast("double")
             for c in self.cols
             for v in self.categories[c]
         }
@@ -146,16 +151,16 @@ class OrdinalEncoder:
         for c in self.cols:
             cats = [v for v in self.categories[c] if v is not None]
             listed = F.array(*[F.lit(v) for v in cats]) if cats else F.array().cast("array<string>")
-            position = F.array_position(listed, F.col(c).cast("string"))
+            position = F.array_position(listed, _col(c).cast("string"))
             known = F.when(position > 0, position - 1).otherwise(UNKNOWN_CODE)
             null_code = len(cats) if None in self.categories[c] else UNKNOWN_CODE
-            codes[c] = F.when(F.col(c).isNull(), null_code).otherwise(known).cast("long")
+            codes[c] = F.when(_col(c).isNull(), null_code).otherwise(known).cast("long")
         return df.withColumns(codes)
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
     """Ordered feature vector as an array of doubles."""
-    return df.withColumn(out, F.array(*[F.col(c).cast("double") for c in cols]))
+    return df.withColumn(out, F.array(*[_col(c).cast("double") for c in cols]))
 
 
 @dataclass

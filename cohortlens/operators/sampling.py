@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bounded import bounded_rows, local_table
+from ..functions.joins import join_groups
+from ..session import pin
+
 # Sample sizes, number of seeds and folds of the learning curves.
 SIZES = (
     25, 35, 50, 70, 100, 140, 200, 280, 400, 560, 800, 1120, 1600, 2250, 3200, 4480, 6400, 8960,
@@ -94,8 +98,9 @@ def size_bucket(rank: Column, sizes: Sequence[int]) -> Column:
 
 
 def hash_fold(key: Column, k: int = N_FOLDS) -> Column:
-    """Fold of a group key from its hash."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, 7), 16, 10).cast("long") % k
+    """Fold of a group key from its hash; a null key is a group like any other."""
+    text = F.coalesce(key.cast("string"), F.lit(""))
+    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long") % k
 
 
 def group_folds(
@@ -109,13 +114,24 @@ def group_folds(
     if not balanced:
         return df.withColumn(out, hash_fold(F.col(key), k))
     sizes = df.groupBy(key).agg(F.count("*").alias("_size"))
-    h = F.md5(F.col(key).cast("string"))
+    h = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
     sizes = sizes.withColumns({"_h": h, "_bucket": F.substring(h, 1, 3)})
     counts = sizes.groupBy("_size", "_bucket").agg(F.count("*").alias("_c"))
     # Offsets in two levels: distinct sizes first, then hash buckets inside a size.
-    per_size = counts.groupBy("_size").agg(F.sum("_c").alias("_s"))
-    w_size = Window.orderBy(F.col("_size").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    per_size = per_size.select("_size", F.coalesce(F.sum("_s").over(w_size), F.lit(0)).alias("_o1"))
+    per_size = pin(counts.groupBy("_size").agg(F.sum("_c").alias("_s")))
+    # Sizes fall into ranges by their leading bits: sums of ranges, then sums within a range.
+    power = F.floor(F.log2(F.col("_size"))).cast("int")
+    per_size = per_size.withColumn("_power", power).withColumn("_range", F.col("_power").cast("bigint") * 8192 + F.expr("(_size - shiftleft(1L, _power)) >> greatest(_power - 12, 0)"))
+    totals = bounded_rows(per_size.groupBy("_range").agg(F.sum("_s").alias("s")), 64 * 8192, "size ranges")
+    before, offsets = 0, []
+    for r in sorted(totals, key=lambda r: -r["_range"]):
+        offsets.append({"_range": r["_range"], "_before": before})
+        before += r["s"]
+    w_size = Window.partitionBy("_range").orderBy(F.col("_size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = local_table(df.sparkSession, offsets, "_range bigint, _before bigint")
+    per_size = per_size.join(ranges, "_range").select(
+        "_size", (F.coalesce(F.sum("_s").over(w_size), F.lit(0)) + F.col("_before")).alias("_o1")
+    )
     w_bucket = Window.partitionBy("_size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_size", "_bucket", F.coalesce(F.sum("_c").over(w_bucket), F.lit(0)).alias("_o2"))
     w_in = Window.partitionBy("_size", "_bucket").orderBy("_h", key)
@@ -125,4 +141,4 @@ def group_folds(
     dealt = (
         sizes.join(counts, ["_size", "_bucket"]).join(per_size, "_size").withColumn(out, fold)
     ).select(key, out)
-    return df.join(dealt, key)
+    return join_groups(df, dealt, [key])

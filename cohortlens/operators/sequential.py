@@ -72,14 +72,16 @@ def outcome_window(
     Spreading back and then forward covers exactly the rows from ``after`` before to
     ``before`` behind each row, so one frame does both passes.
     """
-    if before + after == 0:
-        return df if out is None else df.withColumn(out, F.col(col))
     value = F.col(col).cast("double")
     value = F.when(value < 0, F.raise_error(F.lit(f"{col} must not be negative"))).otherwise(value)
     order = Window.partitionBy(*keys).orderBy(TIME)
     total = F.sum(value).over(order.rowsBetween(-after, before))
     step = F.col(TIME) - F.lag(TIME).over(order)
     failed = F.raise_error(F.lit("an id's hours have gaps or repeats")).cast("boolean")
+    if before + after == 0:
+        # Nothing is spread, but the checks hold all the same.
+        same = F.when(F.coalesce(value, F.lit(0.0)) < 0, None).otherwise(F.col(col))
+        return df.withColumn(out or col, F.when(step != 1, failed.cast(df.schema[col].dataType)).otherwise(same))
     return df.withColumn(out or col, F.when(step != 1, failed).otherwise(F.coalesce(total, F.lit(0.0)) > 0))
 
 
