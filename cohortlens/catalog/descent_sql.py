@@ -40,3 +40,33 @@ def descent(sweeps: int) -> str:
   FROM (SELECT st.id, t, b, k, alpha, l1, f, g, c[k] - list_inner_product(g[k], b) + g[k][k] * b[k] AS r
     FROM (SELECT id, t, b, t % len(b) + 1 AS k FROM st) st JOIN pr USING (id) WHERE t < {sweeps} * len(b))
 ), cd AS (SELECT id, b FROM st WHERE t = {sweeps} * len(b))"""
+
+
+def logistic(rows: str, p: int, name: str, newtons: int = 10, sweeps: int = 25) -> str:
+    """CTE ``{name}`` (id, b, a) from ``{name}_pr`` (id, alpha, l1): penalised logistic regression on ``rows``.
+
+    ``rows`` has x1.., y and o (offset). A period of steps is one sum over the rows (the working response of Newton's
+    method) and ``sweeps`` rounds of coordinate descent on it.
+    """
+    period = 1 + sweeps * p
+    xs = [f"x{i + 1}" for i in range(p)]
+    x = "[" + ", ".join(xs) + "]"
+    eta = f"m[{p + 1}] - list_inner_product(b, m[1:{p}]) + list_inner_product(b, {x}) + o"
+    g = matrix(lambda i, j: f"sum(w * {xs[i]} * {xs[j]}) / count(*) - sum(w * {xs[i]}) * sum(w * {xs[j]}) / sum(w) / count(*)", p, p)
+    c = vector(lambda i: f"sum(w * {xs[i]} * z) / count(*) - sum(w * {xs[i]}) * sum(w * z) / sum(w) / count(*)", p)
+    m = "[" + ", ".join([*(f"sum(w * {v}) / sum(w)" for v in xs), "sum(w * z) / sum(w)"]) + "]"
+    zeros = lambda k: "[" + ", ".join(["0.0::DOUBLE"] * k) + "]"
+    flat = "[" + ", ".join([zeros(p)] * p) + "]"
+    return f"""{name}_st AS (
+  SELECT id, 0 AS t, {zeros(p)} AS b, {flat} AS g, {zeros(p)} AS c, {zeros(p + 1)} AS m FROM {name}_pr
+  UNION ALL (
+    SELECT id, any_value(t) + 1, any_value(b), {g}, {c}, {m}
+    FROM (SELECT *, e - o + (y - u) / w AS z FROM (SELECT *, greatest(u * (1 - u), 1e-10) AS w FROM (SELECT *, 1 / (1 + exp(-e)) AS u FROM
+      (SELECT id, t, b, {", ".join(xs)}, y, o, {eta} AS e FROM {name}_st, {rows} WHERE t % {period} = 0 AND t < {newtons * period}))))
+    GROUP BY id
+    UNION ALL
+    SELECT id, t + 1, list_concat(list_concat(b[1:k - 1], [sign(r) * greatest(abs(r) - alpha * l1, 0) / (g[k][k] + alpha * (1 - l1))]), b[k + 1:]), g, c, m
+    FROM (SELECT s.id, t, b, g, c, m, k, alpha, l1, c[k] - list_inner_product(g[k], b) + g[k][k] * b[k] AS r
+      FROM (SELECT *, (t % {period} - 1) % {p} + 1 AS k FROM {name}_st) s JOIN {name}_pr pr ON pr.id = s.id WHERE t % {period} <> 0 AND t < {newtons * period})
+  )
+), {name} AS (SELECT id, b, m[{p + 1}] - list_inner_product(b, m[1:{p}]) AS a FROM {name}_st WHERE t = {newtons * period})"""

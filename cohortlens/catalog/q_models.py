@@ -11,7 +11,7 @@ from ..operators import moments as mo
 from ..operators import trees
 from ..plans import study
 from .boosting_sql import boosting, refit
-from .descent_sql import descent, matrix, scaled, vector
+from .descent_sql import descent, logistic, matrix, scaled, vector
 from .registry import query
 from .roles import FEATURES, ROW_ID, binary, r6, reg, reg_null, table, with_roles
 
@@ -131,6 +131,18 @@ def _moments(spark, sf, features, y="y", df=None):
     return lin.Moments.gather(df, cols)
 
 
+_P = len(FEATURES)
+_SCALED = scaled("reg_null", FEATURES)
+_TOTAL = matrix(lambda i, j: f"covar_pop(z{i}, z{j})", _P, _P + 1)
+# Columns of a result: intercept and slopes on the raw columns.
+_SLOPES = ", ".join(f"round(b[{i + 1}] / s{i}, 6) + 0.0 AS b_{c}" for i, c in enumerate(FEATURES))
+_RAW = " - ".join([f"a{_P}", *(f"b[{i + 1}] * a{i}" for i in range(_P)), *(f"b[{i + 1}] / s{i} * m{i}" for i in range(_P))])
+
+
+def _grid(name, values):
+    return f"(SELECT unnest({list(values)}::DOUBLE[]) AS {name})"
+
+
 _PARAMS = ("alpha", "gamma", "l1_ratio", "ratio", "l2_ratio")
 
 
@@ -182,18 +194,6 @@ def _(spark, sf):
     return _table(spark, lin.fit_linear(m, [0.0], 0.0), ["x_qty", "x_disc"])
 
 
-_P = len(FEATURES)
-_SCALED = scaled("reg_null", FEATURES)
-_TOTAL = matrix(lambda i, j: f"covar_pop(z{i}, z{j})", _P, _P + 1)
-# Columns of a result: intercept and slopes on the raw columns.
-_SLOPES = ", ".join(f"round(b[{i + 1}] / s{i}, 6) + 0.0 AS b_{c}" for i, c in enumerate(FEATURES))
-_RAW = " - ".join([f"a{_P}", *(f"b[{i + 1}] * a{i}" for i in range(_P)), *(f"b[{i + 1}] / s{i} * m{i}" for i in range(_P))])
-
-
-def _grid(name, values):
-    return f"(SELECT unnest({list(values)}::DOUBLE[]) AS {name})"
-
-
 _ALPHAS = [0.5 * 10 ** (-k / 2) for k in range(7)]
 _L1S = (0.01, 0.5, 1.0)
 
@@ -232,7 +232,14 @@ def _(spark, sf):
     return _table(spark, fits, ["x_qty", "x_disc"])
 
 
-@query("m06_logistic_path")
+@query(
+    "m06_logistic_path",
+    _recursive("reg")
+    + f"{scaled('reg', FEATURES)}, rw AS MATERIALIZED (SELECT {', '.join(f'z{i} AS x{i + 1}' for i in range(_P))}, (z{_P} > 10.5)::INT::DOUBLE AS y, 0.0::DOUBLE AS o FROM z), "
+    + f"lg_pr AS (SELECT row_number() OVER () AS id, alpha, 0.5::DOUBLE AS l1 FROM {_grid('alpha', [0.1, 0.01, 0.001])}), "
+    + logistic("rw", _P, "lg")
+    + f" SELECT alpha, l1 AS l1_ratio, round(a, 6) + 0.0 AS intercept, {', '.join(f'round(b[{i + 1}], 6) + 0.0 AS b_{c}' for i, c in enumerate(FEATURES))} FROM lg JOIN lg_pr USING (id)",
+)
 def _(spark, sf):
     df = reg(spark, sf).withColumn("y", (F.col("y") > 10.5).cast("double"))
     from ..operators.preprocess import LinearPreprocessing
@@ -368,7 +375,17 @@ def _(spark, sf):
     return _table(spark, lin.fit_with_offset(m, prior, scale, [10.0, 1.0, 0.01], envs=[("ASIA",)]))
 
 
-@query("m11_logistic_offset")
+@query(
+    "m11_logistic_offset",
+    _recursive("reg")
+    + "r0 AS MATERIALIZED (SELECT x_qty AS x1, x_disc AS x2, (y > 10.5)::INT::DOUBLE AS y, 0.0::DOUBLE AS o FROM reg WHERE dataset = 'AFRICA'), "
+    + "p0_pr AS (SELECT 1 AS id, 0.01::DOUBLE AS alpha, 0.0::DOUBLE AS l1), "
+    + logistic("r0", 2, "p0")
+    + ", r1 AS MATERIALIZED (SELECT x_qty AS x1, x_disc AS x2, (y > 10.5)::INT::DOUBLE AS y, a + b[1] * x_qty + b[2] * x_disc AS o FROM reg, p0 WHERE dataset = 'ASIA'), "
+    + f"p1_pr AS (SELECT row_number() OVER () AS id, alpha, 0.0::DOUBLE AS l1 FROM {_grid('alpha', [1.0, 0.01])}), "
+    + logistic("r1", 2, "p1")
+    + " SELECT alpha, l1 AS l1_ratio, round(a, 6) + 0.0 AS intercept, round(b[1], 6) + 0.0 AS b_x_qty, round(b[2], 6) + 0.0 AS b_x_disc FROM p1 JOIN p1_pr USING (id)",
+)
 def _(spark, sf):
     df = reg(spark, sf).withColumn("y", (F.col("y") > 10.5).cast("double"))
     prior = lin.fit_logistic(df.where("dataset = 'AFRICA'"), ["x_qty", "x_disc"], "y", [0.01])

@@ -8,6 +8,7 @@ every source subset, anchor strength and penalty is served without reading the d
 from __future__ import annotations
 
 import pickle
+import warnings
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -195,6 +196,8 @@ def elastic_net(
                     largest = max(largest, abs(step))
             if largest < tol:
                 break
+        else:
+            warnings.warn(f"coordinate descent did not settle in {max_iter} rounds at alpha {alpha}", stacklevel=2)
         path.append(b.copy())
     return np.array(path)
 
@@ -467,13 +470,16 @@ def squared_error(block: Block, model: LinearModel, scaling) -> tuple[float, flo
     return float(v @ block.c @ v - 2 * a * (v @ block.s) + a * a * block.n), float(total)
 
 
-def _irls_sums(df: DataFrame, p: int, betas: np.ndarray) -> pd.DataFrame:
-    """Weighted cross products of (1, x, working response) for all coefficient rows in one pass."""
+def _irls_sums(df: DataFrame, p: int, betas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For all coefficient rows in one pass: weighted cross products of (1, x, working response), and the log loss.
+
+    Each task hands on one packed matrix a model; they are added one at a time, and one row a model is collected.
+    """
     k_models = len(betas)
     width = p + 2
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros((k_models, width, width))
+        acc, loss = np.zeros((k_models, width, width)), np.zeros(k_models)
         for batch in batches:
             m = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
             if len(m) == 0:
@@ -481,25 +487,39 @@ def _irls_sums(df: DataFrame, p: int, betas: np.ndarray) -> pd.DataFrame:
             x, y, offset, weight = m[:, :p], m[:, p], m[:, p + 1], m[:, p + 2]
             design = np.column_stack([np.ones(len(m)), x])
             for k in range(k_models):
-                eta = np.clip(design @ betas[k] + offset, -30.0, 30.0)
+                raw = design @ betas[k] + offset
+                loss[k] += (weight * (np.logaddexp(0.0, raw) - y * raw)).sum()
+                eta = np.clip(raw, -30.0, 30.0)
                 mu = 1.0 / (1.0 + np.exp(-eta))
                 w = np.maximum(mu * (1 - mu), 1e-10)
                 z = eta - offset + (y - mu) / w
                 full = np.column_stack([design, z])
                 acc[k] += (full * (w * weight)[:, None]).T @ full
-        i, j = np.triu_indices(width)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(np.arange(k_models), len(i)), pa.int32()),
-                pa.array(np.tile(i, k_models), pa.int32()),
-                pa.array(np.tile(j, k_models), pa.int32()),
-                pa.array(acc[:, i, j].ravel(), pa.float64()),
-            ],
-            names=["k", "i", "j", "v"],
-        )
+        yield told(range(k_models), acc, loss)
 
-    sums = df.mapInArrow(partial, "k int, i int, j int, v double")
-    return sums.groupBy("k", "i", "j").agg(F.sum("v").alias("v")).toPandas()
+    def told(ks, mats, losses) -> pa.RecordBatch:
+        packed = pa.array([np.ascontiguousarray(m).tobytes() for m in mats], pa.binary())
+        return pa.record_batch([pa.array(list(ks), pa.int32()), packed, pa.array(list(losses), pa.float64())], names=["k", "m", "loss"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, loss = None, None, 0.0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                k, m = batch.column("k")[i].as_py(), np.frombuffer(batch.column("m")[i].as_buffer())
+                if k != key and key is not None:
+                    yield told([key], [total], [loss])
+                    total = None
+                total, loss = (m, batch.column("loss")[i].as_py()) if total is None else (total + m, loss + batch.column("loss")[i].as_py())
+                key = k
+        if key is not None:
+            yield told([key], [total], [loss])
+
+    schema = "k int, m binary, loss double"
+    sums = df.mapInArrow(partial, schema).repartition("k").sortWithinPartitions("k").mapInArrow(add_up, schema)
+    mats, losses = np.zeros((k_models, width, width)), np.zeros(k_models)
+    for r in bounded_rows(sums, k_models, "models"):
+        mats[r["k"]], losses[r["k"]] = np.frombuffer(r["m"]).reshape(width, width), r["loss"]
+    return mats, losses
 
 
 def fit_logistic(
@@ -510,12 +530,14 @@ def fit_logistic(
     l1_ratio: float = 0.0,
     offset: str | None = None,
     weight: str | None = None,
-    max_iter: int = 25,
+    max_iter: int = 50,
     tol: float = 1e-8,
 ) -> list[LinearModel]:
     """Penalised logistic regression; every penalty advances by one step per pass over the data.
 
-    ``features`` are preprocessed columns without nulls. A constant outcome gives zero
+    ``features`` are preprocessed columns without nulls. A step that raises the penalised loss is halved. A penalty whose
+    steps are not below ``tol`` after ``max_iter`` passes, as without a penalty on a separable outcome, has ``converged``
+    False among its parameters and a warning is given. A constant outcome gives zero
     coefficients and the log odds of n rows against one row of the other label.
     """
     p = len(features)
@@ -523,9 +545,8 @@ def fit_logistic(
     ends = df.agg(F.min(y).alias("lo"), F.max(y).alias("hi"), F.count(y).alias("n")).first()
     if ends["lo"] == ends["hi"]:
         a = float(-(1 - 2 * int(ends["lo"])) * np.log(ends["n"]))
-        return [
-            LinearModel(zeros, a, zeros, {"alpha": float(v), "l1_ratio": float(l1_ratio)}) for v in alphas
-        ]
+        params = {"l1_ratio": float(l1_ratio), "converged": True}
+        return [LinearModel(zeros, a, zeros, {"alpha": float(v), **params}) for v in alphas]
     data = df.select(
         *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
         F.col(y).cast("double").alias("y"),
@@ -533,28 +554,35 @@ def fit_logistic(
         (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w"),
     ).persist(StorageLevel.MEMORY_AND_DISK)
     total = data.agg(F.sum("w")).first()[0]
-    betas = np.zeros((len(alphas), p + 1))
+    penalty = np.asarray(alphas, float)
+    kept, tried = np.zeros((len(alphas), p + 1)), np.zeros((len(alphas), p + 1))
+    least, done = np.full(len(alphas), np.inf), np.zeros(len(alphas), bool)
     try:
         for _ in range(max_iter):
-            rows = _irls_sums(data, p, betas)
-            new = betas.copy()
-            for k, g in rows.groupby("k"):
-                m = np.zeros((p + 2, p + 2))
-                m[g["i"], g["j"]] = m[g["j"], g["i"]] = g["v"]
-                w = m[0, 0]
-                mean = m[0, 1:] / w
-                c = (m[1:, 1:] - w * np.outer(mean, mean)) / total
-                b = elastic_net(c[:-1, :-1], c[:-1, -1], [alphas[k]], l1_ratio, start=betas[k, 1:])[0]
-                new[k] = np.append(mean[-1] - b @ mean[:-1], b)
-            moved = np.abs(new - betas).max()
-            betas = new
-            if moved < tol:
+            open_ = np.flatnonzero(~done)
+            mats, losses = _irls_sums(data, p, tried[open_])
+            for k, m, loss in zip(open_, mats, losses, strict=True):
+                slopes = tried[k, 1:]
+                value = loss / total + penalty[k] * (l1_ratio * np.abs(slopes).sum() + (1 - l1_ratio) * (slopes @ slopes) / 2)
+                if value > least[k] + 1e-12 * (1 + abs(least[k])):
+                    tried[k] = (kept[k] + tried[k]) / 2
+                else:
+                    kept[k], least[k] = tried[k], value
+                    w = m[0, 0]
+                    mean = m[0, 1:] / w
+                    c = (m[1:, 1:] - w * np.outer(mean, mean)) / total
+                    b = elastic_net(c[:-1, :-1], c[:-1, -1], [penalty[k]], l1_ratio, start=slopes)[0]
+                    tried[k] = np.append(mean[-1] - b @ mean[:-1], b)
+                done[k] = np.abs(tried[k] - kept[k]).max() < tol
+            if done.all():
                 break
     finally:
         data.unpersist()
+    if not done.all():
+        warnings.warn(f"logistic fits for alpha {penalty[~done].tolist()} did not converge in {max_iter} passes", stacklevel=2)
     return [
-        LinearModel(b[1:], float(b[0]), zeros, {"alpha": float(a), "l1_ratio": float(l1_ratio)})
-        for a, b in zip(alphas, betas)
+        LinearModel(b[1:], float(b[0]), zeros, {"alpha": float(a), "l1_ratio": float(l1_ratio), "converged": bool(ok)})
+        for a, b, ok in zip(alphas, np.where(done[:, None], tried, kept), done)
     ]
 
 

@@ -364,3 +364,26 @@ def test_study_results_equal_scored_rows(spark, data):
             row = res[(res["run_id"] == run) & (res["target"] == d) & (res["split"] == s)].set_index("metric")["value"]
             assert row["mse"] == pytest.approx(((g["y"] - g["p"]) ** 2).mean())
             assert row["mean_residual"] == pytest.approx((g["y"] - g["p"]).mean())
+
+
+def test_separable_outcome_is_reported(spark):
+    x = np.linspace(-1, 1, 60)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": (x > 0).astype(float)}))
+    with pytest.warns(UserWarning, match="did not converge"):
+        free, held = lin.fit_logistic(df, ["x"], "y", [0.0, 0.1], max_iter=12)
+    assert not free.params["converged"] and held.params["converged"]
+    assert free.coef[0] > held.coef[0] > 0
+
+
+def test_logistic_steps_never_raise_the_loss(spark):
+    """Far tails and a large offset, where whole Newton steps overshoot."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=400), [60.0, -55.0]])
+    y = (rng.random(402) < 1 / (1 + np.exp(-2 * np.clip(x, -3, 3)))).astype(float)
+    pdf = pd.DataFrame({"x": x, "y": y, "o": np.where(np.arange(402) % 7 == 0, 6.0, -6.0), "w": rng.integers(1, 4, 402).astype(float)})
+    fit = lin.fit_logistic(spark.createDataFrame(pdf).repartition(3), ["x"], "y", [0.05], 0.0, "o", "w")[0]
+    assert fit.params["converged"]
+    mu = 1 / (1 + np.exp(-(fit.intercept + fit.coef[0] * x + pdf["o"])))
+    r = (pdf["w"] * (y - mu)).to_numpy()
+    assert abs(r.sum() / pdf["w"].sum()) < 1e-6
+    assert abs((r * x).sum() / pdf["w"].sum() - 0.05 * fit.coef[0]) < 1e-6
