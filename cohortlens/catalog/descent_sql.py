@@ -28,18 +28,18 @@ def vector(entry, p: int) -> str:
     return "[" + ", ".join(entry(i) for i in range(p)) + "]"
 
 
-def descent(sweeps: int) -> str:
+def descent(sweeps: int, name: str = "cd", st: str = "st", pr: str = "pr") -> str:
     """CTE ``cd`` from ``pr`` (id, alpha, l1, g DOUBLE[][], c DOUBLE[], f DOUBLE[]): coefficients b after so many sweeps.
 
     Minimises b'gb/2 - c'b + alpha (l1 f|b| + (1 - l1) f b^2 / 2).
     """
-    return f"""st AS (
-  SELECT id, 0 AS t, [0.0::DOUBLE FOR e IN c] AS b FROM pr
+    return f"""{st} AS (
+  SELECT id, 0 AS t, [0.0::DOUBLE FOR e IN c] AS b FROM {pr}
   UNION ALL
   SELECT id, t + 1, list_concat(list_concat(b[1:k - 1], [sign(r) * greatest(abs(r) - alpha * l1 * f[k], 0) / (g[k][k] + alpha * (1 - l1) * f[k])]), b[k + 1:])
-  FROM (SELECT st.id, t, b, k, alpha, l1, f, g, c[k] - list_inner_product(g[k], b) + g[k][k] * b[k] AS r
-    FROM (SELECT id, t, b, t % len(b) + 1 AS k FROM st) st JOIN pr USING (id) WHERE t < {sweeps} * len(b))
-), cd AS (SELECT id, b FROM st WHERE t = {sweeps} * len(b))"""
+  FROM (SELECT s.id, t, b, k, alpha, l1, f, g, c[k] - list_inner_product(g[k], b) + g[k][k] * b[k] AS r
+    FROM (SELECT id, t, b, t % len(b) + 1 AS k FROM {st}) s JOIN {pr} p ON p.id = s.id WHERE t < {sweeps} * len(b))
+), {name} AS (SELECT id, b FROM {st} WHERE t = {sweeps} * len(b))"""
 
 
 def logistic(rows: str, p: int, name: str, newtons: int = 10, sweeps: int = 25) -> str:

@@ -9,6 +9,7 @@ from ..operators import linear as lin
 from ..operators import metrics as me
 from ..operators import sampling as sa
 from ..plans import learning
+from .descent_sql import descent, matrix, scaled, vector
 from .registry import query
 from .roles import BINARY_MODELS, FEATURES, ROW_ID, binary, r6, reg, reg_null, results, scored, scored_binary, with_roles
 
@@ -419,7 +420,68 @@ def _(spark, sf):
     return out.where("metric = 'mse'").select("seed", "n_target", r6("cv_value").alias("cv_value"), r6("test_value").alias("test_value"))
 
 
-@query("l05_refit_curve")
+_FP = len(FEATURES)
+
+
+def _samples_sql(role: str, where: str, seeds: int) -> str:
+    """CTEs ``sm`` (seed, n_target, fold, features, y), ``sets`` (sid, seed, n_target, k) and ``tn`` (rows to train on, by sid)."""
+    cols = ", ".join(FEATURES)
+    return (
+        f"tr AS MATERIALIZED (SELECT *, ('0x' || substr(md5(CAST(patient_id AS VARCHAR)), 1, 7))::BIGINT % 5 AS fold FROM {role} WHERE {where} AND split = 'train_val'), "
+        "rk AS (SELECT patient_id, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(CAST(seed AS VARCHAR) || ':' || CAST(patient_id AS VARCHAR)), patient_id) AS rank "
+        f"FROM (SELECT DISTINCT patient_id FROM tr), (SELECT CAST(range AS INTEGER) AS seed FROM range({seeds}))), "
+        f"sm AS MATERIALIZED (SELECT seed, n_target, fold, {cols}, y FROM tr JOIN rk USING (patient_id), (SELECT CAST(unnest({_LC_SIZES}) AS INTEGER) AS n_target) WHERE rank <= n_target), "
+        # k is the fold left out; -1 leaves out none.
+        "sets AS MATERIALIZED (SELECT row_number() OVER () AS sid, * FROM (SELECT DISTINCT seed, n_target, fold AS k FROM sm UNION SELECT DISTINCT seed, n_target, -1 FROM sm)), "
+        f"tn AS MATERIALIZED (SELECT sid, {cols}, y FROM sets JOIN sm USING (seed, n_target) WHERE fold <> k)"
+    )
+
+
+def _curve_sql(where: str, role: str, l1: float) -> str:
+    """The curve's rows from ``md`` (sid, alpha, a, b1.., m1.., s1..): models on columns imputed by m and scaled by s."""
+    yhat = "a + " + " + ".join(f"b{i} * (coalesce({c}, m{i}) - m{i}) / s{i}" for i, c in enumerate(FEATURES))
+    value = {"mse": "avg(r * r)", "rmse": "sqrt(avg(r * r))", "mean_residual": "avg(r)"}
+    metrics = " UNION ALL ".join(
+        f"SELECT seed, n_target, alpha, '{k}' AS metric, round(any_value(cv.{k}), 6) + 0.0 AS cv_value, round(any_value(te.{k}), 6) + 0.0 AS test_value "
+        "FROM cv JOIN te USING (seed, n_target, alpha) GROUP BY seed, n_target, alpha"
+        for k in value
+    )
+    sums = ", ".join(f"{v} AS {k}" for k, v in value.items())
+    return (
+        f"cv AS (SELECT seed, n_target, alpha, {sums} FROM (SELECT seed, n_target, alpha, y - ({yhat}) AS r FROM sm JOIN sets USING (seed, n_target) JOIN md USING (sid) WHERE fold = k) GROUP BY seed, n_target, alpha), "
+        f"te AS (SELECT seed, n_target, alpha, {sums} FROM (SELECT seed, n_target, alpha, y - ({yhat}) AS r FROM sets JOIN md USING (sid), (SELECT * FROM {role} WHERE {where} AND split = 'test') WHERE k = -1) GROUP BY seed, n_target, alpha) "
+        f"SELECT seed, n_target, 0::INTEGER AS model_idx, alpha, {l1}::DOUBLE AS l1_ratio, metric, cv_value, test_value FROM ({metrics})"
+    )
+
+
+def _list(name: str, q: int = _FP) -> str:
+    return ", ".join(f"b[{i + 1}] AS {name}{i}" for i in range(q))
+
+
+_PRIOR_ROWS = scaled("pq", FEATURES).replace("dataset, ", "")
+_REFIT_Z = ", ".join(f"(x.{c} - p.m{i}) / p.s{i} AS z{i}" for i, c in enumerate(FEATURES))
+
+
+@query(
+    "l05_refit_curve",
+    with_roles("reg").replace("WITH ", "WITH RECURSIVE ", 1)
+    + f", pq AS MATERIALIZED (SELECT * FROM reg WHERE split = 'train_val' AND dataset <> 'ASIA'), {_PRIOR_ROWS}, "
+    + f"pr AS (SELECT 1 AS id, 0.01::DOUBLE AS alpha, 0.5::DOUBLE AS l1, {matrix(lambda i, j: f'covar_pop(z{i}, z{j})', _FP, _FP)} AS g, "
+    + f"{vector(lambda i: f'covar_pop(z{i}, z{_FP})', _FP)} AS c, {vector(lambda i: '1.0::DOUBLE', _FP)} AS f FROM z), "
+    + descent(60)
+    + ", "
+    + f"pb AS MATERIALIZED (SELECT b AS b0, sc.* FROM cd, sc), {_samples_sql('reg', "dataset = 'ASIA'", 3)}, "
+    + f"zz AS (SELECT sid, {_REFIT_Z}, x.y AS z{_FP} FROM tn x, pb p), "
+    + f"gg AS MATERIALIZED (SELECT sid, {matrix(lambda i, j: f'covar_pop(z{i}, z{j})', _FP, _FP)} AS g, {vector(lambda i: f'covar_pop(z{i}, z{_FP})', _FP)} AS c, "
+    + f"{vector(lambda i: f'avg(z{i})', _FP)} AS mz, avg(z{_FP}) AS my FROM zz GROUP BY sid), "
+    # What the prior leaves over is fitted and added to it.
+    + f"pr2 AS MATERIALIZED (SELECT row_number() OVER () AS id, sid, alpha, 0.0::DOUBLE AS l1, g, [c[i] - list_inner_product(g[i], b0) FOR i IN range(1, {_FP + 1})] AS c, "
+    + f"{vector(lambda i: '1.0::DOUBLE', _FP)} AS f, mz, my FROM gg, pb, (SELECT unnest([1.0, 0.1]::DOUBLE[]) AS alpha)), "
+    + descent(60, "cd2", "st2", "pr2")
+    + f", md AS MATERIALIZED (SELECT sid, alpha, my - list_inner_product(b, mz) AS a, {_list('b')}, {', '.join(f'm{i}, s{i}' for i in range(_FP))} "
+    + f"FROM (SELECT sid, alpha, my, mz, [cd2.b[i] + b0[i] FOR i IN range(1, {_FP + 1})] AS b, {', '.join(f'm{i}, s{i}' for i in range(_FP))} FROM cd2 JOIN pr2 USING (id), pb)), "
+    + _curve_sql("dataset = 'ASIA'", "reg", 0.0),
+)
 def _(spark, sf):
     df = reg(spark, sf)
     train = df.where("split = 'train_val'")
@@ -429,7 +491,7 @@ def _(spark, sf):
     rest = [e for e in m.envs() if e != ("ASIA",)]
     prior = lin.fit_linear(m, [0.01], 0.5, rest)[0]
     prior = lin.replace(prior, params={**prior.params, "scale": m.scaling(rest)[1][:-1]})
-    return learning.learning_curve(
+    out = learning.learning_curve(
         train.where("dataset = 'ASIA'"),
         df.where("split = 'test' and dataset = 'ASIA'"),
         FEATURES,
@@ -440,15 +502,29 @@ def _(spark, sf):
         sizes=_LC_SIZES,
         priors=[prior],
     )
+    return out.withColumns({c: r6(c) for c in ("cv_value", "test_value")})
 
 
-@query("l06_learning_curve_in_fold")
+@query(
+    "l06_learning_curve_in_fold",
+    with_roles("reg_null").replace("WITH ", "WITH RECURSIVE ", 1)
+    + f", {_samples_sql('reg_null', 'true', 4)}, "
+    + f"mm AS MATERIALIZED (SELECT sid, {', '.join(f'avg({c}) AS m{i}' for i, c in enumerate(FEATURES))} FROM tn GROUP BY sid), "
+    + f"sc AS MATERIALIZED (SELECT sid, {', '.join(f'any_value(m{i}) AS m{i}, stddev_pop(coalesce({c}, m{i})) AS s{i}' for i, c in enumerate(FEATURES))} FROM tn JOIN mm USING (sid) GROUP BY sid), "
+    + f"zz AS (SELECT sid, {', '.join(f'(coalesce({c}, m{i}) - m{i}) / s{i} AS z{i}' for i, c in enumerate(FEATURES))}, y AS z{_FP} FROM tn JOIN sc USING (sid)), "
+    + f"pr AS MATERIALIZED (SELECT row_number() OVER () AS id, *, 0.5::DOUBLE AS l1 FROM (SELECT sid, {matrix(lambda i, j: f'covar_pop(z{i}, z{j})', _FP, _FP)} AS g, "
+    + f"{vector(lambda i: f'covar_pop(z{i}, z{_FP})', _FP)} AS c, {vector(lambda i: '1.0::DOUBLE', _FP)} AS f, avg(z{_FP}) AS a FROM zz GROUP BY sid), (SELECT unnest([0.1, 0.01]::DOUBLE[]) AS alpha)), "
+    + descent(60)
+    + f", md AS MATERIALIZED (SELECT sid, alpha, a, {_list('b')}, {', '.join(f'm{i}, s{i}' for i in range(_FP))} FROM cd JOIN pr USING (id) JOIN sc USING (sid)), "
+    + _curve_sql("true", "reg_null", 0.5),
+)
 def _(spark, sf):
     """Features with holes: imputation and scaling are learned inside each fold."""
     df = reg_null(spark, sf)
-    return learning.learning_curve(
+    out = learning.learning_curve(
         df.where("split = 'train_val'"), df.where("split = 'test'"), FEATURES, "y", "patient_id", [0, 1, 2, 3], [0.1, 0.01], [0.5], _LC_SIZES
     )
+    return out.withColumns({c: r6(c) for c in ("cv_value", "test_value")})
 
 
 @query(

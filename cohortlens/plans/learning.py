@@ -1,8 +1,8 @@
 """Learning curves from cumulative moments.
 
 Rows are summed once per (seed, size bucket, fold). Buckets up to a size make its sample, and
-a fold's training moments are the total minus the fold, so no sample is ever copied or refit
-from rows. Each seed's small solves run in their own task.
+a fold's training moments are the sum of the other folds, so no sample is ever copied or refit
+from rows. Each (seed, size, l1 ratio, prior) is a small solve of its own.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.linear import Block, LinearModel, Moments, _sum, fit_linear, refit_block, squared_error
-from ..operators.moments import env_moments
+from ..operators.moments import MOMENT_FIELDS, env_moments
 from ..operators.sampling import N_FOLDS, SIZES, hash_fold, nested_ranks, size_bucket
 
 CURVE_SCHEMA = (
@@ -39,40 +39,45 @@ def _paths(moments: Moments, envs, alphas, l1, prior: LinearModel | None) -> lis
     return refit_block(block, scaling, prior, alphas, l1, {"l1_ratio": float(l1)})
 
 
-def _seed_curve(pdf: pd.DataFrame, cols, test_rows, sizes, alphas, l1_ratios, priors, k) -> pd.DataFrame:
-    seed = int(pdf["seed"].iloc[0])
-    m = Moments.of(pdf, cols, ["bucket", "fold"])
-    test = Moments.of(test_rows, cols, ["all"])
-    raw = (np.zeros(len(cols)), np.ones(len(cols)))
-    out = []
-    for b, n_target in enumerate(sizes):
-        if not any(e[0] == b for e in m.envs()):
-            continue
-        envs = [e for e in m.envs() if e[0] <= b]
-        folds = sorted({e[1] for e in envs})
-        for l1 in l1_ratios:
-            for idx, prior in enumerate(priors):
-                per_fold = []
-                for f in folds:
-                    train = [e for e in envs if e[1] != f]
-                    if train:
-                        per_fold.append((f, _paths(m, train, alphas, l1, prior)))
-                full = _paths(m, envs, alphas, l1, prior)
-                for a, alpha in enumerate(alphas):
-                    held_out = []
-                    for f, path in per_fold:
-                        scale = (np.append(path[a].means, 0.0), raw[1])
-                        held = _sum(m.blocks([e for e in envs if e[1] == f], scale).values())
-                        held_out.append((held, path[a], scale))
-                    scale = (np.append(full[a].means, 0.0), raw[1])
-                    on_test = _metrics([(test.blocks(test.envs(), scale)[test.envs()[0]], full[a], scale)])
-                    cv = _metrics(held_out) if held_out else dict.fromkeys(on_test, np.nan)
-                    for name, value in on_test.items():
-                        out.append((seed, n_target, idx, float(alpha), float(l1), name, cv[name], value))
+def _point(pdf: pd.DataFrame, cols, test: Moments, sizes, alphas, l1s, priors) -> pd.DataFrame:
+    """One (seed, size, l1 ratio, prior): the path of penalties, in folds and on the whole sample."""
+    first = pdf.iloc[0]
+    seed, size, l1, idx = int(first["seed"]), int(first["size"]), float(l1s[int(first["l1_idx"])]), int(first["model_idx"])
     names = [c.split()[0] for c in CURVE_SCHEMA.split(", ")]
+    if pdf["top"].max() < size:
+        return pd.DataFrame([], columns=names)
+    prior = priors[idx]
+    m = Moments.of(pdf, cols, ["fold"])
+    unit = np.ones(len(cols))
+    per_fold = []
+    for f in m.envs():
+        train = [e for e in m.envs() if e != f]
+        if train:
+            per_fold.append((f, _paths(m, train, alphas, l1, prior)))
+    full = _paths(m, m.envs(), alphas, l1, prior)
+    out = []
+    for a, alpha in enumerate(alphas):
+        held_out = []
+        for f, path in per_fold:
+            scale = (np.append(path[a].means, 0.0), unit)
+            held_out.append((m.blocks([f], scale)[f], path[a], scale))
+        scale = (np.append(full[a].means, 0.0), unit)
+        on_test = _metrics([(test.blocks(test.envs(), scale)[test.envs()[0]], full[a], scale)])
+        cv = _metrics(held_out) if held_out else dict.fromkeys(on_test, np.nan)
+        out += [(seed, sizes[size], idx, float(alpha), l1, name, cv[name], value) for name, value in on_test.items()]
     return pd.DataFrame(out, columns=names)
 
 
+def sample_moments(moments: DataFrame, n_sizes: int) -> DataFrame:
+    """(seed, size, fold, i, j, top, sums): moments of whole samples from those of the buckets between two sizes.
+
+    At most folds x columns^2 / 2 rows a sample; ``top`` is the last bucket that has rows.
+    """
+    upto = moments.withColumn("size", F.explode(F.sequence(F.col("bucket"), F.lit(n_sizes - 1))))
+    sums = [F.sum(f).alias(f) for f in MOMENT_FIELDS]
+    return upto.groupBy("seed", "size", "fold", "i", "j").agg(F.max("bucket").alias("top"), *sums)
+
+
 def learning_curve(
     train: DataFrame,
     test: DataFrame,
@@ -101,22 +106,17 @@ def learning_curve(
     sampled = sampled.withColumns(
         {"bucket": size_bucket(F.col("rank"), sizes), "fold": hash_fold(F.col(key), k)}
     )
-    moments = env_moments(sampled, cols, ["seed", "bucket", "fold"])
-    test_rows = env_moments(test.withColumn("all", F.lit(0)), cols, ["all"]).toPandas()
-    args = {
-        "cols": cols,
-        "test_rows": test_rows,
-        "sizes": sizes,
-        "alphas": list(alphas),
-        "l1_ratios": list(l1_ratios),
-        "priors": list(priors) if priors else [None],
-        "k": k,
-    }
+    moments = sample_moments(env_moments(sampled, cols, ["seed", "bucket", "fold"]), len(sizes))
+    on_test = Moments.gather(test.withColumn("all", F.lit(0)), cols, ["all"])
+    given = list(priors) if priors else [None]
+    l1s, penalties = list(l1_ratios), list(alphas)
+    models = [F.struct(F.lit(l).alias("l1_idx"), F.lit(k).alias("model_idx")) for l in range(len(l1s)) for k in range(len(given))]
+    jobs = moments.withColumn("job", F.explode(F.array(*models))).select("*", "job.*").drop("job")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _seed_curve(pdf, **args)
+        return _point(pdf, cols, on_test, sizes, penalties, l1s, given)
 
-    return moments.groupBy("seed").applyInPandas(solve, CURVE_SCHEMA)
+    return jobs.groupBy("seed", "size", "l1_idx", "model_idx").applyInPandas(solve, CURVE_SCHEMA)
 
 
 def filter_priors(df: DataFrame, col: str = "gamma", tol: float = 0.1, largest: float = 128.0) -> DataFrame:

@@ -75,3 +75,19 @@ def test_projection_on_many_groups_equals_the_window(spark):
     out = mo.project_groups(df, ["v"], ["g"])
     total = out.agg(F.sum("v_proj")).first()[0]
     assert abs(total) < 1e-6 and out.count() == 30_000
+
+
+def test_rows_of_a_learning_curve_group(spark):
+    """A task of a learning curve holds the moments of one sample, whatever the rows, seeds and sizes."""
+    from cohortlens.operators.moments import env_moments
+    from cohortlens.plans.learning import sample_moments
+
+    df = spark.range(0, 5000).selectExpr(
+        "cast(id % 3 as int) AS seed", "cast(id % 4 as int) AS bucket", "id % 5 AS fold", "id * 0.5 AS a", "id % 7 * 1.0 AS y"
+    )
+    rows = sample_moments(env_moments(df, ["a", "y"], ["seed", "bucket", "fold"]), 4)
+    groups = rows.groupBy("seed", "size").agg(F.count("*").alias("n"), F.max("top").alias("top"), F.sum(F.expr("IF(i = 0 AND j = 0, n, 0)")).alias("all"))
+    got = groups.collect()
+    assert len(got) == 12 and {r["n"] for r in got} == {5 * 3} and all(r["top"] == r["size"] for r in got)
+    want = {(s, z): sum(1 for i in range(5000) if i % 3 == s and i % 4 <= z) for s in range(3) for z in range(4)}
+    assert {(r["seed"], r["size"]): r["all"] for r in got} == want
