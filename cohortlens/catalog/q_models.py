@@ -356,6 +356,64 @@ def _(spark, sf):
     return _means(mo.env_moments(df, _COLS, weight="w"))
 
 
+# Weighted covariances: the weights of all rows add up to one.
+_WEIGHTED = "w0 AS MATERIALIZED (SELECT *, sqrt(x_qty) / (SELECT sum(sqrt(x_qty)) FROM {r}) AS w FROM {r}), "
+
+
+def _wcov(a, b):
+    return f"sum(w * {a} * {b}) - sum(w * {a}) * sum(w * {b})"
+
+
+def _weighted(df):
+    w = F.sqrt("x_qty")
+    return df.withColumn("w", w / F.lit(df.agg(F.sum(w)).first()[0]))
+
+
+@query(
+    "m10_weighted_elastic_net",
+    _recursive("reg_null")
+    + _WEIGHTED.format(r="reg_null")
+    + scaled("w0", FEATURES).replace(f"y AS z{_P} FROM w0", f"y AS z{_P}, w FROM w0")
+    + f", pr AS (SELECT row_number() OVER () AS id, alpha, l1, g, c, f, mz FROM (SELECT {matrix(lambda i, j: _wcov(f'z{i}', f'z{j}'), _P, _P)} AS g, "
+    + f"{vector(lambda i: _wcov(f'z{i}', f'z{_P}'), _P)} AS c, {vector(lambda i: '1.0::DOUBLE', _P)} AS f, {vector(lambda i: f'sum(w * z{i})', _P + 1)} AS mz FROM z), "
+    + f"{_grid('alpha', [0.1, 0.01])}, {_grid('l1', _L1S)}), "
+    + descent(60)
+    + f" SELECT alpha, l1 AS l1_ratio, round(mz[{_P + 1}] - list_inner_product(b, mz[1:{_P}]) - ({' + '.join(f'b[{i + 1}] / s{i} * m{i}' for i in range(_P))}), 6) + 0.0 AS intercept, "
+    + f"{_SLOPES} FROM cd JOIN pr USING (id), sc",
+)
+def _(spark, sf):
+    """Row weights count in the fit; imputation and scaling are without them."""
+    m = lin.Moments.gather(_weighted(reg_null(spark, sf)), [*FEATURES, "y"], weight="w")
+    return _table(spark, lin.in_tasks(spark, _L1S, lambda l1: lin.fit_linear(m, [0.1, 0.01], l1)), FEATURES)
+
+
+_WWIDE = _WIDE[: _P + _D]
+_WWIDE += [f"CASE WHEN dataset = '{d}' THEN z{i} - sum(w * z{i}) OVER d / sum(w) OVER d ELSE 0.0::DOUBLE END" for d in _REGIONS for i in range(_P)]
+
+
+@query(
+    "m08_weighted_data_shared",
+    _recursive("reg")
+    + _WEIGHTED.format(r="reg")
+    + scaled("w0", FEATURES).replace(f"y AS z{_P} FROM w0", f"y AS z{_P}, w FROM w0")
+    + f", v AS MATERIALIZED (SELECT w, z{_P} AS y, {', '.join(f'{x} AS v{i}' for i, x in enumerate(_WWIDE))} FROM z WINDOW d AS (PARTITION BY dataset)), "
+    + f"gs AS MATERIALIZED (SELECT {matrix(lambda i, j: _wcov(f'v{i}', f'v{j}'), _K, _K)} AS g, {vector(lambda i: _wcov(f'v{i}', 'y'), _K)} AS c, "
+    + f"{vector(lambda i: f'sum(w * v{i})', _K)} AS mv, sum(w * y) AS my, {vector(lambda i: f'sqrt(1 / sum(w * w) / sum(v{_P + i})) * sum(w * v{_P + i})', _D)} AS r FROM v), "
+    + "pr AS MATERIALIZED (SELECT row_number() OVER () AS id, ratio, alpha, 1.0::DOUBLE AS l1, g, c, mv, my, "
+    + f"list_concat({vector(lambda i: '1.0::DOUBLE', _P)}, list_concat([e * ratio FOR e IN r], {vector(lambda i: f'r[{i // _P + 1}] * ratio', _D * _P)})) AS f "
+    + f"FROM gs, {_grid('ratio', [0.5, 2.0])}, {_grid('alpha', [0.1, 0.01])}), "
+    + descent(150)
+    + f" SELECT alpha, l1 AS l1_ratio, ratio, round(my - list_inner_product(b, mv) - ({' + '.join(f'b[{i + 1}] / s{i} * m{i}' for i in range(_P))}), 6) + 0.0 AS intercept, "
+    + f"{_SLOPES} FROM cd JOIN pr USING (id), sc",
+)
+def _(spark, sf):
+    df = _weighted(reg(spark, sf))
+    m = lin.Moments.gather(df, [*FEATURES, "y"], weight="w")
+    factors = lin.weighted_penalties(df, "w")
+    fits = lin.in_tasks(spark, (0.5, 2.0), lambda ratio: lin.fit_data_shared(m, ratio, [0.1, 0.01], 1.0, penalties=factors))
+    return _table(spark, fits, FEATURES)
+
+
 def _prior(m):
     prior = lin.fit_linear(m, [0.1], 0.0, [("AFRICA",)])[0]
     return prior, m.scaling([("AFRICA",)])[1][:-1]

@@ -71,12 +71,16 @@ class Block:
 
 @dataclass
 class Moments:
-    """Pairwise-observed moments per environment: counts, sums, cross products."""
+    """Pairwise-observed moments per environment: counts, sums, cross products.
+
+    Weighted moments carry the ``plain`` ones of the same rows, from which means and sds of the preprocessing are taken.
+    """
 
     cols: list[str]
     n: dict[tuple, np.ndarray]
     s: dict[tuple, np.ndarray]
     c: dict[tuple, np.ndarray]
+    plain: Moments | None = None
 
     @classmethod
     def of(cls, rows: pd.DataFrame, cols: Sequence[str], by: Sequence[str]) -> Moments:
@@ -116,9 +120,16 @@ class Moments:
 
     @classmethod
     def gather(cls, df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("dataset",), weight: str | None = None) -> Moments:
-        """One pass over ``df``: long rows of a few columns, packed strips of many."""
+        """Long rows of a few columns, packed strips of many. Row weights count in the fit, not in the preprocessing:
+        with ``weight`` the weighted and the plain moments are gathered, from one copy of the columns."""
         of = env_moments if len(cols) <= MAX_EXPRESSION_COLUMNS else moment_strips
-        return cls.collect(of(df, cols, by, weight), cols, by)
+        if weight is None:
+            return cls.collect(of(df, cols, by), cols, by)
+        held = df.select(*dict.fromkeys([*by, *cols, weight])).persist(StorageLevel.DISK_ONLY)
+        try:
+            return replace(cls.collect(of(held, cols, by, weight), cols, by), plain=cls.collect(of(held, cols, by), cols, by))
+        finally:
+            held.unpersist()
 
     def envs(self) -> list[tuple]:
         return list(self.n)
@@ -126,6 +137,8 @@ class Moments:
     def scaling(self, envs: Iterable[tuple]) -> tuple[np.ndarray, np.ndarray]:
         """Mean and population sd of the imputed columns over the environments (y: 0 and 1)."""
         envs = list(envs)
+        if self.plain is not None:
+            return self.plain.scaling(envs)
         n, s, c = (sum(m[e] for e in envs) for m in (self.n, self.s, self.c))
         seen = np.maximum(np.diag(n), 1e-300)
         mean = np.diag(s) / seen

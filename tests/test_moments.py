@@ -73,3 +73,19 @@ def test_many_columns_and_environments(spark):
     for r in got[::97]:
         rows = np.array([[(i * (2 * k + 3)) % 17 - 8 for k in range(p)] for i in range(r["env"], 4 * n_envs, n_envs)], float)
         assert r["c"] == (rows[:, ::7] ** 2).sum() and r["s"] == rows[:, 3].sum()
+
+
+def test_weights_leave_the_preprocessing_alone(spark):
+    pdf = wide(300, 4).assign(y=lambda d: d["c0"].fillna(0) - d["c1"].fillna(0))
+    cols = ["c0", "c1", "c2", "c3", "y"]
+    df = spark.createDataFrame(pdf)
+    m, plain = Moments.gather(df, cols, ["f"], "w"), Moments.gather(df, cols, ["f"])
+    for a, b in zip(m.scaling(m.envs()), plain.scaling(plain.envs())):
+        np.testing.assert_allclose(a, b)
+    x = pdf[cols[:-1]]
+    z = ((x.fillna(x.mean()) - x.mean()) / x.fillna(x.mean()).std(ddof=0)).to_numpy()
+    w = pdf["w"].to_numpy()
+    blocks = m.blocks(m.envs())
+    total = sum(b.c for b in blocks.values())
+    np.testing.assert_allclose(total[:-1, :-1], (z * w[:, None]).T @ z, atol=1e-8)
+    np.testing.assert_allclose(sum(b.n for b in blocks.values()), w.sum())
