@@ -430,7 +430,8 @@ def _samples_sql(role: str, where: str, seeds: int) -> str:
         f"tr AS MATERIALIZED (SELECT *, ('0x' || substr(md5(CAST(patient_id AS VARCHAR)), 1, 7))::BIGINT % 5 AS fold FROM {role} WHERE {where} AND split = 'train_val'), "
         "rk AS (SELECT patient_id, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(CAST(seed AS VARCHAR) || ':' || CAST(patient_id AS VARCHAR)), patient_id) AS rank "
         f"FROM (SELECT DISTINCT patient_id FROM tr), (SELECT CAST(range AS INTEGER) AS seed FROM range({seeds}))), "
-        f"sm AS MATERIALIZED (SELECT seed, n_target, fold, {cols}, y FROM tr JOIN rk USING (patient_id), (SELECT CAST(unnest({_LC_SIZES}) AS INTEGER) AS n_target) WHERE rank <= n_target), "
+        f"sm AS MATERIALIZED (SELECT seed, n_target, fold, {cols}, y FROM tr JOIN rk USING (patient_id), (SELECT CAST(unnest({_LC_SIZES}) AS INTEGER) AS n_target) "
+        "WHERE rank <= n_target AND n_target <= (SELECT count(DISTINCT patient_id) FROM tr)), "
         # k is the fold left out; -1 leaves out none.
         "sets AS MATERIALIZED (SELECT row_number() OVER () AS sid, * FROM (SELECT DISTINCT seed, n_target, fold AS k FROM sm UNION SELECT DISTINCT seed, n_target, -1 FROM sm)), "
         f"tn AS MATERIALIZED (SELECT sid, {cols}, y FROM sets JOIN sm USING (seed, n_target) WHERE fold <> k)"
