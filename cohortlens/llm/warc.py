@@ -10,6 +10,7 @@ import base64
 import gzip
 import hashlib
 import json
+import math
 import re
 import struct
 import uuid
@@ -29,6 +30,8 @@ from cohortlens.session import pin, scratch_path
 PACKAGE = 256 << 20
 #: Bytes that one read fetches; neighbouring records are read together.
 RANGE = 4 << 20
+#: Most partitions in which ranges are read.
+MOST_PARTS = 20_000
 #: Payloads of fewer bytes are never replaced by a reference.
 LEAST_SHARED = 1000
 
@@ -59,26 +62,49 @@ def _record(kind: str, page: int | None, url: str | None, payload: bytes, digest
     return head.encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _digest(value: str | None, payload: bytes) -> tuple[str | None, bool]:
+    """A digest header (``algorithm:value``, base32 or hex) in hex, and whether the payload has it (or cannot be checked)."""
+    name, _, text = (value or "").strip().partition(":")
+    try:
+        own = hashlib.new(name.replace("-", "").lower(), payload).digest()
+    except (ValueError, TypeError):  # no digest, or one of an unknown kind
+        return (text.lower() or None), True
+    if len(text) == 2 * len(own):
+        given = bytes.fromhex(text)
+    else:
+        given = base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    return given.hex(), given == own
+
+
 def parse_record(data: bytes) -> dict:
-    """Page, url, kind, reference, payload and its size and digest of a WARC record."""
+    """Page, url, kind, reference, payload and its size and digest of a WARC record of any type.
+
+    Names of headers are matched without case. The payload is what follows the HTTP headers, in a record without them
+    the whole block; a revisit has none, and its size is that of its HTTP headers, if they tell it. A digest of another
+    kind than SHA-1 is returned as it is; without one, that of the payload is computed. What a record does not say is null.
+    """
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
+    pairs = (x.partition(":") for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
+    fields = {name.strip().lower(): value.strip(" \t") for name, _, value in pairs}
+    block = rest[: int(fields["content-length"])]
+    http, payload = b"", block
+    if "application/http" in fields.get("content-type", "").lower() or block.startswith(b"HTTP/"):
+        http, _, payload = block.partition(b"\r\n\r\n")
     page = lambda name: int(m[1]) if (m := re.search(r"<urn:page:(-?\d+)>", fields.get(name, ""))) else None
-    digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    kind = fields["WARC-Type"]
-    if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-        raise ValueError(f"payload of {fields['WARC-Record-ID']} does not have its digest")
-    size = len(payload) if kind == "response" else int(re.search(rb"(?i)content-length: *(\d+)", http)[1])
+    kind = fields.get("warc-type")
+    whole = kind != "revisit"
+    digest, right = _digest(fields.get("warc-payload-digest"), payload)
+    if kind in ("response", "resource") and not right:
+        raise ValueError(f"payload of {fields.get('warc-record-id')} does not have its digest")
+    told = re.search(rb"(?i)content-length: *(\d+)", http)
     return {
-        "page_id": page("WARC-Record-ID"),
-        "url": fields["WARC-Target-URI"],
+        "page_id": page("warc-record-id"),
+        "url": fields.get("warc-target-uri"),
         "record_type": kind,
-        "refers_to": page("WARC-Refers-To"),
-        "payload_bytes": size,
-        "payload_digest": digest,
-        "payload": payload if kind == "response" else None,
+        "refers_to": page("warc-refers-to"),
+        "payload_bytes": len(payload) if whole else int(told[1]) if told else None,
+        "payload_digest": digest or (hashlib.sha1(payload).hexdigest() if whole else None),
+        "payload": payload if whole else None,
     }
 
 
@@ -101,8 +127,11 @@ class Package:
         """(name, (local header, size)) of the stored members."""
         base = max(0, self.size - (1 << 16) - 22)
         tail = self._at(base, self.size - base)
+        # The comment at the end may hold the signature: the right one is followed by just that comment.
         end = tail.rfind(END)
-        if end < 0:
+        while end >= 0 and len(tail) - end >= 22 and struct.unpack("<H", tail[end + 20 : end + 22])[0] != len(tail) - end - 22:
+            end = tail.rfind(END, 0, end)
+        if end < 0 or len(tail) - end < 22:
             raise ValueError("no ZIP archive")
         count, size, offset = struct.unpack("<HII", tail[end + 10 : end + 20])
         if count == 0xFFFF or size == 0xFFFFFFFF or offset == 0xFFFFFFFF:
@@ -227,29 +256,37 @@ def read_index(packages: DataFrame) -> DataFrame:
     """(path, offset, size, url, page_id, record_type, digest) of all records of the packages in ``path``.
 
     Only the directories and the index members of the archives are read. ``offset`` counts from the start of the
-    package, so a record can be fetched by it alone.
+    package, so a record can be fetched by it alone. A package may hold several WARC members and several indexes
+    (``indexes/*.cdxj``); a line of an index, whose JSON may follow a key and a time, names its member as ``filename``. What a
+    line does not tell is null; a line whose member is missing or not stored is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in (p for b in batches for p in b.column("path").to_pylist()):
             package = Package(path)
-            base, _ = package.locate("archive/data.warc.gz")
-            lines = package.read(*package.locate("indexes/index.cdxj")).splitlines()
+            for index in sorted(n for n in package.members if n.startswith("indexes/") and n.endswith(".cdxj")):
+                lines = [x for x in package.read(*package.locate(index)).splitlines() if b"{" in x]
+                bases: dict[str, int] = {}
+                for k in range(0, len(lines), 10_000):
+                    x = [json.loads(line[line.index(b"{") :]) for line in lines[k : k + 10_000]]
+                    for name in {r.get("filename", "data.warc.gz") for r in x} - bases.keys():
+                        member = name if name in package.members else f"archive/{name}"
+                        if member not in package.members:
+                            raise ValueError(f"{path} has no stored member {name}")
+                        bases[name] = package.locate(member)[0]
+                    yield pa.record_batch(
+                        [
+                            pa.array([path] * len(x)),
+                            pa.array([bases[r.get("filename", "data.warc.gz")] + int(r["offset"]) for r in x]),
+                            pa.array([int(r["length"]) for r in x]),
+                            pa.array([r.get("url") for r in x], pa.string()),
+                            pa.array([r.get("page") if isinstance(r.get("page"), int) else None for r in x], pa.int64()),
+                            pa.array([r.get("type") for r in x], pa.string()),
+                            pa.array([(r.get("digest") or "").removeprefix("sha1:") or None for r in x], pa.string()),
+                        ],
+                        names=["path", "offset", "size", "url", "page_id", "record_type", "digest"],
+                    )
             package.close()
-            for k in range(0, len(lines), 10_000):
-                x = [json.loads(line) for line in lines[k : k + 10_000]]
-                yield pa.record_batch(
-                    [
-                        pa.array([path] * len(x)),
-                        pa.array([base + int(r["offset"]) for r in x]),
-                        pa.array([int(r["length"]) for r in x]),
-                        pa.array([r["url"] for r in x]),
-                        pa.array([r["page"] for r in x], pa.int64()),
-                        pa.array([r["type"] for r in x]),
-                        pa.array([r["digest"].removeprefix("sha1:") for r in x]),
-                    ],
-                    names=["path", "offset", "size", "url", "page_id", "record_type", "digest"],
-                )
 
     schema = "path string, offset bigint, size bigint, url string, page_id bigint, record_type string, digest string"
     return packages.select("path").repartition(max(1, min(packages.count(), 4096))).mapInArrow(run, schema)
@@ -295,8 +332,12 @@ def read_records(index: DataFrame, fields: tuple[str, ...] = tuple(FIELDS), span
         if package:
             package.close()
 
-    part = F.floor(F.col("offset") / (4 * span)).alias("part")
-    dealt = index.select("path", "offset", "size", part).repartition("path", "part").sortWithinPartitions("path", "offset")
+    places = pin(index.select("path", "offset", "size"))
+    total = places.agg(F.sum("size")).first()[0] or 0
+    # The rows are small, the ranges they stand for are not: partitions by the bytes to read.
+    parts = max(1, min(math.ceil(total / span), MOST_PARTS))
+    part = F.floor(F.col("offset") / span).alias("part")
+    dealt = places.select("path", "offset", "size", part).repartition(parts, "path", "part").sortWithinPartitions("path", "offset")
     return dealt.select("path", "offset", "size").mapInArrow(run, ", ".join(f"{f} {FIELDS[f]}" for f in fields))
 
 

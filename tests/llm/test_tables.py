@@ -1,12 +1,15 @@
 """WARC packages, chat views, shards, the quality classifier and the pipeline."""
 
+import base64
 import gzip
 import hashlib
+import json
 import zipfile
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortlens.llm import chat, quality, sharding, warc
@@ -70,6 +73,53 @@ def test_packages_are_zip_archives(spark, tmp_path):
         warc.parse_record(record.replace(b"hello", b"jello"))
 
 
+def _foreign(lines, block):
+    return "\r\n".join(["WARC/1.0", *lines, f"content-length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def test_records_of_other_archives(spark, tmp_path):
+    body = b"<p>hello</p>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 12\r\n\r\n"
+    sha256 = hashlib.sha256(body).hexdigest()
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    records = [
+        (_foreign(["WARC-Type: warcinfo", "Content-Type: application/warc-fields"], b"software: x"), ("warcinfo", None, 11, hashlib.sha1(b"software: x").hexdigest())),
+        (_foreign(["warc-type:response", "WARC-TARGET-URI: http://a", f"Warc-Payload-Digest: SHA1:{sha1.lower()}", "Content-Type: application/http; msgtype=response"], http + body), ("response", "http://a", 12, hashlib.sha1(body).hexdigest())),
+        (_foreign(["WARC-Type: response", "WARC-Target-URI: http://b", f"WARC-Payload-Digest: sha-256:{sha256}"], http + body), ("response", "http://b", 12, sha256)),
+        (_foreign(["WARC-Type: request", "WARC-Target-URI: http://a", "Content-Type: application/http"], b"GET / HTTP/1.1\r\n\r\n"), ("request", "http://a", 0, hashlib.sha1(b"").hexdigest())),
+        (_foreign(["WARC-Type: metadata", "WARC-Payload-Digest: odd:ABC"], b"k: v"), ("metadata", None, 4, "abc")),
+        (_foreign(["WARC-Type: revisit", "WARC-Target-URI: http://a"], b""), ("revisit", "http://a", None, None)),
+    ]
+    path = f"{tmp_path}/other.wacz"
+    members, indexes = {"one.warc.gz": b"", "two.warc.gz": b""}, {"a.cdxj": [], "b.cdxj": []}
+    for k, (data, _) in enumerate(records):
+        name = "one.warc.gz" if k % 2 else "two.warc.gz"
+        packed = gzip.compress(data)
+        line = json.dumps({"offset": str(len(members[name])), "length": len(packed), "filename": name, "page": "x"})
+        indexes["a.cdxj" if k < 3 else "b.cdxj"].append(f"com,a)/ 2020 {line}" if k % 3 else line)
+        members[name] += packed
+    with zipfile.ZipFile(path, "w") as z:
+        for name, data in members.items():
+            z.writestr(f"archive/{name}", data)
+        for name, lines in indexes.items():
+            z.writestr(f"indexes/{name}", "\n".join([*lines, ""]))
+        z.writestr("archive/unused.warc.gz", b"\0" * 50)
+        z.comment = b"see " + warc.END + b" and more " * 9
+    index = warc.read_index(spark.createDataFrame([(path, 1)], "path string, records bigint"))
+    got = {(r["record_type"], r["url"], r["payload_bytes"], r["payload_digest"]) for r in warc.read_records(index).collect()}
+    assert got == {want for _, want in records}
+    with pytest.raises(ValueError, match="digest"):
+        warc.parse_record(records[2][0].replace(b"hello", b"jello"))
+
+
+def test_ranges_are_read_in_many_tasks(spark):
+    df = spark.range(0, 400).selectExpr("id AS page_id", "'u' AS url", "repeat(md5(string(id)), 40) AS html")
+    index = warc.read_index(warc.write_archives(df, warc.new_folder(spark)))
+    records = warc.read_records(index, ("page_id", "payload_bytes"), span=2000)
+    tasks = {r["p"] for r in records.select(F.spark_partition_id().alias("p")).collect()}
+    assert len(tasks) > 10 and records.count() == 400
+
+
 def test_perspectives(spark):
     rows = [
         (1, 0, "system", "be kind", 0), (1, 1, "ann", "hi", 0), (1, 2, "bob", None, 0), (1, 3, None, "?", 0), (1, 4, " ", "!", 0), (1, 4, " ", "!", 0),
