@@ -24,6 +24,8 @@ from cohortlens.llm.common import only, slices
 WINDOW = 13
 #: Tokens of a window that must not be placeholders.
 LITERAL = 7
+#: Tokens from which an item is a passage; a shorter one is found only in texts that hold nothing else.
+LEAST = 3
 #: Windows of the benchmark that a task holds at a time; more are looked up in turns over the documents.
 TURN_WINDOWS = 1_000_000
 #: Words a Python worker keeps.
@@ -213,9 +215,9 @@ class Found(NamedTuple):
 class Index:
     """Windows of some benchmark items, sorted by hash."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int, literal: int):
+    def __init__(self, items: list[tuple[int, str | None]], window: int, literal: int, least: int = LEAST):
         read = Reader()
-        self.window, self.literal = window, literal
+        self.window, self.literal, self.least = window, literal, least
         self.ids = [i for i, _ in items]
         self.templates = [read(t) for _, t in items]
         parts = [_windows(t, window, literal) for t in self.templates]
@@ -235,7 +237,7 @@ class Index:
     def search(self, doc: Template) -> list[Found]:
         hits: dict[tuple[int, int], dict[int, dict[int, int]]] = {}
         for width in [self.window, *self.short]:
-            if len(doc.shape) < width or not len(self.key):
+            if len(doc.shape) < width or (width < self.least and len(doc.shape) > width) or not len(self.key):
                 continue
             found = _windows(doc, self.window, self.literal) if width == self.window else _short(doc, width, self.window, self.literal)
             maybe = np.flatnonzero(self.there[found.key >> self.shift])
@@ -300,6 +302,7 @@ def contaminated(
     window: int = WINDOW,
     literal: int = LITERAL,
     turn: int = TURN_WINDOWS,
+    least: int = LEAST,
 ) -> DataFrame:
     """(id, item_id, windows, share, exact): what each document holds of each benchmark item.
 
@@ -309,21 +312,22 @@ def contaminated(
     documents give repeated rows. A window needs ``literal`` of its ``window`` tokens outside placeholders (in
     proportion for items shorter than a window) and is lengthened until it has them. A second set of windows takes names as
     words without case, so that copies in other case are found; where those are too poor in words as well, the values
-    themselves are looked up. So every item with a token is found where it is copied. The benchmark goes to the tasks in blocks of at most ``turn`` words, one
+    themselves are looked up. So every item of ``least`` tokens or more is found where it
+    is copied; one of fewer tokens is a word that any text may hold, and is found only in texts that hold nothing else. The benchmark goes to the tasks in blocks of at most ``turn`` words, one
     pass over the documents for each, so no table of unknown size is broadcast.
     """
     rows = only(docs, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), "text")
     schema = "id bigint, item_id bigint, windows bigint, share double, exact boolean"
     out = None
     for block in _turns(only(items, id=item_id_col, text=item_text_col), turn):
-        found = rows.mapInArrow(_searcher(block, window, literal), schema)
+        found = rows.mapInArrow(_searcher(block, window, literal, least), schema)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _searcher(block: list[tuple[int, str | None]], window: int, literal: int):
+def _searcher(block: list[tuple[int, str | None]], window: int, literal: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, read = Index(block, window, literal), Reader()
+        index, read = Index(block, window, literal, least), Reader()
         for b in slices(batches, "text"):
             hits = []
             for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -338,13 +342,13 @@ def _searcher(block: list[tuple[int, str | None]], window: int, literal: int):
     return run
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, literal: int = LITERAL, turn: int = TURN_WINDOWS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no passage of a benchmark item."""
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, literal: int = LITERAL, turn: int = TURN_WINDOWS, least: int = LEAST) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no passage of a benchmark item (see ``contaminated``)."""
     out = docs
     for block in _turns(only(items, id=item_id_col, text=item_text_col), turn):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index, read = Index(block, window, literal), Reader()
+            index, read = Index(block, window, literal, least), Reader()
             for b in slices(batches, text_col):
                 yield b.filter(pa.array([not index.search(read(t)) for t in b.column(text_col).to_pylist()], pa.bool_()))
 

@@ -257,6 +257,17 @@ def test_every_item_is_found_in_any_case(text, change):
         assert [(f.item, f.share, f.exact) for f in got] == [(1, 1.0, True)]
 
 
+def test_words_are_no_passages(spark):
+    """Items of one or two tokens are found only in texts that are nothing else."""
+    items = spark.createDataFrame([(1, "yes"), (2, "12"), (3, "Paris"), (4, "the answer"), (5, "well yes he")], "item_id bigint, text string")
+    texts = ["well, yes he said there were 12 of them in Paris", "Yes.", "13", "the answer", "the answer is here", "yes yes"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r["id"], r["item_id"]) for r in contamination.contaminated(docs, items).collect()}
+    assert {(0, 5), (1, 1), (3, 4)} <= got and {k for k, _ in got} <= {0, 1, 2, 3}
+    assert {r["doc_id"] for r in contamination.keep_clean(docs, items).collect()} >= {4, 5}
+    assert {k for k, i in ((r["id"], r["item_id"]) for r in contamination.contaminated(docs, items, least=1).collect()) if i == 1} == {0, 1, 5}
+
+
 def test_changed_values_below_the_literal_floor():
     read = contamination.Reader()
     index = contamination.Index([(1, POOR[0])], 13, 7)
