@@ -9,6 +9,7 @@ from ..operators import linear as lin
 from ..operators import metrics as me
 from ..operators import sampling as sa
 from ..plans import learning
+from ..session import pin
 from .descent_sql import descent, matrix, scaled, vector
 from .registry import query
 from .roles import BINARY_MODELS, FEATURES, ROW_ID, binary, r6, reg, reg_null, results, scored, scored_binary, with_roles
@@ -128,7 +129,7 @@ def _(spark, sf):
     f"{_q('loss', me.LOSS_Q, 'log_loss_quantile_{q}')} FROM l GROUP BY {_G}",
 )
 def _(spark, sf):
-    src = scored_binary(spark, sf)
+    src = pin(scored_binary(spark, sf).select(*_BY, "y", "yhat"))
     out = me.binary_losses(src, _BY).select(*_BY, "log_loss").join(me.log_loss_quantiles(src, _BY), _BY)
     return _round_all(out, _BY)
 
@@ -186,6 +187,7 @@ def _(spark, sf):
         ["flag", "y"],
         link="logit",
     )
+    flagged = pin(flagged)
     by = ["model", "flag"]
     out = (
         flagged.groupBy(*by)

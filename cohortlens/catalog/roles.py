@@ -81,13 +81,14 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reg(spark: SparkSession, sf: str) -> DataFrame:
-    """Regression rows: log price of a line item, four features, anchors, split."""
+    """Regression rows: log price of a line item, four features, anchors, split.
+
+    Orders find their place first, so that the lines are shuffled once.
+    """
     lines = table(spark, sf, "lineitem")
-    orders = table(spark, sf, "orders")
+    orders = table(spark, sf, "orders").join(places(spark, sf), F.col("o_custkey") == F.col("c_custkey"))
     rows = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(places(spark, sf), F.col("o_custkey") == F.col("c_custkey"))
-        .select(
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.col("r_name").alias("dataset"),
             F.col("o_custkey").alias("patient_id"),
             F.col("l_orderkey").alias("stay_id"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.bounded import lookup
 from ..functions.columns import dot, logistic
 from ..functions.joins import join_groups
+from ..session import stored
 from .order_stats import HOT_ROWS, quantiles, running_totals
 
 # Quantile levels and clipping of probabilities.
@@ -81,6 +82,11 @@ def _with_clip(df: DataFrame, by: Sequence[str], yhat: str = "yhat") -> DataFram
     )
 
 
+def _scores(df: DataFrame, by: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
+    """The columns that metrics read, written once: the clipping rule and the metric each pass over them."""
+    return df if "_yhat" in df.columns else stored(df, [*by, *also, "y", "yhat"])
+
+
 def _unit(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(CLIP)), F.lit(1 - CLIP))
 
@@ -103,8 +109,8 @@ def residual_metrics(
     df: DataFrame, by: Sequence[str], binary: bool = False, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Residual quantiles and mean, residual = y - yhat."""
-    src = _with_clip(df, by) if binary else df.withColumn("_yhat", F.col("yhat"))
-    r = {"r": F.col("y") - F.col("_yhat")}
+    src = _with_clip(_scores(df, by), by) if binary else df
+    r = {"r": F.col("y") - F.col("_yhat" if binary else "yhat")}
     mean = {"mean_residual": F.avg("r")}
     q = quantiles(src, by, r, RESIDUAL_Q, hot_rows=hot_rows, extra=mean)
     return _spread(q, [*by, "mean_residual"], {"r": (RESIDUAL_Q, "quantile_{q}")})
@@ -128,7 +134,7 @@ def absolute_quantiles(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROW
 
 def binary_losses(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """accuracy, log loss and Brier score; null where only one class is present."""
-    src = _with_clip(df, by)
+    src = _with_clip(_scores(df, by), by)
     y, p = F.col("y"), F.col("_yhat")
     both = F.min("y") < F.max("y")
     hit = ((p >= 0.5) == (y == 1)).cast("double")
@@ -140,7 +146,7 @@ def binary_losses(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def log_loss_quantiles(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    src = _with_clip(df, by)
+    src = _with_clip(_scores(df, by), by)
     q = quantiles(
         src, by, {"l": log_loss(F.col("y"), F.col("_yhat"))}, LOSS_Q, hot_rows=hot_rows
     )
@@ -153,7 +159,7 @@ def rank_metrics(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) ->
     Both come from one pass over distinct scores in falling order. A group with a single
     class gets nulls.
     """
-    src = _with_clip(df, by).select(*by, _unit(F.col("_yhat")).alias("_s"), "y")
+    src = _with_clip(_scores(df, by), by).select(*by, _unit(F.col("_yhat")).alias("_s"), "y")
     falling = src.withColumn("_s", -F.col("_s"))
     pos = F.count(F.when(F.col("y") == 1, 1))
     neg = F.count(F.when(F.col("y") != 1, 1))
@@ -205,7 +211,7 @@ def projected_metrics(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Mean and quantiles of the squared residual projection on the anchor groups."""
-    src = _with_clip(df, by) if binary else df.withColumn("_yhat", F.col("yhat"))
+    src = _with_clip(_scores(df, by, group), by) if binary else df.withColumn("_yhat", F.col("yhat"))
     q = _projected(src, by, group, F.col("y") - F.col("_yhat"), hot_rows, True)
     q = q.withColumnRenamed("_mean", "proj_residuals_sq")
     return _spread(q, [*by, "proj_residuals_sq"], {"p": (PROJECTED_Q, "proj_residuals_sq_quantile_{q}")})
@@ -215,7 +221,7 @@ def projected_log_loss(
     df: DataFrame, by: Sequence[str], group: Sequence[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Mean and quantiles of the log-loss projection on the anchor groups."""
-    src = _with_clip(df, by)
+    src = _with_clip(_scores(df, by, group), by)
     q = _projected(src, by, group, log_loss(F.col("y"), F.col("_yhat")), hot_rows, False)
     q = q.withColumnRenamed("_mean", "proj_logloss")
     return _spread(q, [*by, "proj_logloss"], {"p": (PROJECTED_Q, "proj_logloss_quantile_{q}")})
@@ -230,8 +236,9 @@ def all_metrics(
 ) -> DataFrame:
     """Every metric of the task, one wide row per group.
 
-    Quantiles and means share one pass; rank metrics and projections take one more each.
+    Quantiles and means share one pass; rank metrics and projections take one more each, over scores written once.
     """
+    df = _scores(df, by, group or ())
     if task == "binary":
         df = _with_clip(df, by)
         parts = [_binary_pass(df, by, hot_rows), rank_metrics(df, by, hot_rows)]

@@ -1,13 +1,15 @@
 """Exact order statistics per group that do not depend on a group fitting one task.
 
-Groups up to ``hot_rows`` rows are sorted by one window, which can spill. A larger group is
-cut into value buckets at sketched split points. The split points only balance the work:
-bucket counts are exact, so the result is exact whatever the sketch says.
-They are pinned to storage, because a sketch computed twice need not be the same twice.
+Rows are written to storage once, since every method passes over them more than once. Groups up to
+``hot_rows`` rows are sorted by one window, which can spill. For quantiles of a larger group the values are
+counted in bins of equal width; only the bins that hold a wanted rank are looked at again, in narrower bins,
+until they are small enough to be ordered. Running totals of a larger group are taken in ranges of values.
+Bins and ranges only balance the work: their counts are exact, so the result is exact wherever they are cut.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -16,47 +18,16 @@ from pyspark.sql import functions as F
 
 from ..functions.bounded import lookup
 from ..functions.joins import join_groups
-from ..session import pin
+from ..session import pin, pinned
 
 #: Largest group handled inside one task.
 HOT_ROWS = 4_000_000
-#: Split points of a hot group: SIDE coarse steps of SIDE fine steps.
-SIDE = 64
-#: Most hot groups whose split points are broadcast.
-MAX_BROADCAST_HOT = 1_000
-
-
-def _splits(values: Column) -> Column:
-    n = SIDE * SIDE
-    probs = [i / n for i in range(1, n)]
-    return F.percentile_approx(values, probs, 10 * n)
-
-
-def _bucket(value: Column, splits: Column) -> Column:
-    """Number of split points not above ``value``: coarse step first, then the fine ones."""
-    coarse = F.transform(F.sequence(F.lit(1), F.lit(SIDE - 1)), lambda i: F.element_at(splits, i * SIDE))
-    step = F.size(F.filter(coarse, lambda s: s <= value))
-    start = F.greatest(step * SIDE, F.lit(1))
-    fine = F.slice(splits, start, F.lit(SIDE))
-    found = F.size(F.filter(fine, lambda s: s <= value))
-    return F.when(splits.isNull(), 0).otherwise(start - 1 + found)
-
-
-def _hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """Keys of groups above the bound, or None when there is none (the usual case)."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows)
-    hot = sizes.select(*keys)
-    return None if hot.isEmpty() else hot
-
-
-def _with_bucket(df: DataFrame, keys: Sequence[str], value: str, hot: DataFrame, how: str) -> DataFrame:
-    splits = pin(
-        join_groups(df, hot, keys, "left_semi").groupBy(*keys).agg(_splits(F.col(value)).alias("_splits"))
-    )
-    if splits.count() <= MAX_BROADCAST_HOT:
-        splits = F.broadcast(splits)
-    joined = join_groups(df, splits, keys, how)
-    return joined.withColumn("_bucket", _bucket(F.col(value), F.col("_splits"))).drop("_splits")
+#: Bins between the ends of a bracket, and rounds of narrowing after which brackets are ordered as they are.
+BINS = 1024
+ROUNDS = 10
+#: Rows of a range of running totals, about, and most ranges.
+RANGE_ROWS = 1_000_000
+MOST_RANGES = 4_096
 
 
 def running_totals(
@@ -71,74 +42,95 @@ def running_totals(
     Rows are reduced to distinct values before anything is ordered. Columns out: keys,
     value, each sum ``s`` and ``cum_s``.
     """
-    d = df.groupBy(*keys, value).agg(*[c.alias(s) for s, c in sums.items()])
-    hot = _hot_groups(df, keys, hot_rows)
-    if hot is None:
+    d = pin(df.groupBy(*keys, value).agg(*[c.alias(s) for s, c in sums.items()]))
+    sizes = d.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    most, rows = sizes.agg(F.max("_rows"), F.sum("_rows")).first()
+    if most is None or most <= hot_rows:
         w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         return d.withColumns({f"cum_{s}": F.sum(s).over(w) for s in sums})
-    b = _with_bucket(d, keys, value, hot, "left")
-    # At most SIDE * SIDE buckets per group, so this window is small for any group.
-    across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # Written down, since ranges cut twice need not be the same twice.
+    ranges = min(MOST_RANGES, max(2, math.ceil(rows / min(hot_rows, RANGE_ROWS))))
+    cut = d.repartitionByRange(ranges, *[f"`{c}`" for c in (*keys, value)])
+    b = pin(cut.withColumn("_range", F.spark_partition_id()))
+    # At most MOST_RANGES ranges per group, so this window is small for any group.
+    across = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        b.groupBy(*keys, "_bucket")
+        b.groupBy(*keys, "_range")
         .agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
         .select(
             *keys,
-            "_bucket",
+            "_range",
             *[F.coalesce(F.sum(f"_t_{s}").over(across), F.lit(0)).alias(f"_o_{s}") for s in sums],
         )
     )
-    within = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     inner = b.withColumns({f"_w_{s}": F.sum(s).over(within) for s in sums})
-    return join_groups(inner, offsets, [*keys, "_bucket"]).select(
+    return join_groups(inner, offsets, [*keys, "_range"]).select(
         *keys, value, *sums, *[(F.col(f"_w_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums]
     )
 
 
+def _long(base: DataFrame, keys: Sequence[str], per: Mapping[str, list[float]]) -> DataFrame:
+    """(keys, _weight, _q, _v): one row for every value that is not null, ``_q`` its place in ``per``."""
+    fields = ", ".join(f"named_struct('_q', {i}, '_v', `{o}`)" for i, o in enumerate(per))
+    return base.select(*keys, "_weight", F.expr(f"inline(array({fields}))")).where("_v is not null")
+
+
+def _ranks(per: Mapping[str, list[float]]) -> list[tuple[int, int, str, str]]:
+    """(place of the value, place of the level, end, rank as an expression of ``_n``)."""
+    ends = (("lo", "floor"), ("hi", "ceil"))
+    return [(i, k, end, f"{f}((_n - 1) * {p!r}D)") for i, ps in enumerate(per.values()) for k, p in enumerate(ps) for end, f in ends]
+
+
 def _hot_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str, hot: DataFrame
+    base: DataFrame, sizes: DataFrame, keys: Sequence[str], per: Mapping[str, list[float]], hot_rows: int
 ) -> DataFrame:
-    """Rank selection: count per bucket, keep only buckets holding a wanted rank, order those."""
-    b = _with_bucket(df, keys, value, hot, "inner")
-    across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy(*keys)
-    sizes = (
-        b.groupBy(*keys, "_bucket")
-        .agg(F.sum("_weight").alias("_m"))
-        .withColumns(
-            {
-                "_before": F.coalesce(F.sum("_m").over(across), F.lit(0)),
-                "_n": F.sum("_m").over(total),
-            }
-        )
-    )
-    n = F.col("_n")
-    pos = [(n - 1) * F.lit(float(p)) for p in probs]
-    wanted = F.array(*[f(h).cast("long") for h in pos for f in (F.floor, F.ceil)])
-    holds = F.exists(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_m")))
-    kept = sizes.where(holds).select(*keys, "_bucket", "_before", "_n")
-
-    vals = (
-        join_groups(b, kept, [*keys, "_bucket"])
-        .groupBy(*keys, "_bucket", "_before", "_n", value)
-        .agg(F.sum("_weight").alias("_c"))
-    )
-    within = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = vals.withColumn("_to", F.col("_before") + F.sum("_c").over(within))
-    ranked = ranked.withColumn("_from", F.col("_to") - F.col("_c"))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col(value)))
+    """Rank selection in brackets of values: (keys, _q, _n, _from, _to, _v) of the values at the wanted ranks.
 
-    picks = []
-    for i, h in enumerate(pos):
-        picks += [at(F.floor(h)).alias(f"_lo{i}"), at(F.ceil(h)).alias(f"_hi{i}")]
-    picked = ranked.groupBy(*keys, "_n").agg(*picks)
-    q = [
-        F.col(f"_lo{i}") + (h - F.floor(h)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
-        for i, h in enumerate(pos)
-    ]
-    return picked.select(*keys, F.array(*q).alias(out))
+    A bracket holds the values from ``_lo`` to ``_hi``, both of which occur; ``_before`` values are smaller. Not
+    finite values have bins of their own.
+    """
+    ends = ", ".join(f"named_struct('_q', {i}, '_n', _n{i}, '_lo', _lo{i}, '_hi', _hi{i})" for i in range(len(per)))
+    open_ = lookup(sizes.select(*keys, F.expr(f"inline(array({ends}))")).withColumn("_before", F.lit(0).cast("long")))
+    at = [*keys, "_q"]
+    # Halves, so that a width is finite where its ends are.
+    place = f"((_v / 2 - _lo / 2) / (_hi / 2 - _lo / 2)) * {BINS}"
+    bin_ = F.expr(
+        f"CASE WHEN isnan(_v) THEN {BINS + 1} WHEN _v = double('Infinity') THEN {BINS} WHEN _v = double('-Infinity') THEN -1 "
+        f"WHEN _hi / 2 <= _lo / 2 THEN 0 ELSE cast(least({BINS - 1}D, floor({place})) AS int) END"
+    )
+    holds = " OR ".join(f"(_q = {i} AND {r} >= _before AND {r} < _before + _m)" for i, _, _, r in _ranks(per))
+    before = Window.partitionBy(*at, "_start").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    rows = join_groups(_long(base, keys, per), open_, at).withColumnRenamed("_before", "_start")
+    done = []
+    for turn in range(ROUNDS):
+        rows = rows.withColumn("_bin", bin_)
+        counts = rows.groupBy(*at, "_n", "_start", "_bin").agg(
+            F.sum("_weight").alias("_m"), F.count("*").alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        )
+        counts = counts.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_m").over(before), F.lit(0)))
+        found = pin(counts.where(holds))
+        one = found.where("_lo = _hi")
+        done.append(one.select(*at, "_n", F.col("_before").alias("_from"), (F.col("_before") + F.col("_m")).alias("_to"), F.col("_lo").alias("_v")))
+        wide = found.where("_lo < _hi")
+        # Ends that are next to each other leave few distinct values, which need no narrowing.
+        largest = wide.where("_hi / 2 > _lo / 2").agg(F.max("_rows")).first()[0]
+        if largest is None and wide.isEmpty():
+            return _union(done)
+        wide = lookup(wide.select(*at, "_start", "_bin", "_before", "_lo", "_hi"))
+        kept = join_groups(rows.drop("_lo", "_hi"), wide, [*at, "_start", "_bin"])
+        rows = pin(kept.drop("_start", "_bin").withColumnRenamed("_before", "_start"))
+        if largest is None or largest <= hot_rows:
+            break
+    values = rows.groupBy(*at, "_n", "_start", "_v").agg(F.sum("_weight").alias("_c"))
+    within = Window.partitionBy(*at, "_start").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumn("_to", F.col("_start") + F.sum("_c").over(within))
+    done.append(ranked.select(*at, "_n", (F.col("_to") - F.col("_c")).alias("_from"), "_to", "_v"))
+    return _union(done)
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def quantiles(
@@ -156,36 +148,36 @@ def quantiles(
     ``weight`` is an integer number of copies per row. Nulls are left out. ``extra`` are
     plain aggregates over the value columns and the ``carry`` columns, taken in the same pass.
     """
-    per = {o: list(probs[o] if isinstance(probs, Mapping) else probs) for o in values}
+    per = {o: [float(p) for p in (probs[o] if isinstance(probs, Mapping) else probs)] for o in values}
     base = df.select(
         *keys,
         *[c.cast("double").alias(o) for o, c in values.items()],
         *[c.alias(n) for n, c in (carry or {}).items()],
         (F.lit(1) if weight is None else weight).cast("long").alias("_weight"),
     )
+    if not pinned(df):
+        base = pin(base)
+    finite = {o: F.when(F.abs(F.col(o)) < float("inf"), F.col(o)) for o in per}
     sizes = lookup(
         base.groupBy(*keys).agg(
             F.count("*").alias("_rows"),
             *[F.sum(F.when(F.col(o).isNotNull(), F.col("_weight"))).alias(f"_n{i}") for i, o in enumerate(per)],
+            *[f(finite[o]).alias(f"{end}{i}") for i, o in enumerate(per) for end, f in (("_lo", F.min), ("_hi", F.max))],
             *[c.alias(n) for n, c in (extra or {}).items()],
         )
     )
-    hot = sizes.where(F.col("_rows") > hot_rows).select(*keys)
+    hot = sizes.where(F.col("_rows") > hot_rows)
     if hot.isEmpty():
-        picked = _sorted_quantiles(base, sizes, keys, per, weight is not None)
+        ranked = _sorted_ranks(base, sizes, keys, per, weight is not None)
     else:
-        hot = pin(hot)
-        small = join_groups(base, hot, keys, "left_anti")
-        picked = _sorted_quantiles(small, sizes, keys, per, weight is not None)
-        parts = [
-            _hot_quantiles(base.where(F.col(o).isNotNull()), keys, o, ps, o, hot) for o, ps in per.items()
-        ]
-        large = reduce(lambda a, b: join_groups(a, b, keys, "full"), parts)
-        picked = picked.unionByName(large.select(*picked.columns))
-    return join_groups(sizes.select(*keys, *(extra or {})), picked, keys, "left")
-
-
-def _sorted_quantiles(
+        hot = lookup(hot)
+        small = join_groups(base, hot.select(*keys), keys, "left_anti")
+        ranked = _sorted_ranks(small, sizes, keys, per, weight is not None)
+        ranked = ranked.unionByName(_hot_quantiles(base, hot, keys, per, hot_rows))
+    return join_groups(sizes.select(*keys, *(extra or {})), _interpolated(ranked, keys, per), keys, "left")
+
+
+def _sorted_ranks(
     base: DataFrame, sizes: DataFrame, keys: Sequence[str], per: Mapping[str, list[float]], weighted: bool
 ) -> DataFrame:
     """Sort each group once and keep the rows at the wanted ranks.
@@ -193,29 +185,27 @@ def _sorted_quantiles(
     Unlike a hash of all values, the sort can spill; the group sizes are known before, so
     rows are dropped while they stream by.
     """
-    fields = ", ".join(f"named_struct('_q', {i}, '_v', `{o}`)" for i, o in enumerate(per))
-    long = base.select(*keys, "_weight", F.expr(f"inline(array({fields}))")).where("_v is not null")
     order = Window.partitionBy(*keys, "_q").orderBy("_v")
     if weighted:
         upto = F.sum("_weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
     else:
         upto = F.row_number().over(order).cast("long")
     counts = sizes.select(*keys, *[f"_n{i}" for i in range(len(per))])
-    ranked = join_groups(long.withColumn("_to", upto), counts, keys)
-    hits: dict[str, str] = {}
-    for i, ps in enumerate(per.values()):
-        for k, p in enumerate(ps):
-            for end, f in (("lo", "floor"), ("hi", "ceil")):
-                rank = f"{f}((_n{i} - 1) * {float(p)!r}D)"
-                hits[f"{end}_{i}_{k}"] = f"_q = {i} AND _to - _weight <= {rank} AND {rank} < _to"
-    kept = ranked.where(F.expr(" OR ".join(f"({h})" for h in hits.values())))
-    sizes_of = [f"_n{i}" for i in range(len(per))]
-    picked = kept.groupBy(*keys, *sizes_of).agg(
-        *[F.expr(f"max(CASE WHEN {h} THEN _v END)").alias(n) for n, h in hits.items()]
-    )
+    n = "element_at(array(" + ", ".join(f"_n{i}" for i in range(len(per))) + "), _q + 1)"
+    ranked = join_groups(_long(base, keys, per).withColumn("_to", upto), counts, keys).withColumn("_n", F.expr(n))
+    hits = [f"(_q = {i} AND _to - _weight <= {r} AND {r} < _to)" for i, _, _, r in _ranks(per)]
+    kept = ranked.where(" OR ".join(hits))
+    return kept.select(*keys, "_q", "_n", (F.col("_to") - F.col("_weight")).alias("_from"), "_to", "_v")
+
+
+def _interpolated(ranked: DataFrame, keys: Sequence[str], per: Mapping[str, list[float]]) -> DataFrame:
+    """Array columns of the quantiles from the values at the wanted ranks."""
+    ends = [F.expr(f"max(CASE WHEN _q = {i} AND _from <= {r} AND {r} < _to THEN _v END)").alias(f"{e}_{i}_{k}") for i, k, e, r in _ranks(per)]
+    counts = [F.expr(f"max(CASE WHEN _q = {i} THEN _n END)").alias(f"_n{i}") for i in range(len(per))]
+    picked = ranked.groupBy(*keys).agg(*counts, *ends)
     arrays = []
     for i, (o, ps) in enumerate(per.items()):
-        h = [f"((_n{i} - 1) * {float(p)!r}D)" for p in ps]
+        h = [f"((_n{i} - 1) * {p!r}D)" for p in ps]
         items = [f"lo_{i}_{k} + ({x} - floor({x})) * (hi_{i}_{k} - lo_{i}_{k})" for k, x in enumerate(h)]
         arrays.append(F.expr(f"CASE WHEN _n{i} > 0 THEN array({', '.join(items)}) END").alias(o))
     return picked.select(*keys, *arrays)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,7 +56,19 @@ def pin(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._pinned = True
+    return table
+
+
+def pinned(df: DataFrame) -> bool:
+    """Whether ``df`` is a table as ``pin`` gave it, so that a further pass only reads it."""
+    return bool(vars(df).get("_pinned"))
+
+
+def stored(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` itself where ``pin`` gave it, else its ``columns`` pinned: several passes then share one run of its plan."""
+    return df if pinned(df) else pin(df.select(*dict.fromkeys(columns)))
 
 
 def discard(df: DataFrame) -> None:
