@@ -8,7 +8,7 @@ from ..operators import anchors as a
 from ..operators import features as f
 from ..operators import preprocess as p
 from .registry import query
-from .roles import FEATURES, ROW_ID, grid, r6, reg, reg_null, table, with_roles
+from .roles import FEATURES, ROW_ID, grid, kept, r6, reg, reg_null, table, with_roles
 
 _PANEL = ["dataset", "stay_id", "time_h"]
 _ID = ", ".join(ROW_ID)
@@ -186,6 +186,7 @@ def _(spark, sf):
 @query("f14_linear_preprocessing")
 def _(spark, sf):
     df = reg_null(spark, sf).withColumn("is_r", F.col("flag") == "R")
+    df = kept(df, *ROW_ID, "dataset", "split", *FEATURES, "is_r", "adm")
     prep = p.LinearPreprocessing([*FEATURES, "is_r", "adm"]).fit(df.where("split = 'train_val'"))
     out = p.assemble(prep.transform(df), prep.features)
     return out.select("dataset", "split", *ROW_ID, "features")
@@ -207,6 +208,7 @@ _ENCODED += [f"coalesce(adm = '{v}', false)::INT::DOUBLE" for v in _PRIORITIES]
 def _(spark, sf):
     """Every column of the linear preprocessing: imputed, encoded, scaled by the training rows."""
     df = reg_null(spark, sf).withColumn("is_r", F.col("flag") == "R")
+    df = kept(df, *ROW_ID, "dataset", "split", *FEATURES, "is_r", "adm")
     prep = p.LinearPreprocessing([*FEATURES, "is_r", "adm"]).fit(df.where("split = 'train_val'"))
     out = p.assemble(prep.transform(df), prep.features)
     return out.select(*ROW_ID, *(r6(F.col("features")[i]).alias(f"v{i}") for i in range(len(_ENCODED))))
@@ -353,6 +355,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """A factor of many levels and a spline, entry by entry."""
-    df, names = a.sparse_design(reg(spark, sf), [a.C("l_partkey"), a.BS("year", 4)])
+    df = kept(reg(spark, sf), "dataset", "l_partkey", "year")
+    df, names = a.sparse_design(df, [a.C("l_partkey"), a.BS("year", 4)])
     sums = df.select("dataset", F.inline("z")).groupBy("dataset", "t").agg(F.count("*").alias("n"), r6(F.sum("v"), 4).alias("total"))
     return sums.join(names, ["dataset", "t"]).select("dataset", "name", "n", "total")

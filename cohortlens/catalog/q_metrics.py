@@ -12,7 +12,7 @@ from ..plans import learning
 from ..session import pin
 from .descent_sql import descent, matrix, scaled, vector
 from .registry import query
-from .roles import BINARY_MODELS, FEATURES, ROW_ID, binary, r6, reg, reg_null, results, scored, scored_binary, with_roles
+from .roles import BINARY_MODELS, FEATURES, ROW_ID, binary, kept, r6, reg, reg_null, results, scored, scored_binary, with_roles
 
 _BY = ["dataset", "split", "model"]
 _G = "dataset, split, model"
@@ -486,7 +486,7 @@ _REFIT_Z = ", ".join(f"(x.{c} - p.m{i}) / p.s{i} AS z{i}" for i, c in enumerate(
     + _curve_sql("dataset = 'ASIA'", "reg", 0.0),
 )
 def _(spark, sf):
-    df = reg(spark, sf)
+    df = kept(reg(spark, sf), "dataset", "split", "patient_id", *FEATURES, "y")
     train = df.where("split = 'train_val'")
 
     cols = [*FEATURES, "y"]

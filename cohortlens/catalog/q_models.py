@@ -13,7 +13,7 @@ from ..plans import study
 from .boosting_sql import boosting, refit
 from .descent_sql import descent, logistic, matrix, scaled, vector
 from .registry import query
-from .roles import FEATURES, ROW_ID, binary, r6, reg, reg_null, table, with_roles
+from .roles import FEATURES, ROW_ID, binary, kept, r6, reg, reg_null, table, with_roles
 
 _ID = ", ".join(ROW_ID)
 _COLS = ["x_qty", "x_disc", "x_tax", "y"]
@@ -83,7 +83,8 @@ def _(spark, sf):
     "round(avg(y) OVER w - (SELECT avg(y) FROM reg), 6) + 0.0 AS y_proj FROM reg WINDOW w AS (PARTITION BY dataset, ward)",
 )
 def _(spark, sf):
-    out = mo.project_groups(reg(spark, sf), ["x_qty", "y"], ["dataset", "ward"])
+    df = kept(reg(spark, sf), *ROW_ID, "dataset", "ward", "x_qty", "y")
+    out = mo.project_groups(df, ["x_qty", "y"], ["dataset", "ward"])
     return out.select(*ROW_ID, "dataset", "ward", r6("x_qty_proj").alias("x_qty_proj"), r6("y_proj").alias("y_proj"))
 
 
@@ -93,7 +94,8 @@ def _(spark, sf):
     + f"SELECT {_ID}, round(avg(y) OVER (PARTITION BY dataset, patient_id) - (SELECT avg(y) FROM reg), 6) + 0.0 AS y_proj FROM reg",
 )
 def _(spark, sf):
-    out = mo.project_groups(reg(spark, sf), ["y"], ["dataset", "patient_id"])
+    df = kept(reg(spark, sf), *ROW_ID, "dataset", "patient_id", "y")
+    out = mo.project_groups(df, ["y"], ["dataset", "patient_id"])
     return out.select(*ROW_ID, r6("y_proj").alias("y_proj"))
 
 
@@ -105,7 +107,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """A saturated factor design: its projection is the cell mean."""
-    df, _ = a.sparse_design(reg(spark, sf), [a.C("ward")])
+    df = kept(reg(spark, sf), *ROW_ID, "dataset", "ward", "y", "x_tax")
+    df, _ = a.sparse_design(df, [a.C("ward")])
     out = mo.project_terms(df, ["y", "x_tax"])
     return out.select(*ROW_ID, r6("y_proj").alias("y_proj"), r6("x_tax_proj").alias("x_tax_proj"))
 
@@ -121,7 +124,8 @@ def _(spark, sf):
     + " FROM reg, (SELECT avg(x_qty) AS m0, avg(y) AS m1 FROM reg)",
 )
 def _(spark, sf):
-    out = mo.anchor_transform(reg(spark, sf), ["x_qty", "y"], ["dataset"], 4.0)
+    df = kept(reg(spark, sf), *ROW_ID, "dataset", "x_qty", "y")
+    out = mo.anchor_transform(df, ["x_qty", "y"], ["dataset"], 4.0)
     return out.select(*ROW_ID, r6("x_qty_anchor").alias("x_qty_anchor"), r6("y_anchor").alias("y_anchor"))
 
 
@@ -228,7 +232,8 @@ def _(spark, sf):
     + "SELECT 10.0::DOUBLE AS alpha, 1.0::DOUBLE AS l1_ratio, round(ln(avg(y) / (1 - avg(y))), 6) AS intercept, 0.0::DOUBLE AS b_x_qty, 0.0::DOUBLE AS b_x_disc FROM bin",
 )
 def _(spark, sf):
-    fits = lin.fit_logistic(binary(spark, sf), ["x_qty", "x_disc"], "y", [10.0], 1.0)
+    df = kept(binary(spark, sf), "x_qty", "x_disc", "y")
+    fits = lin.fit_logistic(df, ["x_qty", "x_disc"], "y", [10.0], 1.0)
     return _table(spark, fits, ["x_qty", "x_disc"])
 
 
@@ -244,6 +249,7 @@ def _(spark, sf):
     df = reg(spark, sf).withColumn("y", (F.col("y") > 10.5).cast("double"))
     from ..operators.preprocess import LinearPreprocessing
 
+    df = kept(df, *FEATURES, "y")
     prep = LinearPreprocessing(FEATURES).fit(df)
     fits = lin.fit_logistic(prep.transform(df), FEATURES, "y", [0.1, 0.01, 0.001], 0.5)
     return _table(spark, fits, FEATURES)
@@ -446,6 +452,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = reg(spark, sf).withColumn("y", (F.col("y") > 10.5).cast("double"))
+    df = kept(df, "dataset", "x_qty", "x_disc", "y")
     prior = lin.fit_logistic(df.where("dataset = 'AFRICA'"), ["x_qty", "x_disc"], "y", [0.01])
     chosen = lin.pick_alpha(prior, 0.01)
     new = df.where("dataset = 'ASIA'").withColumn("offset", chosen.predictor(["x_qty", "x_disc"]))
@@ -502,7 +509,7 @@ def _stages(df, model, rounds):
     _recursive("reg_null") + boosting("reg_null", "split = 'train_val'", _TREE_FEATURES, 6, 0.3) + _stages_sql([1, 3, 6]),
 )
 def _(spark, sf):
-    df = reg_null(spark, sf)
+    df = kept(reg_null(spark, sf), "dataset", "split", *_TREE_FEATURES, "y")
     model = trees.fit_gbt(df.where("split = 'train_val'"), _TREE_FEATURES, "y", rounds=6, learning_rate=0.3)
     return _stages(df, model, [1, 3, 6])
 
@@ -515,7 +522,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Row weights count in the sums of splits and leaves."""
-    df = reg_null(spark, sf).withColumn("w", F.sqrt("x_qty"))
+    df = kept(reg_null(spark, sf), "dataset", "split", *_TREE_FEATURES, "y").withColumn("w", F.sqrt("x_qty"))
     train = df.where("split = 'train_val'")
     return _stages(df, trees.fit_gbt(train, _TREE_FEATURES, "y", 2, 2, learning_rate=0.3, weight="w"), [1, 2])
 
@@ -525,7 +532,7 @@ def _(spark, sf):
     _recursive("reg") + boosting("reg", "split = 'train_val'", _TREE_FEATURES, 6, 0.3, gamma=4.0) + _stages_sql([1, 3, 6]),
 )
 def _(spark, sf):
-    df = reg(spark, sf)
+    df = kept(reg(spark, sf), "dataset", "split", *_TREE_FEATURES, "y")
     model = trees.fit_anchor_boosting(
         df.where("split = 'train_val'"), _TREE_FEATURES, "y", 6, gamma=4.0, group=["dataset"], learning_rate=0.3
     )
@@ -545,7 +552,7 @@ _MOVED = ", ".join(f"round(avg((y - rf.score) ** 2) FILTER (decay = {d}), 6) + 0
     + f" SELECT split, {_MOVED} FROM b0 JOIN rf USING (rid) WHERE tree = 4 AND dataset = 'ASIA' GROUP BY split",
 )
 def _(spark, sf):
-    df = reg(spark, sf)
+    df = kept(reg(spark, sf), "dataset", "split", *_TREE_FEATURES, "y")
     train = df.where("split = 'train_val'")
     model = trees.fit_gbt(train.where("dataset <> 'ASIA'"), _TREE_FEATURES, "y", 4, learning_rate=0.3)
     new = train.where("dataset = 'ASIA'")
@@ -573,7 +580,7 @@ def _(spark, sf):
 @query("study_score_selected")
 def _(spark, sf):
     """Every metric, projected ones included, of a few fitted models on all targets and splits."""
-    df = reg(spark, sf)
+    df = kept(reg(spark, sf), "dataset", "split", "ward", *FEATURES, "y")
     m = study.study_moments(df, FEATURES, "y")
     names = sorted({e[0] for e in m.envs()})
     fits = study.fit_grid(m, [names, names[1:]], [1.0, 4.0], [0.01], [0.5])

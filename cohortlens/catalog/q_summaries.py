@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import summaries as su
+from ..session import pin
 from .q_features import icd
 from .q_sources import written_dictionary
 from .registry import query
@@ -206,7 +207,8 @@ def _(spark, sf):
     from .roles import scored
 
     by = ["dataset", "split", "model"]
-    long = metrics_long(all_metrics(scored(spark, sf), by, "regression"), by)
+    # One small table, read once for the runs and once for the CV sets.
+    long = pin(metrics_long(all_metrics(scored(spark, sf), by, "regression"), by))
     runs = F.array(
         *[
             F.struct(F.array(*[F.lit(r) for r in REGIONS if r not in out]).alias("sources"), F.lit("+".join(out)).alias("k"))

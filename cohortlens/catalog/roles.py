@@ -127,6 +127,11 @@ def binary(spark: SparkSession, sf: str) -> DataFrame:
     return reg(spark, sf).withColumn("y", (F.col("flag") == "R").cast("double"))
 
 
+def kept(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` written once, for operators that pass over their rows several times: the joins then run once."""
+    return pin(df.select(*dict.fromkeys(columns)))
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Three fixed models on every regression row."""
     keep = ["dataset", "split", "patient_id", "ward", *ROW_ID, "y"]

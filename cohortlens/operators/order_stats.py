@@ -1,7 +1,7 @@
 """Exact order statistics per group that do not depend on a group fitting one task.
 
-Rows are written to storage once, since every method passes over them more than once. Groups up to
-``hot_rows`` rows are sorted by one window, which can spill. For quantiles of a larger group the values are
+Rows are written to storage once, since every method passes over them more than once. Smaller groups
+are sorted by one window, which can spill. For quantiles of a larger group the values are
 counted in bins of equal width; only the bins that hold a wanted rank are looked at again, in narrower bins,
 until they are small enough to be ordered. Running totals of a larger group are taken in ranges of values.
 Bins and ranges only balance the work: their counts are exact, so the result is exact wherever they are cut.
@@ -20,8 +20,9 @@ from ..functions.bounded import lookup
 from ..functions.joins import join_groups
 from ..session import pin, pinned
 
-#: Largest group handled inside one task.
+#: Largest group handled inside one task, and largest one that is sorted for its quantiles: counting costs less.
 HOT_ROWS = 4_000_000
+SORT_ROWS = 100_000
 #: Bins between the ends of a bracket, and rounds of narrowing after which brackets are ordered as they are.
 BINS = 1024
 ROUNDS = 10
@@ -155,6 +156,7 @@ def quantiles(
         *[c.alias(n) for n, c in (carry or {}).items()],
         (F.lit(1) if weight is None else weight).cast("long").alias("_weight"),
     )
+    hot_rows = min(hot_rows, SORT_ROWS)
     if not pinned(df):
         base = pin(base)
     finite = {o: F.when(F.abs(F.col(o)) < float("inf"), F.col(o)) for o in per}
