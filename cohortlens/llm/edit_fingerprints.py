@@ -36,6 +36,8 @@ NEAR = 0.8
 CHANCE = 0.15
 #: Fingerprints of a band that are compared with each other; larger bands are divided.
 BAND = 1024
+#: Fingerprints of a large band that a task holds at a time.
+TILE = 4096
 
 
 class Walk:
@@ -249,7 +251,9 @@ def near_copies(found: DataFrame, id_col: str = "id", fingerprint_col: str = "fi
     are compared by the likeness of their whole fingerprints. Bands are chosen so that seven in ten of the classes at
     ``near`` share one in a given octave; they are a search by chance, whose recall the tests measure. Bands of the
     same members are compared once. In a band of more than ``band`` classes each is compared with the smallest class;
-    then the band is divided by further digits, until it is small or its classes agree in its whole octave.
+    then the band is divided by further digits, until it is small or its classes agree in its whole octave. What this
+    leaves apart is made up for: of each large band the classes that are not united yet are compared all with all, in
+    tiles that a task can hold. A band of one component takes no comparison, one of unrelated classes as many as it has pairs.
 
     Rows with a null fingerprint are alone. A null id is never the smallest of its component. Other columns are kept,
     but for one named ``component``, which is replaced.
@@ -263,7 +267,7 @@ def near_copies(found: DataFrame, id_col: str = "id", fingerprint_col: str = "fi
     octave = F.floor(F.col("band") / bands).cast("int")
     keyed = pin(keyed.select("cls", octave.alias("octave"), "band", F.xxhash64("band", "key").alias("key")))
 
-    parts, heads, depth = [], [], 0
+    parts, heads, depth, whole = [], [], 0, None
     part = F.expr(f"rpad(substring(fingerprint, octave * {SAMPLES} + 1, {SAMPLES}), {SAMPLES}, '.')")
     while True:
         members = F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who")
@@ -275,6 +279,8 @@ def near_copies(found: DataFrame, id_col: str = "id", fingerprint_col: str = "fi
         if large.isEmpty():
             break
         hot = pin(keyed.join(lookup(large), "key"))
+        if not depth:
+            whole = hot.select("cls", "key")
         heads.append(hot.where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")))
         if 4 * (depth + 1) > SAMPLES:
             break
@@ -308,7 +314,10 @@ def near_copies(found: DataFrame, id_col: str = "id", fingerprint_col: str = "fi
         pairs = reduce(DataFrame.unionByName, heads).distinct()
         pairs = pairs.join(fps.withColumnsRenamed({"cls": "a", "fingerprint": "x"}), "a").join(fps.withColumnsRenamed({"cls": "b", "fingerprint": "y"}), "b")
         links = links.unionByName(pairs.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"))
-    united = components(links)
+    links = pin(links)
+    united = pin(components(links))
+    if whole is not None:
+        united = components(links.unionByName(_apart(whole, united, fps, near)))
     least = united.join(known.select(F.col("cls").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("smallest"))
     placed = known.join(united.join(least, "component").select(F.col("node").alias("cls"), "smallest"), "cls", "left")
     component = F.when(F.col("smallest").isNull(), F.col("least")).otherwise(F.col("smallest"))
@@ -320,23 +329,62 @@ def near_copies(found: DataFrame, id_col: str = "id", fingerprint_col: str = "fi
     return joined.withColumn("component", own).drop(shown, united_as)
 
 
+def _apart(whole: DataFrame, united: DataFrame, fps: DataFrame, near: float, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between classes of a band (``whole``: cls, key) that ``united`` (node, component) leaves apart.
+
+    A band is dealt into blocks of about ``tile`` classes. Every two blocks meet in a tile, where classes of different
+    components are compared; bands of one component, and bands of the same members but one, take no part.
+    """
+    label = F.coalesce("component", "cls").alias("label")
+    placed = pin(whole.join(united, F.col("cls") == F.col("node"), "left").select("cls", "key", label))
+    members = F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who")
+    bands = placed.groupBy("key").agg(F.count("*").alias("members"), members, F.min("label").alias("least"), F.max("label").alias("most"))
+    bands = bands.where("least < most").groupBy("members", "who").agg(F.min("key").alias("key"))
+    blocks = F.ceil(F.col("members") / tile).cast("int")
+    dealt = placed.join(bands.select("key", blocks.alias("blocks")), "key")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("bigint")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != F.col("own")) | (F.col("blocks") == 1))
+    dealt = dealt.withColumn("other", F.explode(others))
+    tiles = dealt.select("cls", "label", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile")).join(fps, "cls")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = Walk()
+        for t in sorted_groups(batches, ["tile"]):
+            cls, labels = t.column("cls").to_numpy(), t.column("label").to_numpy()
+            # The largest component last: its members need not be gone through.
+            kinds, kind, sizes = np.unique(labels, return_inverse=True, return_counts=True)
+            order = np.lexsort((kind, sizes[kind]))
+            kind = kind[order]
+            after = np.append(np.flatnonzero(kind[1:] != kind[:-1]) + 1, len(kind))
+            after = after[np.searchsorted(after, np.arange(len(kind)), side="right")]
+            a, b = _alike(walk, t.column("fingerprint").take(pa.array(order)).to_pylist(), near, after)
+            if len(a):
+                yield pa.record_batch([pa.array(cls[order[a]]), pa.array(cls[order[b]])], names=["a", "b"])
+
+    sorted_ = tiles.repartition("tile").sortWithinPartitions("tile", "cls").select("tile", "cls", "label", "fingerprint")
+    return pin(sorted_.mapInArrow(compare, "a bigint, b bigint"))
+
+
 def _digits(shown: str) -> bytes:
     return bytes(int(c, 16) for c in shown)
 
 
-def _alike(walk: Walk, shown: list[str], near: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of fingerprints that are at least ``near`` alike, row blocks against all."""
+def _alike(walk: Walk, shown: list[str], near: float, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of fingerprints that are at least ``near`` alike: each with all that follow it, or from ``after`` on."""
+    after = np.arange(1, len(shown) + 1) if after is None else after
     most = max(len(x) for x in shown)
     codes = np.frombuffer("".join(x.ljust(most, ".") for x in shown).encode(), np.uint8).reshape(len(shown), most)
     weight = walk.weight[:most]
     reach = np.concatenate([[0.0], np.cumsum(weight)])[[len(x) for x in shown]]
     us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     there = codes != ord(".")
-    for i in range(len(shown) - 1):
-        rest = slice(i + 1, None)
+    for i, start in enumerate(after.tolist()):
+        if start >= len(shown):
+            continue
+        rest = slice(start, None)
         same = ((codes[rest] == codes[i]) & there[i]) @ weight
         whole = np.maximum(reach[rest], reach[i])
-        j = np.flatnonzero(same >= near * np.where(whole > 0, whole, 1)) + i + 1
+        j = np.flatnonzero(same >= near * np.where(whole > 0, whole, 1)) + start
         us.append(np.full(len(j), i))
         vs.append(j)
     return np.concatenate(us), np.concatenate(vs)

@@ -140,3 +140,37 @@ def test_near_copies_recall(spark, band):
     found = np.mean([got[i] == got[j] for i, j in pairs])
     assert found >= 0.95
     assert all(want[i] == want[got[i]] for i in range(len(shown)))  # nothing is united that is not near
+
+
+def test_large_bands_lose_no_link(spark):
+    """Versions that are near some others and not the head of their band: divided bands unite what one whole band does."""
+    rng = np.random.default_rng(11)
+    digits = list("0123456789abcdef")
+    base, shown = rng.choice(digits, 3 * ef.SAMPLES), []
+    for _ in range(60):
+        one = base.copy()
+        at = rng.permutation(len(one))[: len(one) // 3]
+        one[at] = rng.choice(digits, len(at))
+        shown.append("".join(one))
+        at = rng.permutation(len(one))[: len(one) // 8]
+        one[at] = rng.choice(digits, len(at))
+        shown.append("".join(one))
+    df = spark.createDataFrame(list(enumerate(shown)), "id bigint, fingerprint string").repartition(4)
+    united = lambda band: {r.id: r.component for r in ef.near_copies(df, near=0.75, band=band).collect()}
+    assert united(2) == united(10**6)
+
+
+def test_classes_left_apart_are_compared_in_tiles(spark):
+    """Every near pair of different components is linked, whatever the tiles; pairs within one are not looked at."""
+    rng = np.random.default_rng(12)
+    base = "".join(rng.choice(list("0123456789abcdef"), 96))
+    shown = [base[:k] + "".join(rng.choice(list("0123456789abcdef"), 24)) + base[k + 24 :] for k in range(0, 72, 2)]
+    fps = spark.createDataFrame(list(enumerate(shown)), "cls bigint, fingerprint string")
+    whole = spark.createDataFrame([(i, 7) for i in range(len(shown))], "cls bigint, key bigint")
+    one = spark.createDataFrame([(i, 0) for i in range(5)], "node bigint, component bigint")
+    near = lambda: {(i, j) for i, j in plain_near(shown, 0.6) if i >= 5 or j >= 5}
+    for tile in (5, 100):
+        got = {(max(r), min(r)) for r in ef._apart(whole, one, fps, 0.6, tile).collect()}
+        assert got == near() and got
+    alone = spark.createDataFrame([(i, 0) for i in range(len(shown))], "node bigint, component bigint")
+    assert ef._apart(whole, alone, fps, 0.6).isEmpty()
