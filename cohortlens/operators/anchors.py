@@ -152,20 +152,31 @@ class Multi:
 INTERCEPT = "Intercept"
 
 
-def _spline_rows(x: Column, lo: Column, inner: Sequence[Column], hi: Column, degree: int) -> list[Column]:
-    """Cox-de Boor recursion with knots that differ by row; intervals without width hold nothing."""
-    t = [lo] * (degree + 1) + list(inner) + [hi] * (degree + 1)
+def _spline_rows(
+    df: DataFrame, x: Column, lo: Column, inner: Sequence[Column], hi: Column, degree: int, prefix: str
+) -> tuple[DataFrame, list[Column]]:
+    """Cox-de Boor recursion with knots that differ by row; intervals without width hold nothing.
+
+    Every degree is a set of columns of its own, named after ``prefix``: written as one expression, a function would
+    hold each lower one as often as the recursion reaches it.
+    """
+    known = {f"{prefix}x": x, f"{prefix}lo": lo, f"{prefix}hi": hi, **{f"{prefix}in{i}": c for i, c in enumerate(inner)}}
+    df = df.withColumns(known)
+    x, lo, hi, *inner = (F.col(c) for c in known)
+    t = [lo] * (degree + 1) + inner + [hi] * (degree + 1)
     basis = [
         F.when((t[i] < t[i + 1]) & (x >= t[i]) & ((x < t[i + 1]) | ((x <= t[i + 1]) & (t[i + 1] == hi))), F.lit(1.0)).otherwise(F.lit(0.0))
         for i in range(len(t) - 1)
     ]
     ratio = lambda top, wide, b: F.when(wide > 0, top / wide * b).otherwise(F.lit(0.0))
     for d in range(1, degree + 1):
+        lower = {f"{prefix}{d}_{i}": c for i, c in enumerate(basis)}
+        df, basis = df.withColumns(lower), [F.col(c) for c in lower]
         basis = [
             ratio(x - t[i], t[i + d] - t[i], basis[i]) + ratio(t[i + d + 1] - x, t[i + d + 1] - t[i + 1], basis[i + 1])
             for i in range(len(t) - 1 - d)
         ]
-    return basis
+    return df, basis
 
 
 def _looked_up(places: Column, elements: Column) -> Column:
@@ -206,8 +217,9 @@ def sparse_design(
         wide = join_groups(wide, lookup(knots), [by])
         k = lambda i, s=s: F.col(f"_k{s}")[i]
         x = F.col(term.col).cast("double")
-        basis = _spline_rows(x, k(0), [k(i + 1) for i in range(n_inner)], k(n_inner + 1), term.degree)[1:]
-        for i, b in enumerate(basis, 1):
+        inner = [k(i + 1) for i in range(n_inner)]
+        wide, basis = _spline_rows(wide, x, k(0), inner, k(n_inner + 1), term.degree, f"_s{s}_")
+        for i, b in enumerate(basis[1:], 1):
             entries.append(F.struct(F.lit(len(fixed)).cast("bigint").alias("t"), F.coalesce(b, F.lit(0.0)).alias("v")))
             fixed.append((len(fixed), f"bs({term.col})[{i}]"))
     names = df.select(F.col(by).alias("d")).distinct().select(
