@@ -1,9 +1,10 @@
 """Boosted trees, plain and anchor-regularised, grown on histograms.
 
-Features are cut into bins once and written as one byte each. A pass over that table sums residuals, curvatures and rows
-by (node, feature, bin) within every task and adds them up by (node, feature), where the best split is found too; only one
-row for each node comes back to the driver. Of two siblings the smaller one is summed, the other is the parent less
-the first. A grown tree reads raw columns: as column expressions, or, where there are many trees, in Arrow batches.
+Features are cut into bins once and written as one byte each, thousands of rows to a block. A pass over the blocks sums
+residuals, curvatures and rows by (node, feature, bin) within every task and adds them up by (node, feature), where the
+best split is found too; only one row for each node comes back to the driver. Of two siblings the smaller one is summed,
+the other is the parent less the first. A grown tree reads raw columns: as column expressions, or, where there are many
+trees, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import heapq
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ FEW_TREES = 24
 LEAST_SHARE = 1e-6
 #: Rows a leaf must hold (fixed value).
 MIN_LEAF_ROWS = 20
+#: Bytes of a row group of blocks, about: readers hold one at a time.
+BLOCK_GROUP_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -217,22 +221,67 @@ def _cuts(groups: list, bins: int) -> np.ndarray:
 
 
 def _binned(df: DataFrame, features: Sequence[str], cuts: list[np.ndarray], more: dict[str, Column]) -> DataFrame:
-    """(bins, *more): one byte for every feature."""
+    """Blocks of rows with (bins, *more): one byte for every feature."""
     given = df.select(*(_present(c).alias(f"_x{i}_") for i, c in enumerate(features)), *(v.alias(k) for k, v in more.items()))
     names, width = list(more), len(features)
-    schema = T.StructType([T.StructField("bins", T.BinaryType()), *(given.schema[k] for k in names)])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if b.num_rows == 0:
+                continue
             codes = np.zeros((b.num_rows, width), np.uint8)
             for i, cut in enumerate(cuts):
                 x = b.column(f"_x{i}_").to_numpy(zero_copy_only=False)
                 codes[:, i] = np.where(np.isnan(x), 0, np.searchsorted(cut, x, "left") + 1)
-            offsets = pa.py_buffer(np.arange(b.num_rows + 1, dtype=np.int32) * width)
-            packed = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, offsets, pa.py_buffer(codes.tobytes())])
-            yield pa.RecordBatch.from_arrays([packed, *(b.column(k) for k in names)], names=["bins", *names])
+            yield _block({"bins": codes, **{k: b.column(k).to_numpy() for k in names}})
+
+    return given.mapInArrow(pack, _block_schema(names))
+
+
+# Blocks: rows of a table that hold many rows each, every column as the bytes of its values. Reading rows one by one
+# would cost more than what is done with them.
+
+
+def _block_schema(names: Sequence[str]) -> str:
+    return ", ".join(f"{k} binary" for k in ["bins", *names])
+
 
-    return given.mapInArrow(pack, schema)
+def _block(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    kinds = {"bins": np.uint8, "g": np.int64}
+    held = [np.ascontiguousarray(v, kinds.get(k, np.float64)).tobytes() for k, v in columns.items()]
+    return pa.record_batch([pa.array([v], pa.binary()) for v in held], names=list(columns))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    for b in batches:
+        for i in range(b.num_rows):
+            held = {k: b.column(k)[i].as_buffer() for k in b.schema.names}
+            block = {k: np.frombuffer(v, np.int64 if k == "g" else np.float64) for k, v in held.items() if k != "bins"}
+            yield {"bins": np.frombuffer(held["bins"], np.uint8).reshape(len(block["y"]), -1), **block}
+
+
+def _pin_blocks(df: DataFrame) -> DataFrame:
+    return pin(df, **{"parquet.block.size": str(BLOCK_GROUP_BYTES)})
+
+
+def _with_means(data: DataFrame, means: DataFrame) -> DataFrame:
+    """The blocks with the mean ``p`` of every row's group, joined row by row."""
+    names = [k for k in data.columns if k not in ("bins", "p")]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _blocks(batches):
+            bins = pa.array([v.tobytes() for v in b["bins"]], pa.binary())
+            yield pa.record_batch([bins, *(pa.array(b[k]) for k in names)], names=["bins", *names])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8)
+                yield _block({"bins": bins, **{k: b.column(k).to_numpy() for k in [*names, "p"]}})
+
+    kinds = ", ".join(f"{k} {'bigint' if k == 'g' else 'double'}" for k in names)
+    joined = data.mapInArrow(rows, f"bins binary, {kinds}").join(means, "g").select("bins", *names, "p")
+    return joined.mapInArrow(pack, _block_schema([*names, "p"]))
 
 
 # Growing
@@ -251,13 +300,6 @@ class _Grown:
     children: tuple[int, int] = ()
 
 
-def _codes(batch: pa.RecordBatch) -> np.ndarray:
-    flat = batch.column("bins")
-    data = np.frombuffer(flat.buffers()[2], np.uint8)
-    ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
-    return data[ends[0] : ends[-1]].reshape(batch.num_rows, -1)
-
-
 @dataclass(frozen=True)
 class _Bits:
     """A tree over bins: inner nodes (feature, bin, missing left, left, right), leaves by number."""
@@ -266,19 +308,26 @@ class _Bits:
     leaf: dict[int, int]
     values: tuple[float, ...] = ()
 
+    @cached_property
+    def _steps(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """Depth, feature by node, and the next node by (node, bin); a node without children stays."""
+        size = max([0, *(c for v in self.nodes.values() for c in v[3:])]) + 1
+        feature, after, bins = np.zeros(size, np.int64), np.repeat(np.arange(size), 256).reshape(size, 256), np.arange(256)
+        for k, (f, cut, missing_left, left, right) in self.nodes.items():
+            feature[k] = f
+            after[k] = np.where((bins <= cut) & (bins > 0) | (bins == 0) & missing_left, left, right)
+        depth, level = 0, [0]
+        while level := [c for k in level if k in self.nodes for c in self.nodes[k][3:]]:
+            depth += 1
+        return depth, feature, after.ravel()
+
     def place(self, codes: np.ndarray) -> np.ndarray:
         """The node without children that each row reaches."""
+        depth, feature, after = self._steps
+        flat, first = codes.ravel(), np.arange(len(codes)) * codes.shape[1]
         at = np.zeros(len(codes), np.int64)
-        todo = [(0, np.arange(len(codes)))]
-        while todo:
-            node, rows = todo.pop()
-            if node not in self.nodes:
-                at[rows] = node
-                continue
-            f, cut, missing_left, left, right = self.nodes[node]
-            v = codes[rows, f]
-            go = (v <= cut) & (v > 0) | (v == 0) & missing_left
-            todo += [(left, rows[go]), (right, rows[~go])]
+        for _ in range(depth):
+            at = after.take((at << 8) + flat.take(first + feature.take(at)))
         return at
 
     def add(self, codes: np.ndarray, score: np.ndarray) -> np.ndarray:
@@ -302,15 +351,14 @@ class _Work:
         self.pending: list[_Bits] = []
         self.means: np.ndarray | None = None
 
-    def rows(self, b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        """(codes, target, curvature, weight) of a batch, trees not yet written into the score included."""
-        codes = _codes(b)
-        score, y, w = (b.column(c).to_numpy() for c in ("score", "y", "w"))
+    def rows(self, b: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        """(codes, target, curvature, weight) of a block, trees not yet written into the score included."""
+        codes, score, y, w = (b[c] for c in ("bins", "score", "y", "w"))
         for t in self.pending:
             score = t.add(codes, score)
         r, h = _residual(self.objective, y, score)
         if self.gamma != 1.0:
-            p = b.column("p").to_numpy() if self.means is None else self.means[b.column("g").to_numpy()]
+            p = b["p"] if self.means is None else self.means[b["g"]]
             r = r + (self.gamma - 1.0) * p
         return codes, r, h, w
 
@@ -416,16 +464,18 @@ class _Grower:
             total = np.zeros((3, len(slots) * n_features * width))
             lookup = np.full(max([*slots, *bits.leaf, 0]) + 1, -1)
             lookup[list(slots)] = list(slots.values())
-            step = np.arange(n_features) * width
-            for b in batches:
-                if b.num_rows == 0:
-                    continue
+            for b in _blocks(batches):
                 codes, r, h, w = work.rows(b)
                 slot = lookup[bits.place(codes)]
-                own = slot >= 0
-                at = (codes[own].astype(np.int64) + step + (slot[own] * n_features * width)[:, None]).ravel()
-                for i, v in enumerate((w * r, w * h, np.ones(len(w)))):
-                    total[i] += np.bincount(at, weights=np.repeat(v[own], n_features), minlength=total.shape[1])
+                own = np.flatnonzero(slot >= 0)
+                codes, first, r, h = codes[own], slot[own] * (n_features * width), (w * r)[own], (w * h)[own]
+                plain = bool((h == 1.0).all())  # then curvatures sum to the rows
+                for f in range(n_features):
+                    at = first + f * width + codes[:, f]
+                    n = np.bincount(at, minlength=total.shape[1])
+                    total[0] += np.bincount(at, r, total.shape[1])
+                    total[1] += n if plain else np.bincount(at, h, total.shape[1])
+                    total[2] += n
             total = total.reshape(3, len(slots), n_features, width)
             there = np.argwhere(total[2].sum(axis=2) > 0)
             hist = [np.ascontiguousarray(total[:, s, f]).tobytes() for s, f in there]
@@ -532,20 +582,20 @@ def fit_anchor_boosting(
         coded, n_groups = _coded_groups(df, group)
         more["g"] = F.col("_g")
     work = _Work(objective, gamma, [len(c) + 2 for c in cuts])
-    data = pin(_binned(coded, features, cuts, more))
+    data = _pin_blocks(_binned(coded, features, cuts, more))
     df.unpersist()
     trees: list[Tree] = []
     for i in range(rounds):
         target, data_now = work, data
         if gamma != 1.0:
-            means = _group_means(data, work)
+            means = _group_means(data, work, n_groups)
             if n_groups <= MAX_LOOKUP_ROWS:
                 work.means = np.zeros(n_groups)
                 for r in bounded_rows(means):
                     work.means[r["g"]] = r["p"]
             else:
                 # Too many groups to send: the means are joined, once for all passes of the round.
-                data_now = pin(data.join(means, "g"))
+                data_now = _pin_blocks(_with_means(data, means))
                 work.means = None
         grower = _Grower(data_now, target, depth, leaves or 2**depth, min_gain, l2, MIN_LEAF_ROWS)
         grown = grower.grow()
@@ -557,38 +607,46 @@ def fit_anchor_boosting(
         if data_now is not data:
             discard(data_now)
         if len(work.pending) == PIN_EVERY and i + 1 < rounds:
-            data, old = pin(_advanced(data, work.pending)), data
+            data, old = _pin_blocks(_advanced(data, work.pending)), data
             discard(old)
             work.pending = []
     discard(data)
     return Boosted(init, tuple(trees), objective, learning_rate)
 
 
-def _group_means(data: DataFrame, work: _Work) -> DataFrame:
+def _group_means(data: DataFrame, work: _Work, n_groups: int) -> DataFrame:
     """(g, p): weighted means of the residuals in the anchor groups."""
     plain = _Work(work.objective, 1.0, work.bins)
     plain.pending = work.pending
 
+    def told(g: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(g), *map(pa.array, sums)], names=["g", "r", "w"])
+
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        few = n_groups <= MAX_LOOKUP_ROWS  # then numbered without gaps
+        total = np.zeros((2, n_groups if few else 0))
+        for b in _blocks(batches):
             _, r, _, w = plain.rows(b)
-            g, at = np.unique(b.column("g").to_numpy(), return_inverse=True)
-            yield pa.record_batch([pa.array(g), pa.array(np.bincount(at, w * r)), pa.array(np.bincount(at, w))], names=["g", "r", "w"])
+            if few:
+                total += [np.bincount(b["g"], v, n_groups) for v in (w * r, w)]
+                continue
+            g, at = np.unique(b["g"], return_inverse=True)
+            yield told(g, np.array([np.bincount(at, v) for v in (w * r, w)]))
+        if few:
+            yield told(np.arange(n_groups), total)
 
     sums = data.mapInArrow(add_up, "g bigint, r double, w double").groupBy("g").agg(F.sum("r").alias("r"), F.sum("w").alias("w"))
     return sums.select("g", F.when(F.col("w") != 0, F.col("r") / F.col("w")).otherwise(0.0).alias("p"))
 
 
 def _advanced(data: DataFrame, pending: list[_Bits]) -> DataFrame:
-    """The binned table with the trees so far in its score."""
-    at = data.columns.index("score")
+    """The blocks with the trees so far in their score."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes, score = _codes(b), b.column("score").to_numpy()
+        for b in _blocks(batches):
             for t in pending:
-                score = t.add(codes, score)
-            yield b.set_column(at, "score", pa.array(score))
+                b["score"] = t.add(b["bins"], b["score"])
+            yield _block(b)
 
     return data.mapInArrow(step, data.schema)
 

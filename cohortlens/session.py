@@ -47,15 +47,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and go on from the written table.
+def pin(df: DataFrame, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder once, with the writer's ``options``, and go on from the written table.
 
     Used where a table must not change between two uses (sketch-based split points), where
     several jobs follow, and where iterations would let the plan grow without end. A lost
     executor then costs a re-read, never a recomputation from the start.
     """
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._pinned = True
     return table

@@ -164,3 +164,27 @@ def test_nothing_to_split(spark):
     model = trees.fit_gbt(df, ["a", "b"], "y", 2)
     assert model.init == 3.0 and [len(t.values) for t in model.trees] == [1, 1]
     assert [r.yhat for r in trees.predict(df, model).collect()] == [3.0, 3.0]
+
+
+def test_rows_are_read_in_blocks(spark, monkeypatch):
+    """Passes read a row for thousands; with more groups than are sent, their means join the rows and blocks are packed again."""
+    pdf = frame(4000)
+    df = spark.createDataFrame(pdf).coalesce(1)
+    cuts = trees.cut_points(df, X)
+    more = {"y": F.col("y"), "w": F.lit(1.0), "score": F.lit(0.0)}
+    data = trees._pin_blocks(trees._binned(df, X, cuts, more))
+    assert data.count() <= 2
+    [block] = trees._blocks(data.toArrow().to_batches())
+    assert np.array_equal(block["y"], pdf["y"]) and block["bins"].shape == (4000, 3)
+    assert np.array_equal(block["bins"][:, 0], np.searchsorted(cuts[0], pdf["a"]) + 1)
+    few = trees.fit_anchor_boosting(df, X, "y", 2, gamma=3.0, group=["k"], weight="w")
+    monkeypatch.setattr(trees, "MAX_LOOKUP_ROWS", 2)
+    many = trees.fit_anchor_boosting(df, X, "y", 2, gamma=3.0, group=["k"], weight="w")
+    for a, b in zip(few.trees, many.trees, strict=True):
+        assert a.root == b.root and np.allclose(a.values, b.values, rtol=1e-9)
+
+
+def test_missing_outcome_is_refused(spark):
+    df = spark.createDataFrame(frame(100)).withColumn("y", F.when(F.col("a") > 0, F.col("y")))
+    with pytest.raises(Exception, match="null"):
+        trees.fit_gbt(df, X, "y", 1)
