@@ -1,9 +1,12 @@
 """Operators that pass over their rows several times compute them once; ranks are exact for any spread of values."""
 
+from datetime import date
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlens.catalog import load_all, roles
 from cohortlens.operators import anchors, order_stats
 from cohortlens.operators import metrics as me
 
@@ -56,3 +59,44 @@ def test_spline_columns_do_not_multiply(spark):
     out, _ = anchors.sparse_design(df, [anchors.BS("x", 7, 6)])
     assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 200_000
     assert out.count() == 40
+
+
+@pytest.mark.parametrize(
+    "name", ["f14_linear_columns", "f14_linear_preprocessing", "m03_project_design", "m11_logistic_offset", "m16_anchor_boosting", "m17_refit_leaves"]
+)
+def test_lines_are_read_once(spark, monkeypatch, tmp_path, name):
+    """Queries with several passes read, join and shuffle the lines in one of them only."""
+    n, seen = 600, spark.sparkContext.accumulator(0)
+    rng = np.random.default_rng(2)
+    places = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    tables = {
+        "region": spark.createDataFrame(list(enumerate(places)), "r_regionkey bigint, r_name string"),
+        "nation": spark.createDataFrame([(i, i) for i in range(5)], "n_nationkey bigint, n_regionkey bigint"),
+        "customer": spark.createDataFrame([(i, i % 5, "ab"[i // 5 % 2]) for i in range(40)], "c_custkey bigint, c_nationkey bigint, c_mktsegment string"),
+        "orders": spark.createDataFrame(
+            [(i, i % 40, "O", date(1995, 1, 1), ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"][i % 5 - i // 7 % 2]) for i in range(200)],
+            "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate date, o_orderpriority string",
+        ),
+        "lineitem": spark.createDataFrame(
+            [
+                (i // 3, i % 3, i, i, float(q), float(np.exp(10.4 + 0.02 * q * e)), i % 7 / 100, i % 5 / 100, "RN"[i % 2])
+                for i, (q, e) in enumerate(zip(rng.integers(1, 50, n), rng.normal(size=n), strict=True))
+            ],
+            "l_orderkey bigint, l_linenumber bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string",
+        ),
+    }
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    def table(session, sf, which):
+        df = session.read.parquet(f"{sf}/{which}.parquet")
+        return df.mapInArrow(look, df.schema) if which == "lineitem" else df
+
+    for k, v in tables.items():
+        v.write.parquet(f"{tmp_path}/{k}.parquet")
+    monkeypatch.setattr(roles, "table", table)
+    load_all()[name].run(spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    assert seen.value == n
