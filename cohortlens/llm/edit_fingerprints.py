@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ NEAR = 0.8
 CHANCE = 0.15
 #: Fingerprints of a band that are compared with each other; larger bands are divided.
 BAND = 1024
+#: Further digits by which large bands are divided, time after time; together the whole octave.
+FURTHER = (8, 16, 24)
 #: Fingerprints of a large band that a task holds at a time.
 TILE = 4096
 
@@ -95,6 +97,12 @@ class Walk:
         return float((self.weight[:n] * same).sum() / self.weight[:most].sum())
 
 
+@cache
+def _walk() -> Walk:
+    """One walk for all tasks of a Python worker."""
+    return Walk()
+
+
 def _shown(taken: bytes) -> str:
     return taken.hex()[1::2]
 
@@ -172,7 +180,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([batch.column("id"), batch.column("hash"), sizes, small], names=["id", "hash", "size", "small"])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk, part, last, out = Walk(), TaskContext.get().partitionId(), None, []
+        walk, part, last, out = _walk(), TaskContext.get().partitionId(), None, []
         codec, blank = pa.Codec("zstd"), [None] * OUT.count(",")
         for batch in (s for b in batches for s in slices(iter([b]), "small")):
             for key, size, small in zip(*(batch.column(c).to_pylist() for c in ("id", "size", "small")), strict=True):
@@ -200,7 +208,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ends = found.where("edge = 'last'").select("id", "text", "part").join(local_table(docs.sparkSession, follows, "part int, then int"), "part")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk = Walk()
+        walk = _walk()
         for batch in batches:
             for key, text, follow in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "follow")), strict=True):
                 own, half = _walked(walk, text)
@@ -251,7 +259,7 @@ def near_copies(found: DataFrame, id_col: str = "id", fingerprint_col: str = "fi
     are compared by the likeness of their whole fingerprints. Bands are chosen so that seven in ten of the classes at
     ``near`` share one in a given octave; they are a search by chance, whose recall the tests measure. Bands of the
     same members are compared once. In a band of more than ``band`` classes each is compared with the smallest class;
-    then the band is divided by further digits, until it is small or its classes agree in its whole octave. What this
+    then the band is divided by ``FURTHER`` digits, until it is small or its classes agree in its whole octave. What this
     leaves apart is made up for: of each large band the classes that are not united yet are compared all with all, in
     tiles that a task can hold. A band of one component takes no comparison, one of unrelated classes as many as it has pairs.
 
@@ -267,9 +275,9 @@ def near_copies(found: DataFrame, id_col: str = "id", fingerprint_col: str = "fi
     octave = F.floor(F.col("band") / bands).cast("int")
     keyed = pin(keyed.select("cls", octave.alias("octave"), "band", F.xxhash64("band", "key").alias("key")))
 
-    parts, heads, depth, whole = [], [], 0, None
+    parts, heads, whole = [], [], None
     part = F.expr(f"rpad(substring(fingerprint, octave * {SAMPLES} + 1, {SAMPLES}), {SAMPLES}, '.')")
-    while True:
+    for depth, more in enumerate((*FURTHER, 0)):
         members = F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who")
         sizes = keyed.groupBy("key").agg(F.count("*").alias("members"), members, F.min("cls").alias("head"))
         sizes = pin(sizes.where("members > 1"))
@@ -282,19 +290,18 @@ def near_copies(found: DataFrame, id_col: str = "id", fingerprint_col: str = "fi
         if not depth:
             whole = hot.select("cls", "key")
         heads.append(hot.where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")))
-        if 4 * (depth + 1) > SAMPLES:
+        if not more:
             break
-        # Each band takes its further digits in an order of its own.
-        digits = [F.substring("part", F.pmod(F.xxhash64("band") + 4 * depth + d, F.lit(SAMPLES)).cast("int") + 1, F.lit(1)) for d in range(4)]
+        # Each band takes its further digits from a place of its own on.
+        first = F.pmod(F.xxhash64("band") + sum(FURTHER[:depth]), F.lit(SAMPLES)).cast("int") + 1
         hot = hot.join(known.select("cls", "fingerprint"), "cls").withColumn("part", part)
-        keyed = pin(hot.select("cls", "octave", "band", F.xxhash64("key", *digits).alias("key")))
-        depth += 1
+        keyed = pin(hot.select("cls", "octave", "band", F.xxhash64("key", F.substring(F.repeat("part", F.lit(2)), first, F.lit(more))).alias("key")))
 
     fps = known.select("cls", "fingerprint")
     small = reduce(DataFrame.unionByName, parts).join(fps, "cls")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk = Walk()
+        walk = _walk()
         for t in sorted_groups(batches, ["key"]):
             a, b = _alike(walk, t.column("fingerprint").to_pylist(), near)
             cls = t.column("cls").to_numpy()
@@ -304,7 +311,7 @@ def near_copies(found: DataFrame, id_col: str = "id", fingerprint_col: str = "fi
                 yield pa.record_batch([pa.array(cls[own]), pa.array(cls[labels[own]])], names=["a", "b"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk = Walk()
+        walk = _walk()
         for t in batches:
             ok = [walk.likeness(_digits(x), _digits(y)) >= near for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist(), strict=True)]
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -316,8 +323,8 @@ def near_copies(found: DataFrame, id_col: str = "id", fingerprint_col: str = "fi
         links = links.unionByName(pairs.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"))
     links = pin(links)
     united = pin(components(links))
-    if whole is not None:
-        united = components(links.unionByName(_apart(whole, united, fps, near)))
+    if whole is not None and not (apart := _apart(whole, united, fps, near)).isEmpty():
+        united = _merged(united, apart)
     least = united.join(known.select(F.col("cls").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("smallest"))
     placed = known.join(united.join(least, "component").select(F.col("node").alias("cls"), "smallest"), "cls", "left")
     component = F.when(F.col("smallest").isNull(), F.col("least")).otherwise(F.col("smallest"))
@@ -329,6 +336,17 @@ def near_copies(found: DataFrame, id_col: str = "id", fingerprint_col: str = "fi
     return joined.withColumn("component", own).drop(shown, united_as)
 
 
+def _merged(united: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) once ``links`` (a, b) between classes of ``united`` or others join them."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(united.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of")), end, "left")
+    joined = components(ends.select(*(F.coalesce(f"{end}_of", end).alias(end) for end in ("a", "b"))))
+    nodes = united.unionByName(joined.select("node", F.col("node").alias("component"))).distinct()
+    nodes = nodes.join(joined.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left")
+    return nodes.select("node", F.coalesce("further", "component").alias("component"))
+
+
 def _apart(whole: DataFrame, united: DataFrame, fps: DataFrame, near: float, tile: int = TILE) -> DataFrame:
     """Links (a, b) between classes of a band (``whole``: cls, key) that ``united`` (node, component) leaves apart.
 
@@ -348,7 +366,7 @@ def _apart(whole: DataFrame, united: DataFrame, fps: DataFrame, near: float, til
     tiles = dealt.select("cls", "label", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile")).join(fps, "cls")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk = Walk()
+        walk = _walk()
         for t in sorted_groups(batches, ["tile"]):
             cls, labels = t.column("cls").to_numpy(), t.column("label").to_numpy()
             # The largest component last: its members need not be gone through.

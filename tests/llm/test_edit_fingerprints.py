@@ -7,6 +7,7 @@ import pytest
 
 from cohortlens.llm import edit_fingerprints as ef
 from cohortlens.llm import queries
+from cohortlens.session import pin
 from tests.llm.test_near_duplicates import closure
 
 WALK = ef.Walk()
@@ -174,3 +175,23 @@ def test_classes_left_apart_are_compared_in_tiles(spark):
         assert got == near() and got
     alone = spark.createDataFrame([(i, 0) for i in range(len(shown))], "node bigint, component bigint")
     assert ef._apart(whole, alone, fps, 0.6).isEmpty()
+
+
+def test_large_bands_take_few_passes(spark, monkeypatch):
+    """Fingerprints that agree in a whole octave are divided to the end: a few tables are written, not one in four digits."""
+    written = []
+    monkeypatch.setattr(ef, "pin", lambda df: written.append(df.columns) or pin(df))
+    shown = [f"{'7' * ef.SAMPLES}{i:048x}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(shown)), "id bigint, fingerprint string")
+    got = {r.id: r.component for r in ef.near_copies(df, band=4).collect()}
+    want = closure(len(shown), plain_near(shown))
+    assert got == dict(enumerate(want))
+    assert sum("octave" in c for c in written) <= 2 * (len(ef.FURTHER) + 1) <= 8
+    assert sum(ef.FURTHER) == ef.SAMPLES
+
+
+def test_links_between_components_join_them(spark):
+    united = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node bigint, component bigint")
+    links = spark.createDataFrame([(6, 2), (9, 20), (30, 31), (31, 30)], "a bigint, b bigint")
+    got = sorted(map(tuple, ef._merged(united, links).collect()))
+    assert got == [(1, 1), (2, 1), (5, 1), (6, 1), (8, 8), (9, 8), (20, 8), (30, 30), (31, 30)]

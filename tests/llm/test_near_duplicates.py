@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from cohortlens.llm import components as components_module
 from cohortlens.llm import embedding_dedup, simhash
 from cohortlens.llm.common import merge_labels
 from cohortlens.llm.components import components
@@ -76,6 +77,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_settled_links_take_no_round(spark, monkeypatch):
+    """Links that one task reads are stars at once; links in several tasks are joined in rounds."""
+    rounds = []
+    small_star = components_module._small_star
+    monkeypatch.setattr(components_module, "_small_star", lambda edges: rounds.append(1) or small_star(edges))
+    chain = [(k, k + 1) for k in range(50)] + [(70, 70), (None, 3), (80, 81), (81, 80)]
+    df = spark.createDataFrame(chain, "a bigint, b bigint")
+    want = {k: 0 for k in range(51)} | {80: 80, 81: 80}
+    assert {r["node"]: r["component"] for r in components(df.coalesce(1)).collect()} == want and not rounds
+    assert {r["node"]: r["component"] for r in components(df.repartition(7)).collect()} == want and rounds
+
+
 def test_simhash_rows(spark):
     long = " ".join(f"w{k}" for k in range(3000))
     rows = [
