@@ -37,8 +37,8 @@ BUCKET = 1 << 20
 BIN, PARTS = 10 << 20, 8
 #: Distinct runs of one anchor beyond which its strings are dealt out one by one.
 HOT = 20_000
-#: Most bytes of a symbol.
-SYMBOL = 10
+#: Most bytes of a symbol: the columns of a string are its symbols, and every round goes over all columns so far.
+SYMBOL = 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -268,32 +268,37 @@ class Columns:
 
 def _numbered(raw: np.ndarray, width: int) -> np.ndarray:
     """A number for the ``width`` bytes from each place on; equal bytes have equal numbers, from 0 on."""
-    if width > 5:
-        half = _numbered(raw, 5)
-        left = half[: max(0, len(raw) - width + 1)].astype(np.uint64)
-        right = half if width == 10 else _numbered(raw, width - 5)
-        value = (left << np.uint64(32)) | right[5 : 5 + len(left)].astype(np.uint64)
-    else:
-        value = np.zeros(max(0, len(raw) - width + 1), np.uint64)
+    n = max(0, len(raw) - width + 1)
+    if width <= 5:
+        value = np.zeros(n, np.uint64)
         for w in range(width):
-            value = (value << np.uint64(8)) | raw[w : len(raw) - width + 1 + w]
-    return pa.array(value).dictionary_encode().indices.to_numpy()
+            value = (value << np.uint64(8)) | raw[w : n + w]
+        return pa.array(value).dictionary_encode().indices.to_numpy()
+    size = max(5, (width + 1) // 2)  # two strings of this size, which may overlap, are the whole
+    half = _numbered(raw, size)
+    value = (half[:n].astype(np.uint64) << np.uint64(32)) | half[width - size : width - size + n].astype(np.uint64)
+    order = np.argsort(value)
+    value = value[order]
+    out = np.empty(n, np.int32)
+    out[order] = np.cumsum(np.append(False, value[1:] != value[:-1])[:n])
+    return out
 
 
 def same_strings(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, group) of all ``length``-byte strings of ``texts``; equal strings share a group.
 
     Bytes are joined to symbols of up to ``SYMBOL`` bytes; a text gives one document for each place modulo
-    the symbol's size, so strings at any start are compared.
+    the symbol's size, so strings at any start are compared. Documents too short for a string are left out.
     """
     width = max(w for w in range(1, SYMBOL + 1) if length % w == 0)
     raw = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(sizes) - sizes
     value = _numbered(raw, width)
-    docs = np.repeat(np.arange(len(texts)), width)
-    phase = np.tile(np.arange(width), len(texts))
-    count = np.maximum(0, (sizes[docs] - phase) // width)
+    phases = np.clip(sizes - length + 1, 0, width)
+    docs = np.repeat(np.arange(len(texts)), phases)
+    phase = np.arange(len(docs)) - np.repeat(np.cumsum(phases) - phases, phases)
+    count = (sizes[docs] - phase) // width
     owner = np.repeat(np.arange(len(docs)), count)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     symbols = value[begin[docs[owner]] + phase[owner] + inner * width]

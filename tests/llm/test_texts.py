@@ -4,6 +4,7 @@ import hashlib
 import random
 import textwrap
 
+import numpy as np
 import pytest
 
 from cohortlens.llm import bpe, contamination, licenses, suffix_dedup
@@ -40,6 +41,32 @@ def test_same_strings():
         assert len(set(zip(strings, group, strict=True))) == len(set(strings)) == len(set(group))
 
 
+def test_long_strings_take_few_columns(monkeypatch):
+    """Strings of 100 bytes are five columns; texts with few strings give no document that could not hold one."""
+    grown = []
+    insert = suffix_dedup.Columns.insert
+    monkeypatch.setattr(suffix_dedup.Columns, "insert", lambda self: grown.append(len(self.sizes)) or insert(self))
+    rnd = random.Random(6)
+    part = bytes(rnd.choice(b"ab") for _ in range(120))
+    texts = [part, b"x" + part, part[3:110], part[:100], part[20:] + b"y" * 50]
+    text, start, group = (x.tolist() for x in suffix_dedup.same_strings(texts, 100))
+    strings = [texts[t][s : s + 100] for t, s in zip(text, start, strict=True)]
+    assert len(set(zip(text, start, strict=True))) == len(text) == sum(len(t) - 99 for t in texts)
+    assert len(set(zip(strings, group, strict=True))) == len(set(strings)) == len(set(group))
+    assert len(grown) <= 9 and grown[0] == 20 + 20 + 8 + 1 + 20
+
+
+@pytest.mark.parametrize("width", range(1, 21))
+def test_numbered(width):
+    rnd = random.Random(width)
+    raw = bytes(rnd.choice(b"ab") for _ in range(300)) * 2
+    numbers = suffix_dedup._numbered(np.frombuffer(raw, np.uint8), width).tolist()
+    strings = [raw[k : k + width] for k in range(len(raw) - width + 1)]
+    assert len(numbers) == len(strings) and min(numbers) == 0
+    assert len(set(zip(strings, numbers, strict=True))) == len(set(strings)) == len(set(numbers)) == max(numbers) + 1
+    assert len(suffix_dedup._numbered(np.frombuffer(raw[: width - 1], np.uint8), width)) == 0
+
+
 @pytest.mark.parametrize("length, sizes", [(12, {}), (12, {"block": 400, "bin_bytes": 300, "hot": 1}), (100, {"block": 2000, "bin_bytes": 900, "hot": 3})])
 def test_removal_against_brute_force(spark, length, sizes):
     rnd = random.Random(length)
