@@ -234,9 +234,13 @@ def near_duplicates(
 
 
 def _grouped(classes: DataFrame, distance: int) -> DataFrame:
-    """Classes of equal fingerprints with the smallest fingerprint of their component."""
+    """Classes of equal fingerprints with the smallest fingerprint of their component.
+
+    Links are written before they are joined: a task that joins tries and makes stars at once takes two Python workers,
+    and executors keep those for all that follows.
+    """
     classes = pin(classes)
-    parts = components(links(classes.select("fp"), distance))
+    parts = components(pin(links(classes.select("fp"), distance)))
     joined = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
     return joined.withColumn("component", F.coalesce("component", "fp"))
 

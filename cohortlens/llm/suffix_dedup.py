@@ -34,7 +34,7 @@ CHUNK = 1 << 19
 #: Anchors that are counted together.
 BUCKET = 1 << 20
 #: Bytes of runs in a bin, which a task holds, and parts of it whose collections are built one after the other.
-BIN, PARTS = 10 << 20, 8
+BIN, PARTS = 10 << 20, 16
 #: Distinct runs of one anchor beyond which its strings are dealt out one by one.
 HOT = 20_000
 #: Most bytes of a symbol: the columns of a string are its symbols, and every round goes over all columns so far.
@@ -334,6 +334,20 @@ def _later(texts: list[bytes], place: np.ndarray, start: np.ndarray, length: int
     return out
 
 
+def _whole(text: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``gone`` without the bytes of characters of which a byte is left; a chunk at a time, as places take 8 bytes each."""
+    out, start = np.empty(len(gone), bool), 0
+    while start < len(text):
+        stop = min(start + CHUNK, len(text))
+        while stop < len(text) and text[stop] & 0xC0 == 0x80:
+            stop += 1
+        letters = np.flatnonzero((text[start:stop] & 0xC0) != 0x80)
+        sizes = np.diff(np.append(letters, stop - start))
+        out[start:stop] = np.repeat(np.logical_and.reduceat(gone[start:stop], letters), sizes)
+        start = stop
+    return out
+
+
 def remove_repeats(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -517,26 +531,29 @@ def remove_repeats(
 
     kinds = ", ".join(["id bigint, n_bytes bigint, kept binary, starts array<int>, stops array<int>", *(f"{n} {more_type[n].dataType.simpleString()}" for n in names)])
 
+    def covered(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A block's bytes, the sizes of its documents and which bytes are covered."""
+        rec, runs, _, _, sizes = recorded(row)
+        bits = np.concatenate([_unpack(x["bits"], np.uint64)[0] for x in row["bits"] or []] or [np.empty(0, np.uint64)])
+        edge = np.zeros(len(runs.text) + 1, np.int8)
+        for o in range(int(rec.count.max(initial=0))):
+            hit = (o < rec.count) & (~rec.is_first | ((bits[rec.of] >> np.uint64(o)) & np.uint64(1)).astype(bool))
+            edge[rec.at[hit] + o] += 1
+            edge[rec.at[hit] + o + length] -= 1
+        return runs.text, sizes, np.cumsum(edge[:-1], dtype=np.int8) > 0
+
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(k, 1) for b in batches for k in range(b.num_rows)):
-            row = b.select(["block", "meta", "text", "flags", "bits"]).to_pylist()[0]
             ids, more = b.column("ids").flatten(), b.column("more").flatten()
-            rec, runs, _, _, sizes = recorded(row)
-            bits = np.concatenate([_unpack(x["bits"], np.uint64)[0] for x in row["bits"] or []] or [np.empty(0, np.uint64)])
-            edge = np.zeros(len(runs.text) + 1, np.int8)
-            for o in range(int(rec.count.max(initial=0))):
-                hit = (o < rec.count) & (~rec.is_first | ((bits[rec.of] >> np.uint64(o)) & np.uint64(1)).astype(bool))
-                edge[rec.at[hit] + o] += 1
-                edge[rec.at[hit] + o + length] -= 1
-            gone = np.cumsum(edge[:-1], dtype=np.int8) > 0
-            if whole_characters and len(gone):
-                letters = np.flatnonzero((runs.text & 0xC0) != 0x80)
-                gone = np.repeat(np.logical_and.reduceat(gone, letters), np.diff(np.append(letters, len(gone))))
-            ends, raw = np.cumsum(sizes).tolist(), runs.text
+            raw = gone = own = None  # the last block's, before the next one is opened
+            raw, sizes, gone = covered(b.select(["block", "meta", "text", "flags", "bits"]).to_pylist()[0])
+            ends = np.cumsum(sizes).tolist()
             for s in range(0, len(ends), 256):
                 kept, starts, stops = [], [], []
                 for e, n in zip(ends[s : s + 256], sizes[s : s + 256].tolist(), strict=True):
                     own = gone[e - n : e]
+                    if whole_characters and own.any():
+                        own = _whole(raw[e - n : e], own)
                     turn = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
                     kept.append(raw[e - n : e][~own].tobytes())
                     starts.append(turn[::2])

@@ -11,6 +11,7 @@ from cohortlens.llm import components as components_module
 from cohortlens.llm import embedding_dedup, simhash
 from cohortlens.llm.common import merge_labels
 from cohortlens.llm.components import components
+from cohortlens.session import pinned
 
 DOCS = "id bigint, doc_id bigint, text string, fp string"
 
@@ -89,6 +90,14 @@ def test_settled_links_take_no_round(spark, monkeypatch):
     assert {r["node"]: r["component"] for r in components(df.repartition(7)).collect()} == want and rounds
 
 
+def test_links_are_written_before_stars_are_made(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(simhash, "components", lambda links: read.append(pinned(links)) or components(links))
+    rows = [(i, i, t, None) for i, t in enumerate(["a b c d e", "a b c d e", "A b C d e", "x y z"])]
+    kept = simhash.keep_representatives(spark.createDataFrame(rows, DOCS))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3] and read == [True]
+
+
 def test_simhash_rows(spark):
     long = " ".join(f"w{k}" for k in range(3000))
     rows = [

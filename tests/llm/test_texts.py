@@ -3,6 +3,7 @@
 import hashlib
 import random
 import textwrap
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -56,6 +57,42 @@ def test_long_strings_take_few_columns(monkeypatch):
     assert len(grown) <= 9 and grown[0] == 20 + 20 + 8 + 1 + 20
 
 
+def test_a_part_of_a_bin_is_a_small_collection(monkeypatch):
+    """What a Python worker once took stays with it; a symbol takes some fifty bytes, here of runs of 125 bytes."""
+    grown = []
+    made = suffix_dedup.Columns.__init__
+    monkeypatch.setattr(suffix_dedup.Columns, "__init__", lambda self, symbols, *a: grown.append(len(symbols)) or made(self, symbols, *a))
+    texts = np.random.default_rng(4).integers(0, 256, (suffix_dedup.BIN // suffix_dedup.PARTS // 125, 125), np.uint8)
+    texts = [t.tobytes() for t in texts]
+    n = len(texts)
+    bits = suffix_dedup._later(texts + texts[:1], np.arange(n + 1), np.zeros(n + 1, np.int64), 100)
+    assert not bits[:-1].any() and bits[-1] == (1 << 26) - 1
+    assert len(grown) == 1 and grown[0] < 800_000
+
+
+def test_whole_characters_of_a_long_text(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 5)
+    text = "aé€😀b" * 7
+    raw = np.frombuffer(text.encode(), np.uint8)
+    gone = np.random.default_rng(2).random(len(raw)) < 0.8
+    at, wanted = 0, []
+    for c in text:
+        n = len(c.encode())
+        wanted += [bool(gone[at : at + n].all())] * n
+        at += n
+    assert suffix_dedup._whole(raw, gone).tolist() == wanted and 0 < sum(wanted) < sum(gone)
+    monkeypatch.undo()
+    raw = np.frombuffer(text.encode() * 50_000, np.uint8)
+    gone = np.ones(len(raw), bool)
+    tracemalloc.start()
+    try:
+        assert suffix_dedup._whole(raw, gone).all()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3 * len(raw)
+
+
 @pytest.mark.parametrize("width", range(1, 21))
 def test_numbered(width):
     rnd = random.Random(width)
